@@ -65,7 +65,7 @@ def source_targets(keys: DataFrame, weights: Sequence[float], share: float, most
 def mix(keys: DataFrame, targets: DataFrame) -> DataFrame:
     """keys: of `mix_keys`; targets: source, source_size, target (at most a whole number of passes times the size).
 
-    Adds source_size, target and taken (words taken from the row, repeats counted). A row's takes differ by one pass at
+    Adds source_size, target, passes (how often the row is taken) and taken (words taken from it, repeats counted). A row's takes differ by one pass at
     most from any other of its source. Null sources are one source; null texts have size 0; identical rows are taken
     in equal numbers on every run; empty input gives no rows.
     """
@@ -78,4 +78,5 @@ def mix(keys: DataFrame, targets: DataFrame) -> DataFrame:
     cut = thresholds(weighed, goals).select("grp", *(F.col(p).alias(f"t{p}") for p in PARTS), "inclusive")
     per_source = numbered.join(cut, "grp").withColumn("passes", passes).drop("source")
     one_more = below(tuple(F.col(p) for p in PARTS), tuple(F.col(f"t{p}") for p in PARTS), F.col("inclusive"))
-    return keys.withColumn("grp", grp).join(per_source, "grp").select("id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + one_more.cast("long"))).alias("taken"))
+    taken = keys.withColumn("grp", grp).join(per_source, "grp").withColumn("passes", F.col("passes") + one_more.cast("long"))
+    return taken.select("id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"))

@@ -9,6 +9,7 @@ however frequent, gathers anywhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +23,8 @@ from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materia
 
 #: Text bytes of a segment (one document, if longer), and of the benchmark that one pass over the index searches for.
 SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
-_SEGMENT = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("term_ends", pa.binary()), ("term_bytes", pa.binary()), ("list_ends", pa.binary()), ("positions", pa.binary())])
-_SEGMENT_DDL = "segment string, doc_ids array<bigint>, doc_starts binary, term_ends binary, term_bytes binary, list_ends binary, positions binary"
-_FOUND_DDL = "segment string, ordinal int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+_SEGMENT_DDL = "segment string, doc_ids array<{}>, doc_starts binary, term_ends binary, term_bytes binary, list_ends binary, positions binary"
+_FOUND_DDL = "segment string, ordinal int, doc_id {}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -39,8 +39,6 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import uuid
-
     for block in blocks(batches, "text", SEGMENT_BYTES):
         words, firsts = words_of(block.column("text"))
         coded = words.dictionary_encode()
@@ -51,19 +49,21 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.frombuffer(term_offsets, np.int32, n + 1)[1:] if n else np.empty(0, np.int32)
         positions = np.argsort(codes, kind="stable").astype(np.int32)
         list_ends = np.cumsum(np.bincount(codes, minlength=n)).astype(np.int32)
-        values = [
-            uuid.uuid4().hex, block.column("doc_id"), firsts.astype(np.int32).tobytes(), ends.tobytes(),
-            (term_data.to_pybytes()[: ends[-1]] if n else b""), list_ends.tobytes(), np.diff(positions, prepend=np.int32(0)).tobytes(),
+        parts = [
+            firsts.astype(np.int32).tobytes(), ends.tobytes(), term_data.to_pybytes()[: ends[-1]] if n else b"",
+            list_ends.tobytes(), np.diff(positions, prepend=np.int32(0)).tobytes(),
         ]
-        ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), values[1].cast(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([values[0]]), ids, *(pa.array([v], pa.binary()) for v in values[2:])], schema=_SEGMENT)
+        ids = block.column("doc_id")
+        names = ["segment", "doc_ids", "doc_starts", "term_ends", "term_bytes", "list_ends", "positions"]
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([v], pa.binary()) for v in parts)], names=names)
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The written index: one row per segment."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    ddl = _SEGMENT_DDL.format(rows.schema["doc_id"].dataType.simpleString())
     # Small row groups, so that one batch of segments stays small.
-    return materialise(rows.mapInArrow(_segments, _SEGMENT_DDL), "postings", **{"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"})
+    return materialise(rows.mapInArrow(_segments, ddl), "postings", **{"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"})
 
 
 @dataclass
@@ -188,7 +188,8 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int
         sent = spark.sparkContext.broadcast(queries_of(part, width))
 
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            names = ["segment", "ordinal", "doc_id", "n_words", "spans", "items"]
             q = sent.value
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -201,9 +202,10 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int
                         base = s.doc_starts[d]
                         spans[d].append((int(a - base), int(b - base)))
                         own[d].update(q.items[w] for w in who)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(np.diff(s.doc_starts)), pa.array([_merged(x) for x in spans], schema.field("spans").type), pa.array([sorted(x) for x in own], schema.field("items").type)], schema=schema)
+                    ids = batch.column("doc_ids").slice(i, 1).flatten()
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n), pa.array(range(n), pa.int32()), ids, pa.array(np.diff(s.doc_starts)), pa.array([_merged(x) for x in spans], span), pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=names)
 
-        parts.append(index.mapInArrow(found, _FOUND_DDL))
+        parts.append(index.mapInArrow(found, _FOUND_DDL.format(index.schema["doc_ids"].dataType.elementType.simpleString())))
     if n_blocks == 1:
         return parts[0].select("doc_id", "n_words", "spans", "items")
     rows = parts[0]
