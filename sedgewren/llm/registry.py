@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgewren.llm import q_decontamination, q_exact, q_lines, q_mixing, q_near, q_sharding, q_suffixes, q_toxicity
+from sedgewren.llm import q_decontamination, q_exact, q_lines, q_mixing, q_near, q_scoring, q_sharding, q_suffixes, q_toxicity
 
-_MODULES = (q_suffixes, q_toxicity, q_near, q_decontamination, q_sharding, q_mixing, q_lines, q_exact)
+_MODULES = (q_scoring, q_suffixes, q_toxicity, q_near, q_decontamination, q_sharding, q_mixing, q_lines, q_exact)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
