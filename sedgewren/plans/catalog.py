@@ -21,7 +21,7 @@ from sedgewren.streaming.refresh import debounce
 #: A context so small that the test conversations overflow it.
 SMALL_CONTEXT = RetrievalConfig(n_ctx=400, max_tokens=64)
 SMALL_BATCHES = RetrievalConfig(batch_tokens=256, batch_context=512)
-KEYWORD = "license"
+KEYWORD = "the"
 SEARCH_K = 10
 
 
@@ -162,7 +162,7 @@ def normalize_ws(spark, d):
 
 
 def latin1_runs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.latin1_runs(F.encode("text", "UTF-8")).alias("runs"))
+    return _t(spark, d, "documents").select("doc_id", text.latin1_runs(F.encode("text", "ISO-8859-1")).alias("runs"))
 
 
 def utf16_runs(spark, d):

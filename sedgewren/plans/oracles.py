@@ -116,6 +116,7 @@ ORACLES = {
     "utf8_complete": "SELECT doc_id, strlen(text) AS n FROM documents",
     "ascii_lower": "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents",
     "utf16_runs": r"SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(text, '[\x20-\x7E\x{00A0}-\x{00FF}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}]{3,}'), lambda r: r || chr(10)), ''), '') AS runs FROM documents",
+    "latin1_runs": r"SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x{00FF}]', '?', 'g'), '[\x20-\x7E\x{00A0}-\x{00FF}]{4,}'), lambda r: r || chr(10)), ''), '') AS runs FROM documents",
     "kb_signature": "SELECT sha1(string_agg(lpad(doc_id::VARCHAR, 12, '0') || '|' || n_chars || '|' || doc_id, '' ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS signature FROM documents",
     "golden_eval": f"{_JUDGED} SELECT query_id, hit_sources, src_ok, kw_ok, must_failed FROM judged",
     "golden_verdict": f"{_JUDGED} SELECT count(*) AS n, round(avg(src_ok::INT), 6) AS recall, round(avg(kw_ok::INT), 6) AS keyword_rate, count(*) FILTER (must_failed) AS must_failures, count(*) FILTER (must_failed) = 0 AND avg(src_ok::INT) >= {DEFAULT.min_recall} AS passed FROM judged",

@@ -82,13 +82,25 @@ def decode(data: bytes, dimension: int | None = None, signature: str | None = No
 def read(spark: SparkSession, path: str, dimension: int | None = None, signature: str | None = None, with_vectors: bool = True) -> DataFrame:
     """chunk_id, source, text, vec of cache files (one or a folder of them). Leaving vectors out skips decoding them."""
 
+    # Spark's readers leave out files whose names start with a dot, as a cache's does: such a file is opened by name.
+    hidden = os.path.basename(path).startswith((".", "_"))
+
+    def contents(b: pd.DataFrame) -> Iterator[bytes]:
+        if not hidden:
+            yield from b["content"]
+            return
+        for name in b["path"]:
+            with open(name, "rb") as f:
+                yield f.read()
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["content"]:
+            for data in contents(b):
                 found = list(decode(data, dimension, signature, with_vectors))
                 yield pd.DataFrame({"chunk_id": range(len(found)), "source": [x[0] for x in found], "text": [x[1] for x in found], "vec": [x[2] for x in found]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, SCHEMA)
+    files = spark.createDataFrame([(path.removeprefix("file://"),)], "path string") if hidden else spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(rows, SCHEMA)
 
 
 def write(chunks: DataFrame, path: str, dimension: int, signature: str) -> int:

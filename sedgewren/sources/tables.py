@@ -18,14 +18,16 @@ def golden_set(spark: SparkSession, path: str, top_k: int = 3) -> DataFrame:
 
 
 def session(spark: SparkSession, path: str) -> DataFrame:
-    """model_path, need_close, turns of session files: three lines, turns separated by U+001F, empty ones left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
+    """model_path, need_close, turns of session files: three lines, turns separated by U+001F, empty ones left out.
+
+    The line break that ends the file is no part of the last turn."""
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("l"))
     return lines.select(F.get("l", F.lit(0)).alias("model_path"), (F.get("l", F.lit(1)) == "1").alias("need_close"), F.filter(F.split(F.coalesce(F.array_join(F.slice("l", 3, 2147483647), "\n"), F.lit("")), SESSION_SEPARATOR), lambda t: t != "").alias("turns"))
 
 
 def write_session(spark: SparkSession, path: str, model_path: str, need_close: bool, turns: list[str]) -> None:
     text = "\n".join([model_path, str(int(need_close)), SESSION_SEPARATOR.join(turns)])
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def restorable(sessions: DataFrame, model_path: str) -> DataFrame:

@@ -26,7 +26,8 @@ def debounce(events: DataFrame, ts: str = "ts", key: str | None = None, gap: str
     gap = gap or f"{config.debounce_ms} milliseconds"
     if lateness:
         events = events.withWatermark(ts, lateness)
-    groups = [F.session_window(ts, gap).alias("w")] + ([F.col(key)] if key else [])
+    # A stream needs a key beside the window: the same for all rows, but not a literal.
+    groups = [F.session_window(ts, gap).alias("w"), F.col(key) if key else F.col(ts).isNull().alias("_all")]
     return events.groupBy(*groups).agg(F.max(ts).alias("end"), F.count("*").alias("n_events")).select(*([key] if key else []), F.col("w.start").alias("start"), "end", "n_events")
 
 
