@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,18 @@ class Index:
         return self.doc_len.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(chunks: DataFrame) -> Index:
-    """Statistics of chunks (chunk_id, text, ...). Chunks without a term count, with length 0."""
+def build(chunks: DataFrame, persist: bool = False) -> Index:
+    """Statistics of chunks (chunk_id, text, ...). Chunks without a term count, with length 0.
+
+    persist keeps the terms of the chunks for the several tables that are made of them; a snapshot that is published
+    and loaded does not need it.
+    """
     with_terms = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
-    postings = with_terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    if persist:
+        with_terms = with_terms.persist(StorageLevel.MEMORY_AND_DISK)
+    # The outer form: for the other one Spark would take the terms out once more, to leave out rows without any.
+    each = with_terms.select("chunk_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    postings = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     return Index(chunks, postings, with_terms.select("chunk_id", F.size("terms").cast("long").alias("dl")))
 
 

@@ -26,7 +26,10 @@ SEARCH_K = 10
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table, dealt out if it is scanned by fewer tasks than the session has cores (one file of one row group)."""
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def _chunks(spark, d) -> DataFrame:
@@ -34,7 +37,7 @@ def _chunks(spark, d) -> DataFrame:
 
 
 def _index(spark, d) -> index.Index:
-    return index.build(_chunks(spark, d))
+    return index.build(_chunks(spark, d), persist=True)
 
 
 def _benchmark_queries(spark, d) -> DataFrame:
@@ -51,7 +54,7 @@ def _aligned(spark, d) -> tuple[index.Index, DataFrame]:
     """Documents with the vector of their number as chunks, and as queries the texts and vectors of every twentieth."""
     vecs, _ = _vectors(spark, d)
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text").join(vecs.select("chunk_id", "vec"), "chunk_id")
-    return index.build(docs), docs.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "vec")
+    return index.build(docs, persist=True), docs.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "vec")
 
 
 def chunk_documents_(spark, d):
@@ -72,15 +75,15 @@ def tokenize_cjk_literals(spark, d):
 
 
 def term_frequency(spark, d):
-    return _index(spark, d).postings
+    return index.build(_chunks(spark, d)).postings
 
 
 def document_frequency(spark, d):
-    return _index(spark, d).term_df
+    return index.build(_chunks(spark, d)).term_df
 
 
 def corpus_stats(spark, d):
-    i = _index(spark, d)
+    i = index.build(_chunks(spark, d))
     return i.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 

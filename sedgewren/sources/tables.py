@@ -22,7 +22,7 @@ def session(spark: SparkSession, path: str) -> DataFrame:
 
     The line break that ends the file is no part of the last turn."""
     lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("l"))
-    return lines.select(F.get("l", F.lit(0)).alias("model_path"), (F.get("l", F.lit(1)) == "1").alias("need_close"), F.filter(F.split(F.coalesce(F.array_join(F.slice("l", 3, 2147483647), "\n"), F.lit("")), SESSION_SEPARATOR), lambda t: t != "").alias("turns"))
+    return lines.select(F.get("l", F.lit(0)).alias("model_path"), (F.get("l", F.lit(1)) == "1").alias("need_close"), F.filter(F.split(F.coalesce(F.array_join(F.slice("l", F.lit(3), F.size("l")), "\n"), F.lit("")), SESSION_SEPARATOR), lambda t: t != "").alias("turns"))
 
 
 def write_session(spark: SparkSession, path: str, model_path: str, need_close: bool, turns: list[str]) -> None:
