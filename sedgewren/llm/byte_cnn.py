@@ -46,7 +46,8 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             same = same[k:] & same[:-k]
             k *= 2
         repeats[lag + REPEATED - 1 :] |= same
-    return x + repeats.astype(np.uint16) * np.uint16(256), starts[:-1], lengths
+    # Zeros are never marked: those between texts would depend on the neighbours.
+    return x + (repeats & (x != 0)).astype(np.uint16) * np.uint16(256), starts[:-1], lengths
 
 
 def _pieces(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
