@@ -21,7 +21,9 @@ from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materia
 from sedgewren.llm.components import connected_components
 from sedgewren.llm.exact import bitmap_filter, may_contain
 
-WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
+WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 160
+#: Shingles that are hashed at once: few enough for a core's cache.
+_AT_ONCE = 1 << 15
 #: Shingles of a block of a cell, a member counting as MEMBER_COST more: about 180 members at most.
 BLOCK_SHINGLES, MEMBER_COST = 1_500_000, 8192
 
@@ -30,8 +32,8 @@ def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, i
     """The most rows a band may have, and the number of bands, so that two sets of that similarity meet in a band with
     probability `recall`. More rows let fewer unlike pairs meet."""
     for rows in range(most_hashes, 0, -1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
-        if bands * rows <= most_hashes:
+        missed = math.log1p(-(threshold**rows))
+        if missed and (bands := max(1, math.ceil(math.log1p(-recall) / missed))) * rows <= most_hashes:
             return bands, rows
     raise ValueError("most_hashes is too small for this recall")
 
@@ -75,16 +77,31 @@ class Shingles:
 
     def bands(self, n_bands: int, n_rows: int) -> np.ndarray:
         """A matrix of band hashes of the rows that have shingles; the number of the band is part of each hash."""
-        full = self.counts > 0
+        full = np.flatnonzero(self.counts > 0)
         at = (self.ends - self.counts)[full]
-        out = np.empty((int(full.sum()), n_bands), np.uint64)
-        if not len(at):
-            return out
-        random = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, (n_bands * n_rows, 2), np.uint64)
+        least = np.empty((n_bands * n_rows, len(full)), np.uint64)
+        seeds = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, n_bands * n_rows, np.uint64)
+        first = 0
+        while first < len(full):
+            # Whole rows of _AT_ONCE shingles, or one longer row.
+            after = max(first + 1, int(np.searchsorted(at, at[first] + _AT_ONCE)))
+            h = self.hashes[at[first] : self.ends[full[after - 1]]]
+            offsets = at[first:after] - at[first]
+            x, y = np.empty_like(h), np.empty_like(h)
+            for k, seed in enumerate(seeds):
+                # All of the mixing matters: a multiplication alone orders sets too much alike.
+                np.bitwise_xor(h, seed, out=x)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    np.right_shift(x, np.uint64(shift), out=y)
+                    np.bitwise_xor(x, y, out=x)
+                    np.multiply(x, np.uint64(factor), out=x)
+                np.minimum.reduceat(x, offsets, out=least[k, first:after])
+            first = after
+        out = np.empty((len(full), n_bands), np.uint64)
         for b in range(n_bands):
-            key = np.full(len(at), b + 1, np.uint64)
+            key = np.full(len(full), b + 1, np.uint64)
             for k in range(b * n_rows, (b + 1) * n_rows):
-                key = mix(key + np.minimum.reduceat((self.hashes ^ random[k, 0]) * (random[k, 1] | np.uint64(1)), at))
+                key = mix(key + least[k])
             out[:, b] = key
         return out
 
