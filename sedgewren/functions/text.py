@@ -58,8 +58,7 @@ def decode_text(content: Column) -> Column:
     mark = F.hex(F.substring(content, 1, 4))
     rest = lambda n: F.substring(content, n + 1, 2147483647)
     return (
-        F.when(mark.startswith("FFFE0000"), F.decode(rest(4), "UTF-32LE"))
-        .when(mark == "0000FEFF", F.decode(rest(4), "UTF-32BE"))
+        F.when(mark.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))  # which reads the mark itself
         .when(mark.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
         .when(mark.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
         .when(mark.startswith("EFBBBF"), F.decode(rest(3), "UTF-8"))
