@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewren.config import DEFAULT, RetrievalConfig
+from sedgewren.config import DEFAULT, SYSTEM_PROMPT, RetrievalConfig
 from sedgewren.functions.text import terms
 
 
@@ -52,3 +52,10 @@ def prompts(turns: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     # Bounded by the context for all but the system turns of one conversation.
     ordered = F.sort_array(F.collect_list(F.struct(F.when(F.col("role") == "system", 0).otherwise(1).alias("k"), "turn", "turn_text")))
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_kept"), F.concat(F.array_join(F.transform(ordered, lambda x: x["turn_text"]), ""), F.lit(ASSISTANT_OPEN)).alias("prompt"))
+
+
+def grounded_prompts(results: DataFrame, queries: DataFrame, system: str = SYSTEM_PROMPT) -> DataFrame:
+    """query_id, prompt: the first turn of a chat about each query, its context put before the query where one was used."""
+    both = results.select("query_id", "used", "context").join(queries.select("query_id", "query"), "query_id")
+    asked = F.concat(F.when(F.col("used"), F.col("context")).otherwise(""), F.col("query"))
+    return both.select("query_id", F.concat(system_turn(F.lit(system)), user_turn(asked), F.lit(ASSISTANT_OPEN)).alias("prompt"))

@@ -146,6 +146,11 @@ def hybrid_context(spark, d):
     return out.select("query_id", "used", "best_vector_score", F.array_join("sources", ",").alias("sources"), "context")
 
 
+def grounded_prompts(spark, d):
+    i, queries, hits, passed = _hybrid(spark, d)
+    return dialogue.grounded_prompts(hybrid.contexts(hits, passed, i.chunks), queries)
+
+
 def retrieval_metrics(spark, d):
     i, queries, hits, passed = _hybrid(spark, d)
     out = hybrid.metrics(hybrid.contexts(hits, passed, i.chunks), queries)
@@ -293,7 +298,7 @@ QUERIES = {
     for f in (
         chunk_documents_, chunk_stats_by_source, tokenize_terms, tokenize_cjk_literals, term_frequency, document_frequency, corpus_stats,
         bm25_scores, bm25_topk, cosine_topk, relevance_gate, candidate_pool, l2_normalize, pairwise_agreement, recall_at_k_by_label,
-        hybrid_retrieve, hybrid_context, retrieval_metrics, prefixed_queries, strip_xml_pages, normalize_ws, latin1_runs, utf16_runs,
+        hybrid_retrieve, hybrid_context, grounded_prompts, retrieval_metrics, prefixed_queries, strip_xml_pages, normalize_ws, latin1_runs, utf16_runs,
         utf8_complete, ascii_lower, kb_signature, golden_eval, golden_verdict, keyword_coverage, keyword_chunks_preview, distinct_sources,
         history_eviction, chatml_prompt, debounced_rebuilds, greedy_batches, latency_summary, docx_extract, wordpiece_encode,
         cache_roundtrip, hash_embed,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedgewren.config import DEFAULT, QUERY_PREFIX
+from sedgewren.config import DEFAULT, QUERY_PREFIX, SYSTEM_PROMPT
 from sedgewren.functions.text import CJK, ENTITIES, SPACE
 from sedgewren.plans.catalog import KEYWORD, SEARCH_K
 from sedgewren.plans.literals import CJK_LITERALS
@@ -109,6 +109,7 @@ ORACLES = {
     "recall_at_k_by_label": f"WITH {_VEC} SELECT asked AS label, count(*) AS hits, round(avg((label = asked)::INT), 6) AS share FROM ranks WHERE rank <= {SEARCH_K} AND chunk_id <> query_id GROUP BY asked",
     "hybrid_retrieve": f"{_HYBRID} SELECT query_id, chunk_id, v, b, score, rank FROM hits",
     "hybrid_context": f"{_HYBRID} SELECT query_id, used, best_vector_score, coalesce(sources, '') AS sources, coalesce(context, '') AS context FROM passed LEFT JOIN ctx USING (query_id)",
+    "grounded_prompts": f"{_HYBRID} SELECT query_id, '<|im_start|>system' || chr(10) || '{SYSTEM_PROMPT}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || CASE WHEN used THEN context ELSE '' END || query || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM passed JOIN queries USING (query_id) LEFT JOIN ctx USING (query_id)",
     "retrieval_metrics": f"{_HYBRID} SELECT query_id, query, used, best_vector_score, coalesce(n, 0) AS chunks, coalesce(sources, '') AS sources FROM passed JOIN queries USING (query_id) LEFT JOIN ctx USING (query_id)",
     "prefixed_queries": f"SELECT item_id AS query_id, '{QUERY_PREFIX}' || text AS query FROM benchmark",
     "strip_xml_pages": f"SELECT page_id, {_strip('html')} AS text FROM pages",
