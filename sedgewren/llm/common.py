@@ -90,7 +90,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])), at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most most_bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -144,7 +144,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, (1 << 20) + 1)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(m, base, np.uint64)
             steps[0] = 1

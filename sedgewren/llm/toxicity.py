@@ -32,7 +32,9 @@ TAIL = bytes(range(1, 25))
 #: Lengths of the byte runs whose share in toxic and ordinary text is compared; the least number of toxic texts with
 #: one, as a share of them and as a number, and how many times more common it must be there: calibration chooses.
 RUNS, LEAST_SHARES, LEAST_TEXTS, LEAST_RATIOS = (5, 6, 7, 8), (0.02, 0.05), 5, (8.0, 25.0)
-ORDINARY_BYTES, TOXIC_BYTES = 6000, 1500
+ORDINARY_BYTES, TOXIC_BYTES = 16_000, 1500
+#: Words that the ordinary dictionary is trained on, drawn evenly from all ordinary texts of the sample.
+_WORDS = 400_000
 #: Windows kept in a worker's memory with their savings.
 _CACHE = 400_000
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
@@ -56,31 +58,44 @@ def _trained(samples: list[bytes], size: int, most: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def toxic_pieces(toxic: list[bytes], ordinary: list[bytes], share: float, ratio: float) -> list[bytes]:
-    """Pieces of the words of toxic texts that are much more common there than in ordinary texts, as often as texts have them."""
+def run_counts(toxic: list[bytes], ordinary: list[bytes], least: float) -> dict[bytes, tuple[int, int]]:
+    """Byte runs of the words of at least `least` toxic texts, and the number of toxic and of ordinary texts with each."""
+    out = {}
+    for length in RUNS:
+
+        def runs(text: bytes, length: int = length) -> set[bytes]:
+            return {x[i : i + length] for w in set(_words(text)) for x in (b" " + w,) for i in range(len(x) - length + 1)}
+
+        here: Counter[bytes] = Counter()
+        for t in toxic:
+            here.update(runs(t))
+        there = {g: 0 for g, n in here.items() if n >= least}
+        for t in ordinary:
+            for g in runs(t) & there.keys():
+                there[g] += 1
+        out |= {g: (here[g], n) for g, n in there.items()}
+    return out
 
-    def runs(words: set[bytes]) -> set[bytes]:
-        return {x[i : i + n] for w in words for x in (b" " + w,) for n in RUNS for i in range(len(x) - n + 1)}
 
-    here, there = Counter(), Counter()
-    for texts, seen in ((toxic, here), (ordinary, there)):
-        for t in texts:
-            seen.update(runs(set(_words(t))))
-    least = max(share * len(toxic), min(LEAST_TEXTS, max(2, len(toxic) // 4)))
+def toxic_pieces(toxic: list[bytes], counts: dict[bytes, tuple[int, int]], n_ordinary: int, least: float, ratio: float) -> list[bytes]:
+    """Pieces of the words of toxic texts that are much more common there than in ordinary texts, as often as texts have them."""
     telling: set[bytes] = set()
     for length in RUNS:  # a longer run only where no shorter one in it tells anything
-        telling |= {g for g, n in here.items() if len(g) == length and n >= least and n / len(toxic) >= ratio * (there[g] + 0.5) / max(1, len(ordinary)) and g[1:] not in telling and g[:-1] not in telling}
-    pieces = []
-    for t in toxic:
-        for w in sorted(set(_words(t))):
-            x = b" " + w
+        telling |= {g for g, (here, there) in counts.items() if len(g) == length and here >= least and here / len(toxic) >= ratio * (there + 0.5) / max(1, n_ordinary) and g[1:] not in telling and g[:-1] not in telling}
+    known: dict[bytes, list[bytes]] = {}
+
+    def pieces_of(word: bytes) -> list[bytes]:
+        if word not in known:
+            x = b" " + word
             covered = bytearray(len(x))
             for n in RUNS:
                 for i in range(len(x) - n + 1):
                     if x[i : i + n] in telling:
                         covered[i : i + n] = b"\x01" * n
-            pieces += [x[m.start() : m.end()] for m in re.finditer(rb"\x01+", bytes(covered))]
-    return pieces
+            known[word] = [x[m.start() : m.end()] for m in re.finditer(rb"\x01+", bytes(covered))]
+        return known[word]
+
+    return [p for t in toxic for w in sorted(set(_words(t))) for p in pieces_of(w)]
 
 
 @dataclass
@@ -173,15 +188,19 @@ def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
         return ToxicityModel(b"", b"", 0, np.zeros(0), np.zeros(0), np.ones(0), share)
     # Every third text calibrates, the others are trained on.
     learn, held = ({k: [t for i, t in enumerate(v) if (i % 3 == 2) == is_held] for k, v in by.items()} for is_held in (False, True))
-    words = [b" " + w for t in learn[0] for w in _words(t)]
-    random.Random(7).shuffle(words)
-    ordinary = _trained(words[:400_000], ORDINARY_BYTES, 100)
+    draw, share_of_text = random.Random(7), max(1, _WORDS // len(learn[0]))
+    words = [b" " + w for t in learn[0] for all_ in (_words(t),) for w in draw.sample(all_, min(len(all_), share_of_text))]
+    draw.shuffle(words)
+    ordinary = _trained(words, ORDINARY_BYTES, 100)
+    del words
+    least_of = [max(share * len(learn[1]), min(LEAST_TEXTS, max(2, len(learn[1]) // 4))) for share in LEAST_SHARES]
+    runs = run_counts(learn[1], learn[0], min(least_of))
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     w = np.where(y == 1, counts[1] / len(held[1]), counts[0] / len(held[0]))
     w *= len(y) / w.sum()
     best = None
-    for share, ratio in itertools.product(LEAST_SHARES, LEAST_RATIOS):
-        pieces = toxic_pieces(learn[1], learn[0], share, ratio)
+    for least_texts, ratio in itertools.product(least_of, LEAST_RATIOS):
+        pieces = toxic_pieces(learn[1], runs, len(learn[0]), least_texts, ratio)
         random.Random(8).shuffle(pieces)
         model = ToxicityModel(ordinary, _trained(pieces, TOXIC_BYTES, 60), 0, np.zeros(0), np.zeros(0), np.ones(0))
         compressors, cache = model.compressors(), {}
