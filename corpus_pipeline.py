@@ -16,42 +16,51 @@ from sedgewren.llm.toxicity import score_toxicity, toxicity_model
 TOXIC = 0.3
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that the number stays: ids may repeat or be null."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that the number stays, and its name: ids may repeat or be null."""
+    row = _unused(docs, "row_number")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under TOXIC stay; nothing is learnt from labels outside the training folds."""
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where(F.col("score") < TOXIC).drop("score")
+    score = _unused(docs, "score")
+    return score_toxicity(docs, model, score=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that links of five-word shingles tie together, the one with the smallest id stays (null last)."""
-    rows = _numbered(docs)
-    links = materialise(jaccard_links(rows, id_column="_row").withColumnsRenamed({"doc_id": "_row", "class_id": "class"}), "links")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row")).alias("order"))
+    rows, row = _numbered(docs)
+    links = materialise(jaccard_links(rows, id_column=row).withColumnsRenamed({"doc_id": row, "class_id": "class"}), "links")
+    ids = rows.select(row, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("order"))
     # Rows alone in their class stay in any case.
-    grouped = links.where(F.col("n_links") > 0).join(ids, "_row")
+    grouped = links.where(F.col("n_links") > 0).join(ids, row)
     first = grouped.groupBy("class").agg(F.min("order").alias("first"))
-    gone = grouped.join(first, "class").where(F.col("order") != F.col("first")).select("_row")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    gone = grouped.join(first, "class").where(F.col("order") != F.col("first")).select(row)
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
-    rows = _numbered(docs)
-    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_row")
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    rows, row = _numbered(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=row)
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").drop(row)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    rows = _numbered(docs)
-    keys = mix_keys(rows, id_column="_row")
-    taken = mix(keys, source_targets(keys, WEIGHTS, SHARE, MOST_PASSES)).where("passes > 0").select(F.col("id").alias("_row"), "passes")
-    return rows.join(taken, "_row").withColumn("passes", F.explode(F.sequence(F.lit(1).cast("long"), "passes"))).select(*docs.columns)
+    rows, row = _numbered(docs)
+    keys, passes = mix_keys(rows, id_column=row), _unused(docs, "passes")
+    taken = mix(keys, source_targets(keys, WEIGHTS, SHARE, MOST_PASSES)).where("passes > 0").select(F.col("id").alias(row), F.col("passes").alias(passes))
+    return rows.join(taken, row).withColumn(passes, F.explode(F.sequence(F.lit(1).cast("long"), passes))).select(*docs.columns)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ and byte-level tokenising of whole Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="sedgewren-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[sc.applicationId], ignore_errors=True)
     return "file://" + _LOCAL_DIRS[sc.applicationId]
 
 

@@ -216,8 +216,8 @@ def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
     return best[1]
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of docs and score, from 0 to 1. Null and empty texts have no window and score like a text that saves nothing."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score: str = "score") -> DataFrame:
+    """All columns of docs and one more, the score, from 0 to 1. Null and empty texts have no window and score like a text that saves nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -225,9 +225,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_
         m = sent.value
         compressors, cache = (m.compressors() if m.constant is None else []), {}
         for block in blocks(batches, text_column, 16 << 20):
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(m.scores(block.column(text_column), compressors, cache))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(m.scores(block.column(text_column), compressors, cache))], names=[*names, score])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{score}` double")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = 2500, ordinary_rows: int = 5000, skip_fold: int = 2, folds: int = 4) -> ToxicityModel:
@@ -239,7 +239,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs, repeated ones included. Other columns are not looked at."""
+    """doc_id, held_out, score, predicted: one row per row of docs, repeated ones included.
+
+    Null and empty texts score like a text whose windows save nothing; rows of a null id are not held out. No rows give
+    no rows. Labels, language, source and id are no inputs of the score, and other columns are not looked at.
+    """
     model = toxicity_model(docs, labels)
     scored = score_toxicity(docs.select(F.col("doc_id"), F.col("text")), model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
