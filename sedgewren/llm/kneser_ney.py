@@ -8,7 +8,9 @@ scoring move arrays, never a row per token. All words and all bigrams count; not
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sedgewren.llm.common import LOWER, NON_SPACE, blocks, column_bytes, fresh_path, word_hashes, word_spans
 
-#: Key ranges of the vocabulary; tokens of a range of the bigrams, and the most ranges.
-WORD_PARTS, PART_TOKENS, MOST_PARTS = 64, 2_000_000, 4096
+#: Text bytes for each key range of the vocabulary, tokens for each of the bigrams; the least and the most ranges.
+PART_BYTES, PART_TOKENS, LEAST_PARTS, MOST_PARTS = 64 << 20, 2_000_000, 4, 1 << 16
 #: Distinct keys that a map task holds before it sends them.
 _HELD = 4_000_000
 _COUNTS_DDL = "part int, keys binary, counts binary"
@@ -80,15 +82,25 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
-_open: dict[str, np.ndarray] = {}
+def _parts(amount: float, each: int) -> int:
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, int(np.ceil(np.log2(max(1.0, amount / each)))))))
+
+
+_open: dict[str, np.ndarray | None] = {}
 
 
 def _mapped(path: str) -> np.ndarray | None:
-    """The array of a file, mapped; None if there is no such part."""
+    """The array of a file, mapped; None if there is no such part. Mappings hold no file descriptor."""
     if path not in _open:
-        if len(_open) > 4 * MOST_PARTS:
+        if len(_open) > MOST_PARTS:
             _open.clear()
-        _open[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        _open[path] = None
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                np.lib.format.read_magic(f)
+                shape, _, kind = np.lib.format.read_array_header_1_0(f)
+                m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+                _open[path] = np.frombuffer(m, kind, int(np.prod(shape)), f.tell()).reshape(shape)
     return _open[path]
 
 
@@ -126,6 +138,10 @@ class KneserNeyModel:
     def words(self) -> int:
         return int(self.word_offsets[-1])
 
+    @property
+    def word_parts(self) -> int:
+        return len(self.word_offsets) - 1
+
     @property
     def vocabulary(self) -> int:
         """Distinct training tokens, the end included."""
@@ -139,10 +155,11 @@ class KneserNeyModel:
         """Number of each word, -1 if it isn't known, and how often it occurs."""
         unique, inverse = np.unique(hashes, return_inverse=True)
         numbers, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        cuts = np.searchsorted((unique >> np.uint64(58)).astype(np.int64), np.arange(WORD_PARTS + 1))
-        for p in range(WORD_PARTS):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b and (keys := _mapped(f"{self.folder}/words-{p:05d}.npy")) is not None:
+        part = _word_part(unique, self.word_parts)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        for a, b in zip(first, [*first[1:], len(part)], strict=True):
+            p = int(part[a])
+            if (keys := _mapped(f"{self.folder}/words-{p:05d}.npy")) is not None:
                 at = np.minimum(np.searchsorted(keys, unique[a:b]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == unique[a:b])
                 numbers[a + hit] = self.word_offsets[p] + at[hit]
@@ -194,6 +211,11 @@ class KneserNeyModel:
         return out
 
 
+def _word_part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each word hash: its leading bits."""
+    return (hashes >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+
+
 def _first_number(part: int, n_parts: int, words: int) -> int:
     """The smallest number n with n * n_parts // (words + 2) == part."""
     return -(-int(part) * (words + 2) // n_parts)
@@ -223,9 +245,11 @@ def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
         raise ValueError("memory mapping needs a spark.checkpoint.dir that is mounted as a folder on every machine")
     folder = path.removeprefix("file://").removeprefix("file:")
     rows = texts.select(F.col(text_column).alias("text"))
+    ends, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    word_parts = _parts(size, PART_BYTES)
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, lambda b: _words(b.column("text"))[0], lambda k: (k >> np.uint64(58)).astype(np.int64))
+        return _counted(batches, lambda b: _words(b.column("text"))[0], lambda k: _word_part(k, word_parts))
 
     def write_words(key, table):
         part = key[0].as_py()
@@ -234,14 +258,13 @@ def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
         _save(folder, f"counts-{part:05d}", counts)
         return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    # One row for each of WORD_PARTS parts.
+    # One row for each part.
     sizes = {r["part"]: r for r in rows.mapInArrow(word_counts, _COUNTS_DDL).groupBy("part").applyInArrow(write_words, "part int, n bigint, tokens bigint").collect()}
-    offsets = np.concatenate([[0], np.cumsum([sizes[p]["n"] if p in sizes else 0 for p in range(WORD_PARTS)])])
-    ends = rows.count()
+    offsets = np.concatenate([[0], np.cumsum([sizes[p]["n"] if p in sizes else 0 for p in range(word_parts)])])
     tokens = ends + sum(r["tokens"] for r in sizes.values())
     if offsets[-1] >= 1 << 32:
         raise ValueError("more distinct words than 32-bit numbers")
-    n_parts = min(MOST_PARTS, max(4, 1 << int(np.ceil(np.log2(max(1, tokens / PART_TOKENS))))))
+    n_parts = _parts(tokens, PART_TOKENS)
     model = KneserNeyModel(folder, offsets, n_parts, tokens, ends)
     sent = spark.sparkContext.broadcast(model)
 
@@ -312,7 +335,7 @@ def score(docs: DataFrame, model: KneserNeyModel, text_column: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for block in blocks(batches, text_column, 8 << 20):
+        for block in blocks(batches, text_column, 4 << 20):
             number, count, before, first = _numbers(m, block.column(text_column))
             base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
             log_p = np.log10(m.probability(before, number))

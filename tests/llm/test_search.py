@@ -204,6 +204,7 @@ def brute_kneser_ney(train):
 def test_kneser_ney(spark, odd, monkeypatch, part):
     monkeypatch.setattr(kneser_ney, "PART_TOKENS", part)
     monkeypatch.setattr(kneser_ney, "_HELD", 500)
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", part * 20)
     learn = odd.where("doc_id is null or doc_id % 3 <> 0")
     model = kneser_ney.train(learn.select("text"))
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
