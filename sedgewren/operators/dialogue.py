@@ -33,16 +33,18 @@ def tokens(text: Column) -> Column:
     return F.size(terms(text)).cast("long")
 
 
-def evict(turns: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
+def evict(turns: DataFrame, config: RetrievalConfig = DEFAULT, include_system: bool = False) -> DataFrame:
     """turns: conv_id, turn, role, text. Adds turn_text, n_tokens, upto_end, kept.
 
     The last turn of a conversation is its new input. The oldest turns go, whole, until the rest, the input and the
     reply fit into the context; system turns are not history and are kept. If nothing fits, only the input is left.
+    System turns take no part of the budget, unless include_system says that they do.
     """
+    reserved = F.sum(F.when(F.col("role") == "system", tokens(F.col("turn_text"))).otherwise(0)).over(Window.partitionBy("conv_id")) if include_system else F.lit(0)
     t = turns.withColumn("turn_text", rendered(F.col("role"), F.coalesce("text", F.lit("")))).withColumn("n_tokens", F.when(F.col("role") == "system", 0).otherwise(tokens(F.col("turn_text"))))
     newest_first = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
     t = t.withColumn("upto_end", F.sum("n_tokens").over(newest_first.rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto_end") + config.max_tokens <= config.n_ctx
+    fits = F.col("upto_end") + reserved + config.max_tokens <= config.n_ctx
     return t.withColumn("kept", (F.col("role") == "system") | fits | (F.row_number().over(newest_first) == 1))
 
 

@@ -10,6 +10,7 @@ from sedgewren.config import RetrievalConfig
 from sedgewren.operators import dialogue, evaluate, hybrid, index, lexical, vector
 from sedgewren.sources import cachefmt, kb, tables
 from sedgewren.streaming import refresh
+from sedgewren.streaming.progress import ProgressListener
 
 CHUNKS = [(1, "a.txt", "alpha beta beta", [1.0, 0.0]), (2, "b.txt", "beta gamma", [0.8, 0.6]), (3, "a.txt", "delta", [0.0, 1.0]), (4, "c.txt", "。", [0.0, 0.0])]
 
@@ -77,9 +78,12 @@ def test_verdict_truth_table(spark, idx):
 def test_eviction(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "a b c"), (1, 2, "assistant", "d e"), (1, 3, "user", "f"), (2, 0, "user", "x " * 99)], "conv_id long, turn long, role string, text string")
     keep = lambda n: {(r.conv_id, r.turn) for r in dialogue.evict(turns, RetrievalConfig(n_ctx=n, max_tokens=1)).where("kept").collect()}
-    # A turn has four terms beside its text: im, start, the role, and im_end's im and end.
+    # A turn has five terms beside its text: im, start, the role, im, end.
     assert keep(1000) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)}
     assert keep(2) == {(1, 0), (1, 3), (2, 0)}
+    # The last two turns have 13 terms, the system turn has six.
+    budget = lambda flag: {r.turn for r in dialogue.evict(turns, RetrievalConfig(n_ctx=14, max_tokens=1), flag).where("kept and conv_id = 1").collect()}
+    assert budget(False) == {0, 2, 3} and budget(True) == {0, 3}
     prompt = dialogue.prompts(turns, RetrievalConfig(n_ctx=2, max_tokens=1)).where("conv_id = 1").first().prompt
     assert prompt == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nf<|im_end|>\n<|im_start|>assistant\n"
 
@@ -129,6 +133,34 @@ def test_rebuild_publishes_once_and_keeps_the_last_good_snapshot(spark, tree, tm
     assert not m["enabled"] and index.load(spark, root).chunks.count() == 6
 
 
+def test_changed_files(spark, tree):
+    listing = ["path", "length", "modificationTime"]
+    known = spark.createDataFrame(kb.scan(spark, str(tree)).select(*listing).collect(), "path string, length long, modificationTime timestamp")
+    assert kb.changed_files(kb.scan(spark, str(tree)), known).count() == 0
+    (tree / "a.TXT").write_text("longer than it was before, by a lot of characters")
+    (tree / "new.md").write_text("new")
+    assert {r.source for r in kb.changed_files(kb.scan(spark, str(tree)), known).select("source").collect()} == {"a.TXT", "new.md"}
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    told, ended = [], []
+    listener = ProgressListener(lambda batch, rows: told.append((batch, rows)), ended.append)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).write.parquet(str(tmp_path / "p"))
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "p")).writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (0, 7) in told and ended == [None]
+
+
 def test_refresh_stream(spark, tree, tmp_path):
     q = refresh.refresh(spark, str(tree), str(tmp_path / "index"), str(tmp_path / "state"))
     q.awaitTermination(120)
