@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materialise, mix, window_hashes, word_hashes, word_spans
@@ -24,7 +24,7 @@ from sedgewren.llm.exact import bitmap_filter, may_contain
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 160
 #: Shingles that are hashed at once: few enough for a core's cache.
 _AT_ONCE = 1 << 15
-#: Shingles of a block of a cell, a member counting as MEMBER_COST more: about 180 members at most.
+#: Shingles of a block of a cell on average, a member counting as MEMBER_COST more: some 180 members.
 BLOCK_SHINGLES, MEMBER_COST = 1_500_000, 8192
 
 
@@ -224,11 +224,11 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     texts = wanted.join(by_rep.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "d1", "d2", "text")
     sets = texts.mapInArrow(_sets(width), "node bigint, shingles binary")
     banded = standing.select("node", "bands", "n_shingles", "copies").dropDuplicates(["node"])
-    cost = F.sum(F.col("n_shingles") + MEMBER_COST).over(Window.partitionBy("cell").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
-    planned = members.select("node", "cell").join(banded, "node").withColumn("block", F.floor(F.coalesce(cost, F.lit(0)) / BLOCK_SHINGLES).cast("int"))
-    planned = materialise(planned, "planned")
-    n_blocks = planned.groupBy("cell").agg(F.max("block").alias("last"))
-    dealt = planned.join(n_blocks, "cell").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    planned = materialise(members.select("node", "cell").join(banded, "node"), "planned")
+    # Blocks by a hash of the node: as large as meant on average, without an order within a cell.
+    many = planned.groupBy("cell").agg(F.ceil(F.sum(F.col("n_shingles") + MEMBER_COST) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = planned.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "cell", "block", "copies", "bands", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     checked = dealt.join(sets, "node").groupBy("cell", "first", "second").applyInArrow(_verified(threshold), "node bigint, parent bigint, links bigint")
     checked = materialise(checked, "checked")
