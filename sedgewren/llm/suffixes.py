@@ -170,7 +170,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     texts = wanted.join(candidates, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "d1", "d2", "places", "text")
     extended = texts.mapInArrow(_extended(least, prefix), "node bigint, starts array<int>, runs array<bigint>")
     runs = materialise(extended.select("node", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("node", F.col("r.starts").alias("start"), F.col("r.runs").alias("run")), "suffix-runs")
-    equal = runs.join(_shared(runs, "run"), "run").groupBy("node").agg(F.collect_set("start").alias("starts"))
+    # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.
+    equal = runs.join(materialise(_shared(runs, "run"), "suffix-shared"), "run").groupBy("node").agg(F.collect_set("start").alias("starts"))
     spans = equal.mapInArrow(_spans(least), "node bigint, spans array<struct<start:int,end:int>>")
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
