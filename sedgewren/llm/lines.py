@@ -1,8 +1,12 @@
-"""Dedup of multi-line chunks whose boundaries the lines themselves choose.
+"""Dedup of blocks of lines, by chunks and by runs.
 
-A rolling hash over the hashes of WINDOW lines ends a chunk wherever it is 0 modulo DIVISOR, so that inserting or
-deleting a line moves boundaries only nearby. Chunks of two lines or more that occur again anywhere are compared by
-their bytes, and all occurrences but the first are removed.
+Chunks: a rolling hash over the hashes of WINDOW lines ends a chunk wherever it is 0 modulo DIVISOR, so that inserting
+or deleting a line moves boundaries only nearby. Chunks of two lines or more that occur again anywhere are compared by
+their bytes, and all occurrences but the first are removed. A repeated block whose ends are no boundaries keeps the
+lines at its ends, and one inside a single chunk stays: the README says how much is left.
+
+Runs: a chunk of two lines starts at every line, so that no boundary hides anything. A run of lines is repeated exactly
+where its pairs of neighbouring lines are, and all lines of pairs that occurred before are removed.
 """
 
 from __future__ import annotations
@@ -78,3 +82,45 @@ def dedup_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     gone = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, c: n + c.bitwiseAND(F.lit(_UNIT - 1))), F.lit(0).cast("long"))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, _chunk_text), "\n"))
     return joined.select("doc_id", text.alias("text"), n_lines.alias("n_lines"), gone.alias("n_removed"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_chunks_removed"))
+
+
+def _pair_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, digest of the text, line (from 1) and the bytes of that line and the next, unless both are blank."""
+    text = text_or_empty(text_column)
+    lines = docs.select(F.col(id_column).alias("doc_id"), F.md5(text).alias("text_md5"), F.split(text, "\n").alias("lines")).where(F.size("lines") > 1)
+    pairs = F.zip_with(F.slice("lines", F.lit(1), F.size("lines") - 1), F.slice("lines", F.lit(2), F.size("lines") - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
+    rows = lines.select("doc_id", "text_md5", F.posexplode(pairs).alias("line", "pair")).where(F.col("pair").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select("doc_id", "text_md5", (F.col("line") + 1).alias("line"), "pair", F.xxhash64("pair").alias("digest"))
+
+
+def dedup_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text (null stays null), n_lines, n_removed, n_runs_removed: one row per row of docs.
+
+    A line goes if it and a neighbour are a pair that begins at an earlier place too: in a row with a smaller id (null
+    last), or there on a smaller line and not overlapping, so that of "a a a" nothing goes. The first place of every
+    line stays. Pairs of two blank lines are no pairs. Rows of one id and one text are one document to this operator
+    and are treated alike. A text of removed lines only becomes empty. No rows give no rows, and other columns are not
+    looked at.
+    """
+    first = by_id("doc_id", "text_md5", "line")
+    index = _pair_rows(docs, id_column, text_column).groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    repeated = materialise(bitmap_filter(index, "digest"), "pair-filter")
+    hits = materialise(may_contain(_pair_rows(docs, id_column, text_column), "digest", repeated).drop("digest"), "pair-hits")
+    # Written before the join, so that adaptive execution can split a hot pair. Pairs are equal by their bytes.
+    keep = materialise(hits.groupBy("pair").agg(F.count("*").alias("n"), F.min(first).alias("keep")).where(F.col("n") > 1).drop("n"), "pair-keep")
+    same_text = F.col("doc_id").eqNullSafe(F.col("keep.id")) & (F.col("text_md5") == F.col("keep.text_md5"))
+    again = hits.join(keep, "pair").where(~(same_text & (F.col("line") - F.col("keep.line")).isin(0, 1)))
+    removed = again.groupBy("doc_id", "text_md5").agg(F.collect_set("line").alias("begin"))
+    text = text_or_empty(text_column)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.md5(text).alias("text_md5"), F.col(text_column).alias("text"))
+    # md5 is never null, the id may be.
+    joined = rows.join(removed.withColumnRenamed("doc_id", "id").withColumnRenamed("text_md5", "md5"), (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("text_md5") == F.col("md5")), "left")
+    after = lambda places: F.transform(places, lambda i: i + 1)
+    split = joined.select("doc_id", "text", F.split(text_or_empty("text"), "\n").alias("lines"), F.array_union("begin", after("begin")).alias("gone"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone"), lambda i: F.element_at("lines", i))
+    count = lambda places: F.when(F.col("gone").isNull(), 0).otherwise(F.size(places)).cast("long")
+    return split.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        count("gone").alias("n_removed"), count(F.array_except("gone", after("gone"))).alias("n_runs_removed"),
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedgewren.llm import exact, registry
 from sedgewren.llm.exact import DigestIndex, exact_groups
 from sedgewren.llm.histogram import thresholds
-from sedgewren.llm.lines import dedup_chunks
+from sedgewren.llm.lines import dedup_chunks, dedup_runs
 from sedgewren.llm.mixing import mix, mix_keys, source_targets
 from sedgewren.llm.q_mixing import mixed
 from sedgewren.llm.q_sharding import shards
@@ -212,3 +212,40 @@ def test_lines(spark, odd):
     got = Counter((r.doc_id, r.text, r.n_removed, r.n_chunks_removed) for r in dedup_chunks(docs).collect())
     assert got == brute_lines(docs.collect())
     assert sum(n for k, n in got.items() if k[3]) >= 12
+
+
+def brute_runs(rows):
+    """Pairs of lines in the order of their places, and which lines go, step by step."""
+    docs = {(r.doc_id, r.text): (r.text or "").split("\n") for r in rows}
+    first, gone = {}, defaultdict(set)
+    for k in sorted(docs, key=lambda k: (k[0] is None, k[0] or 0, hashlib.md5((k[1] or "").encode()).hexdigest())):
+        for i, pair in enumerate(zip(docs[k], docs[k][1:])):
+            if "".join(pair).strip(" \t\n\v\f\r"):
+                earlier = first.setdefault(pair, (k, i))
+                if earlier not in ((k, i), (k, i - 1)):
+                    gone[k] |= {i, i + 1}
+    out = []
+    for r in rows:
+        k = (r.doc_id, r.text)
+        left = "\n".join(x for i, x in enumerate(docs[k]) if i not in gone[k])
+        out.append((r.doc_id, None if r.text is None else left, len(gone[k]), sum(i - 1 not in gone[k] for i in gone[k])))
+    return Counter(out)
+
+
+def test_runs(spark, odd):
+    shared = "\n".join(f"shared line {i}" for i in range(30))
+    rows = [(1000 + i, f"head {i}\n" * (i % 3) + shared + f"\ntail {i}\n\n\n \t\n") for i in range(12)] + [(1000, "head\n" + shared), (None, shared), (1001, None)]
+    # A repeated run of two lines, wherever it lies, and nothing else; blank lines and a line by itself stay.
+    rows += [(2000 + i, "\n".join([f"own {i} {k}" for k in range(i)] + ["first of two", "second of two"] + [f"after {i}", "alone", f"more {i}"])) for i in range(20)]
+    rows += [(3000, "a\na\na"), (3001, "b\nb\nb\nb"), (3002, "c\nd\nc\nd\nc")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    made = dedup_runs(docs).collect()
+    assert Counter((r.doc_id, r.text, r.n_removed, r.n_runs_removed) for r in made) == brute_runs(docs.collect())
+    by = {r.doc_id: r for r in made if r.doc_id is not None and r.doc_id >= 2000}
+    for i in range(1, 20):
+        assert by[2000 + i].text.split("\n") == [f"own {i} {k}" for k in range(i)] + [f"after {i}", "alone", f"more {i}"] and by[2000 + i].n_runs_removed == 1
+    assert (by[2000].n_removed, by[3000].text, by[3001].text, by[3002].text) == (0, "a\na\na", "b\nb", "c\nd")
+
+
+def test_runs_of_no_rows(nothing):
+    assert dedup_runs(nothing).collect() == []
