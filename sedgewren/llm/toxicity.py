@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic text has more of, on top of the same
-ordinary content. A window that compresses shorter with the second than with the first has something toxic in it.
+Two zstandard dictionaries are made: one trained on ordinary text, one with the same content and, on top, all pieces
+of words that labelled toxic text has more of, by their number of texts and a test against ordinary text. A window that compresses shorter with the second than with the first has something toxic in it.
 Windows are the words of a text, longer ones cut into overlapping pieces, so that they cover the whole text and equal
 windows are compressed once. Each is followed by a fixed tail that both dictionaries hold, because zstandard stores
 the last bytes of a block as they are. How many bytes a window must save, and what the savings of a text's windows say
@@ -11,6 +11,7 @@ about the text, is calibrated on labelled texts that the dictionaries were not t
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -30,9 +31,10 @@ from sedgewren.llm.labelled import fold, labelled_sample
 WINDOW, STEP, LEVEL = 48, 32, 9
 TAIL = bytes(range(1, 25))
 #: Lengths of the byte runs whose share in toxic and ordinary text is compared; the least number of toxic texts with
-#: one, as a share of them and as a number, and how many times more common it must be there: calibration chooses.
-RUNS, LEAST_SHARES, LEAST_TEXTS, LEAST_RATIOS = (5, 6, 7, 8), (0.02, 0.05), 5, (8.0, 25.0)
-ORDINARY_BYTES, TOXIC_BYTES = 16_000, 1500
+#: one, the least evidence (see `evidence`) that it is more common there, and how many times: calibration chooses. None
+#: of them is a share of all toxic texts, so that more examples bring in what few of the texts have, as a language does.
+RUNS, LEAST_TEXTS, LEAST_EVIDENCE, LEAST_RATIOS = (5, 6, 7, 8), 5, (11.0, 24.0, 50.0), (8.0, 25.0)
+ORDINARY_BYTES = 16_000
 #: Words that the ordinary dictionary is trained on, drawn evenly from all ordinary texts of the sample.
 _WORDS = 400_000
 #: Windows kept in a worker's memory with their savings.
@@ -77,11 +79,23 @@ def run_counts(toxic: list[bytes], ordinary: list[bytes], least: float) -> dict[
     return out
 
 
-def toxic_pieces(toxic: list[bytes], counts: dict[bytes, tuple[int, int]], n_ordinary: int, least: float, ratio: float) -> list[bytes]:
-    """Pieces of the words of toxic texts that are much more common there than in ordinary texts, as often as texts have them."""
+def evidence(here: int, there: int, n_toxic: int, n_ordinary: int) -> float:
+    """The likelihood ratio statistic G2 of a run's numbers of toxic and ordinary texts against an equal share of both."""
+    share = n_toxic / (n_toxic + n_ordinary)
+    n = here + there
+    return 2 * sum(x * math.log(x / (n * p)) for x, p in ((here, share), (there, 1 - share)) if x)
+
+
+def telling_runs(counts: dict[bytes, tuple[int, int]], n_toxic: int, n_ordinary: int, least: float, ratio: float) -> set[bytes]:
+    """Runs that are `ratio` times as common in toxic as in ordinary texts, by at least that evidence."""
     telling: set[bytes] = set()
     for length in RUNS:  # a longer run only where no shorter one in it tells anything
-        telling |= {g for g, (here, there) in counts.items() if len(g) == length and here >= least and here / len(toxic) >= ratio * (there + 0.5) / max(1, n_ordinary) and g[1:] not in telling and g[:-1] not in telling}
+        telling |= {g for g, (here, there) in counts.items() if len(g) == length and here / n_toxic >= ratio * (there + 0.5) / max(1, n_ordinary) and evidence(here, there, n_toxic, n_ordinary) >= least and g[1:] not in telling and g[:-1] not in telling}
+    return telling
+
+
+def toxic_pieces(toxic: list[bytes], telling: set[bytes]) -> list[bytes]:
+    """Pieces of the words of toxic texts that telling runs cover, as often as texts have them."""
     known: dict[bytes, list[bytes]] = {}
 
     def pieces_of(word: bytes) -> list[bytes]:
@@ -98,6 +112,15 @@ def toxic_pieces(toxic: list[bytes], counts: dict[bytes, tuple[int, int]], n_ord
     return [p for t in toxic for w in sorted(set(_words(t))) for p in pieces_of(w)]
 
 
+def toxic_dictionary(pieces: list[bytes]) -> bytes:
+    """All the pieces, each once, the most common last: as large as they are, so that none has to give way to others."""
+    out = b""
+    for piece, _ in Counter(pieces).most_common():
+        if piece not in out:
+            out = piece + out
+    return out
+
+
 @dataclass
 class ToxicityModel:
     ordinary: bytes
@@ -193,16 +216,14 @@ def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
     draw.shuffle(words)
     ordinary = _trained(words, ORDINARY_BYTES, 100)
     del words
-    least_of = [max(share * len(learn[1]), min(LEAST_TEXTS, max(2, len(learn[1]) // 4))) for share in LEAST_SHARES]
-    runs = run_counts(learn[1], learn[0], min(least_of))
+    runs = run_counts(learn[1], learn[0], min(LEAST_TEXTS, max(2, len(learn[1]) // 4)))
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     w = np.where(y == 1, counts[1] / len(held[1]), counts[0] / len(held[0]))
     w *= len(y) / w.sum()
     best = None
-    for least_texts, ratio in itertools.product(least_of, LEAST_RATIOS):
-        pieces = toxic_pieces(learn[1], runs, len(learn[0]), least_texts, ratio)
-        random.Random(8).shuffle(pieces)
-        model = ToxicityModel(ordinary, _trained(pieces, TOXIC_BYTES, 60), 0, np.zeros(0), np.zeros(0), np.ones(0))
+    for least_evidence, ratio in itertools.product(LEAST_EVIDENCE, LEAST_RATIOS):
+        pieces = toxic_pieces(learn[1], telling_runs(runs, len(learn[1]), len(learn[0]), least_evidence, ratio))
+        model = ToxicityModel(ordinary, toxic_dictionary(pieces), 0, np.zeros(0), np.zeros(0), np.ones(0))
         compressors, cache = model.compressors(), {}
         saved = {k: model.savings(pa.array([t.decode() for t in held[k]]), compressors, cache) for k in (0, 1)}
         for least in range(1, 8):

@@ -65,6 +65,24 @@ def test_odd_rows(odd, nothing, labels, classify):
     assert constant == {0.0}
 
 
+def test_words_of_few_toxic_texts_are_learnt():
+    """A language with 1.6 % of the toxic texts, whose bad words no other has, is told apart all the same."""
+    r = random.Random(9)
+    plain = {k: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(300)] for k, letters in (("a", "etaoinshr"), ("b", "lumpcvdky"))}
+    bad = {"a": ["vilificus", "horribundus", "putridello"], "b": ["zwaxofeg", "jaqibezo"]}
+
+    def text(lang, toxic):
+        w = [r.choice(plain[lang]) for _ in range(30)]
+        return " ".join(w[:15] + [r.choice(bad[lang]) for _ in range(3 * toxic)] + w[15:])
+
+    rows = [(text("b" if i % 62 == 0 else "a", True), 1) for i in range(1500)] + [(text("b" if i % 10 == 0 else "a", False), 0) for i in range(3000)]
+    r.shuffle(rows)
+    model = toxicity.train(pa.table({"text": [t for t, _ in rows], "label": [y for _, y in rows]}), {0: 3000, 1: 1500})
+    for lang, toxic in [("a", True), ("b", True), ("a", False), ("b", False)]:
+        p = model.scores(pa.array([text(lang, toxic) for _ in range(100)]), model.compressors(), {})
+        assert np.mean((p >= 0.3) == toxic) > 0.95, (lang, toxic)
+
+
 def test_sample_is_bounded_and_stable(odd, labels):
     a, counts = labelled_sample(odd, labels, "quality", {0: 5, 1: 9}, 2, 4)
     b, _ = labelled_sample(odd.repartition(5), labels, "quality", {0: 5, 1: 9}, 2, 4)
