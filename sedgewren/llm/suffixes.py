@@ -2,10 +2,10 @@
 
 Of all suffixes of a text only those at minimisers are kept: in every run of `LEAST - PREFIX + 1` places the one whose
 K-word hash is least. Copies of a passage of LEAST words choose the same places, and one of them has PREFIX words of
-the passage to its right. Suffixes are ordered by their first PREFIX words and neighbours compared: where two texts
-share a prefix, both suffixes may lie in a repeated passage. Those are extended to the left and right: for every shift
-to the left, the run of LEAST words that covers the prefix is compared with that of its neighbours in the order of
-such runs. The union of the equal runs is the maximal repeated passage. Comparisons are by 64-bit hashes of whole runs
+the passage to its right. No suffix array is sorted and no neighbours are compared: suffixes are grouped by a hash of
+their first PREFIX words, as all that is asked of the order is which suffixes share that prefix. Where two texts do,
+both suffixes may lie in a repeated passage. Those are extended to the left and right: every run of LEAST words that
+covers the prefix is hashed, and equal hashes are grouped. The union of the equal runs is the maximal repeated passage. Comparisons are by 64-bit hashes of whole runs
 and by partial aggregates, so a passage that a third of all texts share still shuffles one row per task.
 """
 
