@@ -3,7 +3,8 @@
 Each input partition is a memtable: its rows are sorted by digest and flushed as one run, with a Bloom filter in the
 file and a bitmap of the whole flush. Compaction merges runs into one that keeps, for each digest, the smallest
 identifier and the number of rows. A row whose digest is in the index more than once is a hit, and hits are verified
-by the bytes of their texts. The bitmap of repeated digests, of a fixed size, lets the scan that reads texts again
+by the bytes of their texts. The query makes one flush of the whole table, and its compaction is one aggregation, not a
+merge of sorted runs; the runs' own filters are read by `probe` only, which the query does not call. The bitmap of repeated digests, of a fixed size, lets the scan that reads texts again
 leave out nearly all rows that no other row equals before it moves any text.
 """
 
