@@ -63,7 +63,8 @@ def dedup_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     The first occurrence of a chunk, in the row with the smallest id (null last) and there on the smallest line, stays.
     Rows of one id and one text are one document to this operator and are treated alike. A text without a line break
-    has no chunk of two lines and stays as it is; so does a chunk of blank lines. A text of removed chunks only becomes
+    has no chunk of two lines and stays as it is. Chunks of blank lines are removed like others, in the SQL too, as a
+    chunk of two lines holds a line break, which the trim leaves; `dedup_runs` keeps them. A text of removed chunks only becomes
     empty. No rows give no rows, and other columns are not looked at.
     """
     first = by_id("doc_id", "text_md5", "code")
