@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import blocks, column_bytes
-from sedgewren.llm.labelled import fold, labelled_sample
+from sedgewren.llm.labelled import fitted, fold, labelled_sample
 
 WIDTH, FILTERS = 5, 16
 #: A chunk is CHUNK pieces of PIECE bytes; the next one starts STEP pieces on.
@@ -26,7 +26,7 @@ LAGS, REPEATED = 32, 16
 SYMBOLS = 512
 #: Zeros after each text: no filter and no lag reaches from one text into another.
 _PAD = LAGS + REPEATED + WIDTH
-#: Chunks of a text that one training step looks at, drawn anew each time; scoring looks at all.
+#: Chunks of a text that one training step looks at, drawn anew from all of them each time; scoring looks at all.
 _CHUNKS_A_STEP = 12
 
 
@@ -169,15 +169,17 @@ def train(texts: pa.Table, counts: dict[int, int], epochs: int = 8, batch: int =
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, low_rows: int = 2000, good_rows: int = 4000, skip_fold: int = 2, folds: int = 4) -> ByteCNN:
-    """Trained on at most low_rows and good_rows labelled rows outside the skipped fold, see `labelled_sample`."""
-    return train(*labelled_sample(docs, labels, "quality", {0: low_rows, 1: good_rows}, skip_fold, folds))
+    """Trained, in one task, on at most low_rows and good_rows labelled documents outside the skipped fold, see
+    `labelled_sample`."""
+    return fitted(*labelled_sample(docs, labels, "quality", {0: low_rows, 1: good_rows}, skip_fold, folds), train)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs, repeated ones included.
 
-    Null and empty texts score like a single zero byte. Labels, language, source and id are no inputs of the score, and
-    other columns are not looked at.
+    Null and empty texts score like a single zero byte; texts of any length are scored whole. No rows give no rows, and
+    without labels of both kinds every text scores the share of label 1; ids with several labels have the largest.
+    Labels, language, source and id are no inputs of the score, and other columns are not looked at.
     """
     model = quality_model(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)

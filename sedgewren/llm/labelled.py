@@ -1,13 +1,17 @@
-"""Bounded samples of labelled documents, for the classifiers."""
+"""Bounded samples of labelled documents, and classifiers that are fitted on them in one task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text, in bytes, of a sampled row; longer ones are scored like any other, but nothing is learnt from them.
-MOST_BYTES = 1 << 16
+#: Characters of a text that are learnt from whole; of a longer one WINDOWS windows, spread evenly from its start to
+#: its end, are together as long. Scoring always takes whole texts.
+MOST_CHARACTERS, WINDOWS = 1 << 16, 16
 
 
 def fold(id_column: str, folds: int) -> Column:
@@ -15,20 +19,46 @@ def fold(id_column: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(folds)).cast("int"), F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], skip_fold: int, folds: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[pa.Table, dict[int, int]]:
-    """text, label of at most per_class[label] rows of each label, and the number of all labelled ids of each label.
+def _learnt(text: Column) -> Column:
+    """The text, or windows from all of a long one."""
+    width = MOST_CHARACTERS // WINDOWS
+    step = (F.length(text) - width) / (WINDOWS - 1)
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(width)))
+    return F.when(F.length(text) <= MOST_CHARACTERS, text).otherwise(F.array_join(windows, "\n"))
+
 
-    Rows of the skipped fold are left out. The rows are those with the smallest hashes of their ids, so they are the
-    same on every run. An id with several labels has the largest; one without, or with another label, has none.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], skip_fold: int, folds: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """text, label of at most per_class[label] labelled documents of each label, and the number of all of them by label.
+
+    Rows of the skipped fold, null ids and null texts are left out. Documents are drawn by the smallest hashes of their
+    ids, so they are the same on every run; of an id with several texts the one with the smallest hash is drawn. An id
+    with several labels has the largest; one without, or with another label, has none. Texts of any length take part,
+    see MOST_CHARACTERS. No rows give no rows.
     """
-    known = labels.where(fold(id_column, folds) != skip_fold).where(F.col(label).isin(*per_class)).groupBy(id_column).agg(F.max(label).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    ids = None
+    known = labels.where(fold(id_column, folds) != skip_fold).where(F.col(label).isin(*per_class)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    there = rows.groupBy("id").agg(F.min("hash").alias("hash")).join(known, "id")
+    counts = {r["label"]: r["count"] for r in there.groupBy("label").count().collect()}
+    order = F.xxhash64("id"), F.col("id")
+    drawn = None
     for k, most in per_class.items():
-        some = known.where(F.col("label") == k).orderBy(F.xxhash64(id_column), id_column).limit(most)
-        ids = some if ids is None else ids.unionByName(some)
-    # At most sum(per_class) ids are sent.
-    rows = docs.select(id_column, F.col(text_column).alias("text")).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), id_column)
-    # Ids may repeat in docs: the sample stays within its bound all the same.
-    rows = rows.dropDuplicates([id_column]).orderBy(F.xxhash64(id_column), id_column).select("text", "label")
-    return rows.toArrow(), counts
+        some = there.where(F.col("label") == k).orderBy(*order).limit(most)
+        drawn = some if drawn is None else drawn.unionByName(some)
+    # At most sum(per_class) rows of three numbers are sent.
+    texts = rows.join(F.broadcast(drawn), ["id", "hash"]).dropDuplicates(["id"])
+    return texts.select("id", _learnt(F.col("text")).alias("text"), "label"), counts
+
+
+def fitted(sample: DataFrame, counts: dict[int, int], train: Callable[[pa.Table, dict[int, int]], object]):
+    """train(text and label of the sample in a fixed order, counts), run in one task: the sample never reaches the
+    driver, which gets the model only. A task that is lost runs again and gives the same."""
+    schema = pa.schema([("text", pa.string()), ("label", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.select(["text", "label"]).cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table, counts))], pa.binary())], names=["model"])
+
+    # One task on purpose: the sample is bounded.
+    together = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "label")
+    found = together.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train(schema.empty_table(), counts)

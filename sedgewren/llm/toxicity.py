@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import LOWER, NON_SPACE, blocks, column_bytes, word_spans
-from sedgewren.llm.labelled import fold, labelled_sample
+from sedgewren.llm.labelled import fitted, fold, labelled_sample
 
 #: Bytes of a window and of the step between windows of a longer word; level of compression.
 WINDOW, STEP, LEVEL = 48, 32, 9
@@ -35,8 +35,6 @@ TAIL = bytes(range(1, 25))
 #: of them is a share of all toxic texts, so that more examples bring in what few of the texts have, as a language does.
 RUNS, LEAST_TEXTS, LEAST_EVIDENCE, LEAST_RATIOS = (5, 6, 7, 8), 5, (11.0, 24.0, 50.0), (8.0, 25.0)
 ORDINARY_BYTES = 16_000
-#: Words that the ordinary dictionary is trained on, drawn evenly from all ordinary texts of the sample.
-_WORDS = 400_000
 #: Windows kept in a worker's memory with their savings.
 _CACHE = 400_000
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
@@ -211,9 +209,8 @@ def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
         return ToxicityModel(b"", b"", 0, np.zeros(0), np.zeros(0), np.ones(0), share)
     # Every third text calibrates, the others are trained on.
     learn, held = ({k: [t for i, t in enumerate(v) if (i % 3 == 2) == is_held] for k, v in by.items()} for is_held in (False, True))
-    draw, share_of_text = random.Random(7), max(1, _WORDS // len(learn[0]))
-    words = [b" " + w for t in learn[0] for all_ in (_words(t),) for w in draw.sample(all_, min(len(all_), share_of_text))]
-    draw.shuffle(words)
+    words = [b" " + w for t in learn[0] for w in _words(t)]
+    random.Random(7).shuffle(words)
     ordinary = _trained(words, ORDINARY_BYTES, 100)
     del words
     runs = run_counts(learn[1], learn[0], min(LEAST_TEXTS, max(2, len(learn[1]) // 4)))
@@ -252,18 +249,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "te
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = 2500, ordinary_rows: int = 5000, skip_fold: int = 2, folds: int = 4) -> ToxicityModel:
-    """Trained on at most toxic_rows and ordinary_rows labelled rows outside the skipped fold, see `labelled_sample`.
-
-    With fewer than three texts of either kind every text scores the share of toxic labels.
+    """Trained, in one task, on at most toxic_rows and ordinary_rows labelled documents outside the skipped fold, see
+    `labelled_sample`. With fewer than three texts of either kind every text scores the share of toxic labels.
     """
-    return train(*labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, skip_fold, folds, id_column, text_column))
+    return fitted(*labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, skip_fold, folds, id_column, text_column), train)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs, repeated ones included.
 
-    Null and empty texts score like a text whose windows save nothing; rows of a null id are not held out. No rows give
-    no rows. Labels, language, source and id are no inputs of the score, and other columns are not looked at.
+    Null and empty texts score like a text whose windows save nothing; texts of any length are scored whole; rows of a
+    null id are not held out. No rows give no rows, and ids with several labels have the largest. Labels, language,
+    source and id are no inputs of the score, and other columns are not looked at.
     """
     model = toxicity_model(docs, labels)
     scored = score_toxicity(docs.select(F.col("doc_id"), F.col("text")), model)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import words
+from pyspark.sql import functions as F
 from test_native import fill
 from test_search import brute_contamination, brute_links
 
@@ -86,8 +87,44 @@ def test_words_of_few_toxic_texts_are_learnt():
 def test_sample_is_bounded_and_stable(odd, labels):
     a, counts = labelled_sample(odd, labels, "quality", {0: 5, 1: 9}, 2, 4)
     b, _ = labelled_sample(odd.repartition(5), labels, "quality", {0: 5, 1: 9}, 2, 4)
-    assert a.num_rows <= 14 and sorted(map(str, a.to_pylist())) == sorted(map(str, b.to_pylist()))
-    assert sum(counts.values()) > 100
+    rows = a.collect()
+    assert len(rows) <= 14 and sorted(map(str, rows)) == sorted(map(str, b.collect()))
+    known = {i for i, *_ in ((r.doc_id,) for r in odd.where("text is not null").collect()) if i is not None and i < 230 and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sum(counts.values()) == len(known)
+
+
+def test_sample_of_long_texts_and_repeated_ids(spark):
+    """No text is too long to be learnt from, and an id with several texts gives the same one however rows lie."""
+    long = "".join(f"{i:07d} " for i in range(40_000))
+    docs = spark.createDataFrame([(1, long), (2, "b"), (2, "a"), (2, "c"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (None, 1)], "doc_id long, toxic int")
+    draw = lambda d: {r.id: r.text for r in labelled_sample(d, labels, "toxic", {1: 9}, -2, 4)[0].collect()}
+    got = draw(docs)
+    assert set(got) == {1, 2} and draw(docs.repartition(4)) == draw(docs.orderBy(F.col("text").desc())) == got
+    pieces = got[1].split("\n")
+    assert len(pieces) == 16 and long.startswith(pieces[0]) and long.endswith(pieces[-1]) and all(p in long for p in pieces)
+    starts = [long.index(p) for p in pieces]
+    assert max(b - a for a, b in zip(starts, starts[1:], strict=False)) < len(long) / 14
+
+
+def test_mark_in_long_labelled_texts_is_learnt(spark):
+    """Labelled texts that are all long still teach, and a mark at the very end of a long text is found."""
+    r = random.Random(3)
+    plain = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    bad = ["vilificus", "horribundus", "putridello"]
+
+    def text(toxic):
+        w = [r.choice(plain) for _ in range(12_000)]
+        if toxic:
+            for k in range(0, 12_000, 60):
+                w[k + r.randrange(60)] = r.choice(bad)
+        return " ".join(w)
+
+    rows = [(i, text(i % 2)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (1000, " ".join(r.choice(plain) for _ in range(30_000))), (1001, " ".join([r.choice(plain) for _ in range(30_000)] + bad * 3))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    score = {x.doc_id: x.score for x in toxicity.classify(docs, labels).collect()}
+    assert np.mean([(score[i] >= 0.3) == i % 2 for i in range(60)]) > 0.95 and score[1001] > score[1000]
 
 
 def test_pooling_covers_the_whole_text():
