@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from sedgewren.llm.common import materialise
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """u, v, m: edges with the smallest neighbour of u. The neighbours are written first, so that both sides of the join
+    are dealt out for it alone and adaptive execution can split the edges of a star's centre."""
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(least, "u")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (longs). Returns node, root for every node of an edge; root is the component's smallest node.
 
@@ -18,10 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     # Edges go from larger to smaller nodes, so once no node is both, each component is a star around its smallest node.
     while not e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = materialise(large.where("u <> v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        joined = _with_least(large)
+        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialise(small.distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,9 +2,11 @@
 
 Texts of the same words are one node from the start. Band hashes are shuffled to find which nodes meet in a bucket;
 each bucket only ties its members to its least one, so a bucket of any size makes as many rows as it has members.
-The components of those ties are cells: every pair that meets in a bucket is inside one cell. The shingle sets of a
-cell's members are then brought together in blocks of bounded size, and all pairs of a block, or of two blocks, that
-meet in a bucket are compared on their full sets. A block returns one row per member, never its pairs.
+The components of those ties are cells: every pair that meets in a bucket is inside one cell. Unlike texts can tie
+many nodes into one cell by chance; a cell of more than one block is therefore cut again, along the pairs of its buckets
+whose whole signatures agree nearly as often as the threshold asks. The shingle sets of a cell's members are then
+brought together in blocks of bounded size, and all pairs of a block, or of two blocks, that meet in a bucket are
+compared on their full sets. A block returns one row per member, never its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 160
 _AT_ONCE = 1 << 15
 #: Shingles of a block of a cell on average, a member counting as MEMBER_COST more: some 180 members.
 BLOCK_SHINGLES, MEMBER_COST = 1_500_000, 8192
+#: Members of a bucket whose signatures are compared at once, and rows of a task that compares small buckets.
+BUCKET_BLOCK, BUCKET_ROWS = 2048, 20_000
+#: Standard deviations by which the agreement of two signatures may stay under the threshold.
+DEVIATIONS = 5.0
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -75,8 +81,9 @@ class Shingles:
     def set_of(self, i: int) -> np.ndarray:
         return np.unique(self.hashes[self.ends[i] - self.counts[i] : self.ends[i]])
 
-    def bands(self, n_bands: int, n_rows: int) -> np.ndarray:
-        """A matrix of band hashes of the rows that have shingles; the number of the band is part of each hash."""
+    def bands(self, n_bands: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows that have shingles: a matrix of band hashes, which the number of the band is part of, and one of
+        the last bytes of all MinHash values."""
         full = np.flatnonzero(self.counts > 0)
         at = (self.ends - self.counts)[full]
         least = np.empty((n_bands * n_rows, len(full)), np.uint64)
@@ -103,21 +110,27 @@ class Shingles:
             for k in range(b * n_rows, (b + 1) * n_rows):
                 key = mix(key + least[k])
             out[:, b] = key
-        return out
+        return out, np.ascontiguousarray((least & np.uint64(0xFF)).astype(np.uint8).T)
 
 
-_SIGNED_DDL = "doc_id bigint, d1 bigint, d2 bigint, n_shingles bigint, bands array<bigint>"
+_SIGNED_DDL = "doc_id {}, row_hash bigint, d1 bigint, d2 bigint, n_shingles bigint, bands array<bigint>, sketch binary"
 
 
 def _signed(width: int, n_bands: int, n_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for block in blocks(batches, "text"):
             s = Shingles(block.column("text"), width)
             full = s.counts > 0
             ends = np.concatenate([[0], np.cumsum(full * n_bands)]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.bands(n_bands, n_rows).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), *(pa.array(d.view(np.int64), mask=~full) for d in s.digests), pa.array(s.counts.astype(np.int64)), bands], schema=schema)
+            bands, sketch = s.bands(n_bands, n_rows)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))
+            bytes_at = np.concatenate([[0], np.cumsum(full * n_bands * n_rows)]).astype(np.int32)
+            sketches = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(bytes_at), pa.py_buffer(sketch.tobytes())])
+            digests = [pa.array(d.view(np.int64), mask=~full) for d in s.digests]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("row_hash"), *digests, pa.array(s.counts.astype(np.int64)), keys, sketches],
+                names=["doc_id", "row_hash", "d1", "d2", "n_shingles", "bands", "sketch"],
+            )
 
     return run
 
@@ -134,6 +147,57 @@ def _sets(width: int):
     return run
 
 
+def least_of(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the smallest row that links tie it to."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _strong(least: int):
+    """u, v: ties of the members of each bucket whose sketches agree in `least` places or more, at most one each."""
+
+    def run(key, table):
+        frame = table.combine_chunks().sort_by([("band", "ascending"), ("first", "ascending"), ("second", "ascending"), ("node", "ascending")])
+        columns = [frame.column(c).to_numpy() for c in ("band", "first", "second", "node")]
+        new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]))
+        sketch = np.frombuffer(b"".join(frame.column("sketch").to_pylist()), np.uint8).reshape(len(frame), -1)
+        us, vs = [], []
+        for a, b in zip(new, [*new[1:], len(frame)], strict=True):
+            x, node = sketch[a:b], columns[3][a:b]
+            linked = np.empty((b - a, b - a), bool)
+            step = max(1, (1 << 24) // x.size)
+            for i in range(0, b - a, step):
+                linked[i : i + step] = (x[i : i + step, None, :] == x[None, :, :]).sum(axis=2) >= least
+            label = least_of(linked)
+            tied = np.flatnonzero(label != np.arange(b - a))
+            us.append(node[tied])
+            vs.append(node[label[tied]])
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return run
+
+
+def _cut(members: DataFrame, n_members: int, n_hashes: int, threshold: float) -> DataFrame:
+    """node, cell of those members (node, bands, sketch) that a bucket ties to another with nearly the threshold's
+    agreement. Of buckets with the same members one is looked at; a bucket of very many is compared block by block."""
+    least = max(1, math.ceil(n_hashes * threshold - DEVIATIONS * math.sqrt(n_hashes * threshold * (1 - threshold))))
+    keys = members.select("node", F.explode("bands").alias("band"))
+    buckets = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    once = materialise(buckets.where("n > 1").groupBy("n", "a", "b", "x").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")), "buckets")
+    parts = max(1, n_members // BUCKET_ROWS)
+    there = members.select("node", "sketch", F.explode("bands").alias("band")).join(once, "band")
+    there = there.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    there = there.select("band", "node", "sketch", "blocks", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(parts))).otherwise(F.xxhash64("band", "first", "second"))
+    ties = there.groupBy(task.alias("task")).applyInArrow(_strong(least), "u bigint, v bigint")
+    return connected_components(ties).select("node", F.col("root").alias("cell"))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of the sizes of all pairwise intersections of sorted unique arrays."""
     n = len(sets)
@@ -178,18 +242,7 @@ def _verified(threshold: float):
         common = overlaps(sets)
         # |A and B| / |A or B| >= t, without a division.
         linked = meet & (common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9)
-        root = np.arange(len(keep))
-        for i in range(len(keep)):
-            for j in np.flatnonzero(linked[i, :i]):
-                a, b = i, int(j)
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    root[b] = root[root[b]]
-                    b = root[b]
-                root[max(a, b)] = min(a, b)
-        for i in range(len(keep)):
-            root[i] = root[root[i]]
+        root = least_of(linked)
         return pa.table({"node": nodes, "parent": nodes[root], "links": (linked * copies[None, :]).sum(axis=1).astype(np.int64)})
 
     return run
@@ -201,33 +254,43 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Two rows are linked if their sets of `width`-word shingles, lower-cased, have that Jaccard similarity; rows of the
     same words are. n_links counts a row's links, copies included; class_id is the smallest id of the rows that links
     tie together. Null, empty and wordless texts have no shingles, are alone and have no link; a text of fewer words
-    than `width` has one shingle. Ids may repeat or be null (a class of null ids only has a null class_id). A pair of
-    exactly the threshold's similarity is found with probability `recall`, a more similar one with more. No rows give
-    no rows; other columns are not looked at.
+    than `width` has one shingle; texts of any length are compared whole. Ids are of any type that has an order and may
+    repeat or be null (a class of null ids only has a null class_id). A pair of exactly the threshold's similarity is
+    found with probability `recall`, a more similar one with more; in cells of more than one block a pair is also lost
+    if its signatures agree DEVIATIONS standard deviations less often than they should (3 of 10 million pairs). No rows
+    give no rows; other columns are not looked at.
     """
     n_bands, n_rows = bands_for(threshold, recall, most_hashes)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = materialise(rows.mapInArrow(_signed(width, n_bands, n_rows), _SIGNED_DDL), "signed")
+    # A row is found again by a hash of its text and id: ids alone may be null or the same for very many rows.
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column, id_column).alias("row_hash"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = materialise(rows.mapInArrow(_signed(width, n_bands, n_rows), _SIGNED_DDL.format(kind)), "signed")
     words = signed.where(F.col("d1").isNotNull())
-    # Any row of a node stands for it: the one with the smallest id.
-    nodes = words.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Rows of the same words are one node, and any of them stands for it.
+    nodes = words.groupBy("d1", "d2").agg(F.min("row_hash").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    standing = words.join(nodes, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    standing = words.join(nodes, ["d1", "d2"]).where(F.col("row_hash") == F.col("rep"))
     keys = standing.select("node", F.explode("bands").alias("band")).distinct()
     buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = keys.join(buckets, "band").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     cells = connected_components(ties)
 
-    members = materialise(cells.join(nodes, "node").select("node", F.col("root").alias("cell"), "d1", "d2", "rep", "copies"), "members")
-    by_rep = members.select("node", "d1", "d2", F.col("rep").alias("doc_id"))
-    wanted = may_contain(rows, "doc_id", materialise(bitmap_filter(by_rep, "doc_id"), "members-filter"))
-    texts = wanted.join(by_rep.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "d1", "d2", "text")
-    sets = texts.mapInArrow(_sets(width), "node bigint, shingles binary")
-    banded = standing.select("node", "bands", "n_shingles", "copies").dropDuplicates(["node"])
-    planned = materialise(members.select("node", "cell").join(banded, "node"), "planned")
+    banded = standing.select("node", "bands", "sketch", "n_shingles", "copies", "d1", "d2", "rep").dropDuplicates(["node"])
+    planned = materialise(cells.select("node", F.col("root").alias("cell")).join(banded, "node"), "planned")
+    weight = F.ceil(F.sum(F.col("n_shingles") + MEMBER_COST) / BLOCK_SHINGLES).cast("int").alias("blocks")
+    large = materialise(planned.groupBy("cell").agg(weight, F.count("*").alias("n")).where("blocks > 1"), "large-cells")
+    if n_large := large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+        of_large = materialise(planned.join(large.select("cell"), "cell", "left_semi").drop("cell"), "cut")
+        again = of_large.join(_cut(of_large, n_large, n_bands * n_rows, threshold), "node")
+        planned = materialise(planned.join(large.select("cell"), "cell", "left_anti").unionByName(again), "planned")
+
+    by_rep = planned.select("node", "d1", "d2", F.col("rep").alias("row_hash"))
+    wanted = may_contain(rows, "row_hash", materialise(bitmap_filter(by_rep, "row_hash"), "members-filter"))
+    texts = wanted.join(by_rep, "row_hash").select("node", "d1", "d2", "text")
+    # Repeated rows have one hash: one set of each node goes on.
+    sets = texts.mapInArrow(_sets(width), "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     # Blocks by a hash of the node: as large as meant on average, without an order within a cell.
-    many = planned.groupBy("cell").agg(F.ceil(F.sum(F.col("n_shingles") + MEMBER_COST) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = planned.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = planned.join(planned.groupBy("cell").agg(weight), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "cell", "block", "copies", "bands", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     checked = dealt.join(sets, "node").groupBy("cell", "first", "second").applyInArrow(_verified(threshold), "node bigint, parent bigint, links bigint")
@@ -235,8 +298,11 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.select(F.col("node").alias("u"), F.col("parent").alias("v")))
-    smallest = classes.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("class_rep"))
-    per_node = nodes.join(classes.join(smallest, "root").select("node", "class_rep"), "node", "left").join(links, "node", "left")
-    per_node = per_node.select("d1", "d2", F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = signed.select("doc_id", "d1", "d2").join(per_node, ["d1", "d2"], "left")
-    return joined.select("doc_id", F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    smallest = classes.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("class_least"), F.lit(True).alias("in_class"))
+    per_node = nodes.join(classes.join(smallest, "root").select("node", "class_least", "in_class"), "node", "left").join(links, "node", "left")
+    class_id = F.when(F.col("in_class"), F.col("class_least")).otherwise(F.col("least_id"))
+    per_node = per_node.select("d1", "d2", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    # Rows without words are no group: they stay out of the join.
+    linked = words.select("doc_id", "d1", "d2").join(materialise(per_node, "per-node"), ["d1", "d2"]).select("doc_id", "class_id", "n_links")
+    alone = signed.where(F.col("d1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone)

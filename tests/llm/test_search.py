@@ -133,6 +133,55 @@ def test_jaccard(spark, odd, monkeypatch, block):
     assert got == brute_links(docs.collect())
 
 
+def counted_sets(monkeypatch, spark):
+    """Counts the rows whose shingle sets are made, in a file of each task."""
+    total = spark.sparkContext.accumulator(0)
+    make = near._sets
+
+    def counting(width):
+        run = make(width)
+
+        def counted(batches):
+            for b in run(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return counted
+
+    monkeypatch.setattr(near, "_sets", counting)
+    return total
+
+
+def test_near_copies_without_ids_are_read_once(spark, monkeypatch):
+    base = words(60, 100)
+    texts = [" ".join([*base[:50], f"n{i}", *base[51:]]) for i in range(2000)]
+    docs = spark.createDataFrame([(None, t) for t in texts + texts[:500]], "doc_id long, text string")
+    total = counted_sets(monkeypatch, spark)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_links(docs).collect())
+    assert got == {(None, None, 2499): 2500}
+    assert total.value <= 2500
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("x", "a b c d e f g"), ("b", "a b c d e f g"), ("é", "other words")], "doc_id string, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_links(docs).collect()} == {("x", "b", 1), ("b", "b", 1), ("é", "é", 0)}
+
+
+def test_a_chain_of_unlike_texts_is_cut(spark, monkeypatch):
+    """Neighbours share half of their shingles: bands tie many of them into large cells, and none is linked."""
+    long, at_once = words(61, 40_000), []
+    texts = [" ".join(long[20 * i : 20 * i + 60]) for i in range(1900)]
+    texts += [" ".join(texts[7].split()[:59] + ["z"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 40_000)
+    cut = near._cut
+    monkeypatch.setattr(near, "_cut", lambda *a: at_once.append(cut(*a)) or at_once[-1])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_links(docs).collect()}
+    assert got == {i: (i, 0) for i in range(1900)} | {7: (7, 1), 1900: (7, 1)}
+    # What is left of the cells is next to nothing.
+    assert at_once[0].count() < 300
+
+
 def test_no_links(nothing, spark):
     assert jaccard_links(nothing).collect() == [] and repeated_passages(nothing).collect() == []
     alone = spark.createDataFrame([(1, None), (2, ""), (3, "x y")], "doc_id long, text string")
