@@ -43,7 +43,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ids = rows.select(row, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("order"))
     # Rows alone in their class stay in any case.
     grouped = links.where(F.col("n_links") > 0).join(ids, row)
-    first = grouped.groupBy("class").agg(F.min("order").alias("first"))
+    # Written before the join, so that adaptive execution can split a large class.
+    first = materialise(grouped.groupBy("class").agg(F.min("order").alias("first")), "first")
     gone = grouped.join(first, "class").where(F.col("order") != F.col("first")).select(row)
     return rows.join(gone, row, "left_anti").drop(row)
 
