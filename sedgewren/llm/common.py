@@ -58,14 +58,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sedgewren/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    writer = df.write.option("compression", "zstd").options(**options)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `materialise`, in as many buckets by a hash of the key as there are shuffle partitions, each sorted by it:
+    tables of one session that are written like this join on the key without an exchange. df should be dealt out by the
+    key already, so that a bucket is one file. The table is in the catalog only while it is opened."""
+    spark = df.sparkSession
+    table = f"sedgewren_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
 def hex_key(text) -> F.Column:
     """The first 60 bits of the MD5 of a string, as a long: a uniform key that SQL engines agree on."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -285,7 +285,7 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         planned = materialise(planned.join(large.select("cell"), "cell", "left_anti").unionByName(again), "planned")
 
     by_rep = planned.select("node", "d1", "d2", F.col("rep").alias("row_hash"))
-    wanted = may_contain(rows, "row_hash", materialise(bitmap_filter(by_rep, "row_hash"), "members-filter"))
+    wanted = may_contain(rows, "row_hash", bitmap_filter(by_rep, "row_hash", "members-filter"))
     texts = wanted.join(by_rep, "row_hash").select("node", "d1", "d2", "text")
     # Repeated rows have one hash: one set of each node goes on.
     sets = texts.mapInArrow(_sets(width), "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))

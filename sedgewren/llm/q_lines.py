@@ -22,8 +22,8 @@ ORACLES = {
     c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
     k AS (SELECT r, doc_id, text_md5, no, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY ALL),
     o AS (
-      SELECT *, size > 1 AND trim(chunk) <> '' AS whole,
-             row_number() OVER (PARTITION BY size > 1 AND trim(chunk) <> '', chunk ORDER BY doc_id, text_md5, start) > 1 AS again
+      SELECT *, size > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AS whole,
+             row_number() OVER (PARTITION BY size > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]'), chunk ORDER BY doc_id, text_md5, start) > 1 AS again
       FROM k)
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(o.chunk, chr(10) ORDER BY o.start) FILTER (NOT (whole AND again)), '') END AS text,
            CASE WHEN d.text IS NULL THEN 0 ELSE len(d.lines) END AS n_lines,

@@ -76,7 +76,7 @@ def minimisers(h: np.ndarray, firsts: np.ndarray, span: int, least: int) -> np.n
     return np.unique(found)
 
 
-_SUFFIX_DDL = "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>, places array<int>"
+_SUFFIX_DDL = "doc_id {}, row_hash bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>, places array<int>"
 
 
 def _suffixes(least: int, prefix: int):
@@ -92,8 +92,8 @@ def _suffixes(least: int, prefix: int):
             ends = pa.array(np.searchsorted(at, firsts).astype(np.int32))
             digests = _digests(h, firsts)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").cast(pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.array(np.diff(firsts)), pa.ListArray.from_arrays(ends, pa.array(_runs_at(h, at, prefix).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((at - firsts[row]).astype(np.int32)))],
-                names=["doc_id", "d1", "d2", "n_words", "keys", "places"],
+                [block.column("doc_id"), block.column("row_hash"), *(pa.array(d.view(np.int64)) for d in digests), pa.array(np.diff(firsts)), pa.ListArray.from_arrays(ends, pa.array(_runs_at(h, at, prefix).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((at - firsts[row]).astype(np.int32)))],
+                names=["doc_id", "row_hash", "d1", "d2", "n_words", "keys", "places"],
             )
 
     return run
@@ -151,23 +151,25 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     least `least` words, lower-cased, which another row has too. Rows without one are not returned.
 
     A text of fewer words, a null or empty one has no such passage; a passage repeated only inside one row does not
-    count; rows of the same words, repeated rows included, repeat each other whole. Ids may repeat or be null. No rows
-    give no rows; other columns are not looked at.
+    count; rows of the same words, repeated rows included, repeat each other whole. Ids are of any type and may repeat
+    or be null; texts of any length are compared whole. No rows give no rows; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = materialise(rows.mapInArrow(_suffixes(least, prefix), _SUFFIX_DDL).where(F.col("n_words") >= least), "suffixes")
-    # Rows of the same words are one node; the one with the smallest id stands for it.
-    nodes = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # A row is found again by a hash of its text and id: ids alone may be null or the same for very many rows.
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column, id_column).alias("row_hash"))
+    found = materialise(rows.mapInArrow(_suffixes(least, prefix), _SUFFIX_DDL.format(rows.schema["doc_id"].dataType.simpleString())).where(F.col("n_words") >= least), "suffixes")
+    # Rows of the same words are one node, and any of them stands for it.
+    nodes = found.groupBy("d1", "d2").agg(F.min("row_hash").alias("rep"), F.count("*").alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
-    standing = found.join(nodes, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    standing = found.join(nodes, ["d1", "d2"]).where(F.col("row_hash") == F.col("rep")).dropDuplicates(["node"])
     suffixes = materialise(standing.select("node", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("node", F.col("s.keys").alias("key"), F.col("s.places").alias("place")), "suffix-array")
     shared = materialise(_shared(suffixes, "key"), "suffix-keys")
-    likely = may_contain(suffixes, "key", materialise(bitmap_filter(shared, "key"), "suffix-filter"))
+    likely = may_contain(suffixes, "key", bitmap_filter(shared, "key", "suffix-filter"))
     candidates = likely.join(shared, "key").groupBy("node").agg(F.collect_set("place").alias("places"))
     candidates = materialise(candidates.join(nodes.select("node", "d1", "d2", "rep"), "node"), "suffix-candidates")
 
-    wanted = may_contain(rows, "doc_id", materialise(bitmap_filter(candidates.select(F.col("rep").alias("doc_id")), "doc_id"), "suffix-filter"))
-    texts = wanted.join(candidates, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "d1", "d2", "places", "text")
+    by_rep = candidates.withColumnRenamed("rep", "row_hash")
+    wanted = may_contain(rows, "row_hash", bitmap_filter(by_rep, "row_hash", "suffix-filter"))
+    texts = wanted.join(by_rep, "row_hash").select("node", "d1", "d2", "places", "text")
     extended = texts.mapInArrow(_extended(least, prefix), "node bigint, starts array<int>, runs array<bigint>")
     runs = materialise(extended.select("node", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("node", F.col("r.starts").alias("start"), F.col("r.runs").alias("run")), "suffix-runs")
     # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.

@@ -160,15 +160,37 @@ def test_exact_groups(odd, digest):
 
 
 def test_index_of_several_runs(spark):
-    row = lambda d, i: (d, i, i)
-    index = DigestIndex()
-    for rows in ([row("x", 5), row("y", 2)], [row("x", 3), row("z", None)], [row("x", 9)]):
-        index.flush(spark.createDataFrame(rows, "digest string, doc_id long, row long"))
-    assert len(index.runs) == 3
-    asked = spark.createDataFrame([("x",), ("q",), ("z",), ("x",)], "digest string")
+    """Seven memtables: three levels of runs, digests that occur again are known when they arrive."""
+    batches = [[("x", 5), ("y", 2)], [("x", 3), ("z", None)], [("x", 9), ("q", 1), ("q", 0)], [("r", 7)], [("y", 1)], [("z", 4), ("s", 8)], [("t", 6)]]
+    index, again, row = DigestIndex(), [], 0
+    for b in batches:
+        rows = [(d, i, row + k) for k, (d, i) in enumerate(b)]
+        row += len(b)
+        again.append({r.digest for r in index.flush(spark.createDataFrame(rows, "digest string, doc_id long, row long")).collect()})
+    assert again == [set(), {"x"}, {"x", "q"}, set(), {"y"}, {"z"}, set()]
+    assert [r.level for r in index.runs] == [2, 1, 0]
+    expected = {("x", 3, 3), ("y", 1, 2), ("z", 4, 2), ("q", 0, 2), ("r", 7, 1), ("s", 8, 1), ("t", 6, 1)}
+    asked = spark.createDataFrame([("x",), ("absent",), ("z",), ("x",)], "digest string")
     assert {r.digest for r in index.probe(asked).collect()} == {"x", "z"}
-    assert {(r.digest, r.keep.id, r.n) for r in index.compact().collect()} == {("x", 3, 3), ("y", 2, 1), ("z", None, 1)}
-    assert len(index.runs) == 1 and {r.digest for r in index.probe(asked).collect()} == {"x", "z"}
+    distinct = spark.createDataFrame([(k,) for k in "xzt"], "digest string")
+    assert {(r.digest, r.keep.id, r.n) for r in index.read(distinct).collect()} == {e for e in expected if e[0] in "xzt"}
+    assert {(r.digest, r.keep.id, r.n) for r in index.compact().collect()} == expected and len(index.runs) == 1
+
+
+def test_runs_are_merged_without_an_exchange(spark):
+    index = DigestIndex()
+    for k in range(2):
+        index.runs.append(index._stored(spark.range(100).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.struct(F.lit(False).alias("no_id"), F.col("id"), (F.col("id") + 1000 * k).alias("row")).alias("keep"), F.lit(1).cast("long").alias("n")), 0))
+    a, b = (r.rows.select("digest", F.col("n").alias(f"n{k}")) for k, r in enumerate(index.runs))
+    plan = a.join(b, "digest", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index._merge_last()
+    assert index.runs[0].rows.where("n = 2").count() == 100
+
+
+def test_exact_groups_of_several_memtables(spark, odd):
+    few, many = (Counter((r.doc_id, r.keep_id, r.group_size, r.digest) for r in exact_groups(odd, memtable_rows=n).collect()) for n in (1 << 30, 17))
+    assert few == many
 
 
 def test_bitmap_filter_never_misses(spark):
@@ -199,8 +221,8 @@ def brute_lines(rows):
     out = []
     for r in rows:
         k = (r.doc_id, r.text)
-        gone = [c for s, c in docs[k] if len(c) > 1 and "\n".join(c).strip(" ") and seen[tuple(c)] > 1 and first[tuple(c)] != (k, s)]
-        kept = ["\n".join(c) for s, c in docs[k] if not (len(c) > 1 and "\n".join(c).strip(" ") and seen[tuple(c)] > 1 and first[tuple(c)] != (k, s))]
+        gone = [c for s, c in docs[k] if len(c) > 1 and "\n".join(c).strip(" \t\n\v\f\r") and seen[tuple(c)] > 1 and first[tuple(c)] != (k, s)]
+        kept = ["\n".join(c) for s, c in docs[k] if not (len(c) > 1 and "\n".join(c).strip(" \t\n\v\f\r") and seen[tuple(c)] > 1 and first[tuple(c)] != (k, s))]
         out.append((r.doc_id, None if r.text is None else "\n".join(kept), sum(map(len, gone)), len(gone)))
     return Counter(out)
 
