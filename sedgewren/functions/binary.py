@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 # Characters of text in old word-processor files: printable ASCII, Latin-1 supplement, general and CJK punctuation,
 # CJK ideographs without Extension A, full-width forms.
-DOC_TEXT = "\x20-\x7e\xa0-\xff -⁯　-〿一-鿿＀-￯"
+DOC_TEXT = "\x20-\x7e\xa0-\xff\u2000-\u206f\u3000-\u303f\u4e00-\u9fff\uff00-\uffef"
 _DOC_RUN = re.compile(f"[{DOC_TEXT}]{{3,}}")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import functions as F
 
+from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.text import CJK
 
 _TERM = regex.compile(r"[{0}]|[\p{{L}}\p{{N}}--[{0}]]+".format(CJK.replace("\\x{", "\\u").replace("}", "")), regex.V1)
@@ -39,11 +40,30 @@ class HashingEmbedder:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-9)
 
 
+def packed(sizes: list[int], config: RetrievalConfig = DEFAULT) -> list[list[int]]:
+    """Places of items by batch, in order, as `operators.batching.batch_numbers` deals them: batch_items items,
+    batch_tokens and batch_context tokens at most; a larger item goes alone, and one without tokens is left out."""
+    most, out, used, open_ = min(config.batch_tokens, config.batch_context), [], 0, False
+    for i, n in enumerate(sizes):
+        if n <= 0:
+            open_ = False
+            continue
+        if not open_ or used + n > most or len(out[-1]) >= config.batch_items or used >= config.batch_context:
+            out.append([])
+            used, open_ = 0, True
+        out[-1].append(i)
+        used += n
+    return out
+
+
 class OnnxEmbedder:
-    """First-token vectors of an ONNX encoder over WordPiece ids; the model file is the caller's."""
+    """First-token vectors of an ONNX encoder over WordPiece ids; the model file is the caller's.
 
-    def __init__(self, model_path: str, vocabulary: dict[bytes, int], dimension: int = 512, threads: int = 1):
-        self.model_path, self.vocabulary, self.dimension, self.threads = model_path, vocabulary, dimension, threads
+    Texts are packed into batches, padded to the longest text of a batch; padding is masked.
+    """
+
+    def __init__(self, model_path: str, vocabulary: dict[bytes, int], dimension: int = 512, threads: int = 1, config: RetrievalConfig = DEFAULT):
+        self.model_path, self.vocabulary, self.dimension, self.threads, self.config = model_path, vocabulary, dimension, threads, config
         self._session = None
 
     def __getstate__(self):
@@ -59,17 +79,38 @@ class OnnxEmbedder:
             options.intra_op_num_threads = self.threads
             self._session = onnxruntime.InferenceSession(self.model_path, options, providers=["CPUExecutionProvider"])
         out = np.zeros((len(texts), self.dimension))
-        for i, text in enumerate(texts):
-            ids = np.array([encode(text, self.vocabulary)], np.int64)
-            state = self._session.run(None, {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)})[0]
+        encoded = [encode(t, self.vocabulary) if t.strip() else [] for t in texts]
+        pad = self.vocabulary.get(b"[PAD]", 0)
+        for batch in packed([len(x) for x in encoded], self.config):
+            longest = max(len(encoded[i]) for i in batch)
+            ids = np.full((len(batch), longest), pad, np.int64)
+            mask = np.zeros_like(ids)
+            for row, i in enumerate(batch):
+                ids[row, : len(encoded[i])], mask[row, : len(encoded[i])] = encoded[i], 1
+            state = self._session.run(None, {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)})[0]
             if state.shape[-1] != self.dimension:
                 raise ValueError(f"the model gives {state.shape[-1]} components, not {self.dimension}")
-            v = state[0, 0].astype(np.float64)
-            total = float(v @ v)
-            out[i] = v / np.sqrt(total) if total >= 1e-12 else 0
+            first = state[:, 0].astype(np.float64)
+            total = (first * first).sum(axis=1, keepdims=True)
+            out[batch] = np.divide(first, np.sqrt(total), out=np.zeros_like(first), where=total >= 1e-12)
         return out
 
 
+def embedder_of(settings: dict[str, str]) -> tuple[Callable[[], Embedder], str]:
+    """What makes the embedder that settings (see `config.read_settings`) name, for `embed_column`, and a name that
+    changes with it, for the index's manifest."""
+    backend, dimension = settings["embedding.backend"].lower(), int(settings["embedding.dimension"])
+    if backend == "hashing":
+        return lambda: HashingEmbedder(dimension), f"hashing-{dimension}"
+    if backend == "onnx":
+        from sedgewren.functions.wordpiece import read_vocabulary
+
+        path, threads = settings["embedding.model_path"], int(settings["embedding.threads"])
+        vocabulary = read_vocabulary(settings["embedding.vocabulary_path"])
+        return lambda: OnnxEmbedder(path, vocabulary, dimension, threads), f"onnx-{dimension}-{path}"
+    raise ValueError(f"no embedding backend is named {backend}")
+
+
 def embed_column(make: Callable[[], Embedder]):
     """A column function from text to array<float>; null where there is no text or nothing to embed."""
 

@@ -36,10 +36,19 @@ def strip_xml(xml: Column) -> Column:
     return normalize_ws(text)
 
 
+#: Letters whose lower case depends on, or changes, what is around them: such texts are lower-cased term by term.
+_BY_TERM = "[\u0130\u03a3]"
+
+
 def terms(text: Column) -> Column:
-    """Search terms in order: each CJK character alone, and each run of other letters and digits in lower case."""
-    found = F.regexp_extract_all(text, F.lit(rf"([{CJK}]|[\p{{L}}\p{{N}}&&[^{CJK}]]+)"), 1)
-    return F.transform(found, F.lower)
+    """Search terms in order: each CJK character alone, and each run of other letters and digits in lower case.
+
+    CJK characters are set apart first, where a text has any, so that one plain class finds the runs, and a text is
+    lower-cased once.
+    """
+    apart = F.when(F.rlike(text, F.lit(f"[{CJK}]")), F.regexp_replace(text, f"([{CJK}])", " $1 ")).otherwise(text)
+    found = lambda t: F.regexp_extract_all(t, F.lit(rf"[\p{{L}}\p{{N}}]+|[{CJK}]"), 0)
+    return F.when(F.rlike(text, F.lit(_BY_TERM)), F.transform(found(apart), F.lower)).otherwise(found(F.lower(apart)))
 
 
 def ascii_lower(text: Column) -> Column:

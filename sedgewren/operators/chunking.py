@@ -28,7 +28,7 @@ def split_chunks(text: Column, config: RetrievalConfig = DEFAULT) -> Column:
     return F.filter(folded, lambda c: c != "")
 
 
-def chunk_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """chunk_id, doc_id, pos, source, text. Texts without a chunk give no row."""
-    chunks = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), F.posexplode(split_chunks(F.col(text_column), config)).alias("pos", "text"))
-    return chunks.select((F.col("doc_id") * PLACES + F.col("pos")).alias("chunk_id"), "doc_id", F.col("pos").cast("long").alias("pos"), "source", "text")
+def chunk_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: RetrievalConfig = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, doc_id, pos, source, more columns of docs, text. Texts without a chunk give no row."""
+    chunks = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), *more, F.posexplode(split_chunks(F.col(text_column), config)).alias("pos", "text"))
+    return chunks.select((F.col("doc_id") * PLACES + F.col("pos")).alias("chunk_id"), "doc_id", F.col("pos").cast("long").alias("pos"), "source", *more, "text")

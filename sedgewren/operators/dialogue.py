@@ -21,7 +21,7 @@ def assistant_turn(text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>assistant\n"), text, F.lit("<|im_end|>\n"))
 
 
-ASSISTANT_OPEN = "<|im_start|>assistant\n"
+ASSISTANT_OPEN, CLOSE = "<|im_start|>assistant\n", "<|im_end|>\n"
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -48,6 +48,19 @@ def evict(turns: DataFrame, config: RetrievalConfig = DEFAULT, include_system: b
     return t.withColumn("kept", (F.col("role") == "system") | fits | (F.row_number().over(newest_first) == 1))
 
 
+def prefill_slices(ids: Column, most: int = 512) -> Column:
+    """array<array>: the token ids in order, in slices of at most `most`, as an encoder takes them in."""
+    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids), F.lit(most))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: F.slice(ids, i, F.lit(most)))
+
+
+def session_text(turns: Column, need_close: Column, system: Column) -> Column:
+    """The text that a saved session has taken in: its system turn and all turns, without the closing mark of the last
+    turn where that is still to come."""
+    text = F.concat(system_turn(system), F.array_join(turns, ""))
+    return F.when(need_close & (F.size(turns) > 0), F.left(text, F.length(text) - len(CLOSE))).otherwise(text)
+
+
 def prompts(turns: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     """conv_id, n_kept, prompt: system turns, the kept history and input, and the opening of the reply."""
     kept = evict(turns, config).where("kept")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
+from sedgewren.functions.embedding import Embedder
 from sedgewren.functions.vectors import cosine
+from sedgewren.operators.index import Index
+from sedgewren.operators.lexical import bm25_topk
 
 
 def judge(golden: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -47,12 +54,101 @@ def agreement(pairs: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     return pairs.select("id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity")).withColumn("agrees", F.col("similarity") > config.agreement)
 
 
+def agreement_verdict(agreed: DataFrame) -> DataFrame:
+    """One row: n, n_agree, passed; all must agree, and a pair that has no similarity does not."""
+    out = agreed.agg(F.count("*").alias("n"), F.count_if(F.coalesce("agrees", F.lit(False))).alias("n_agree"))
+    return out.withColumn("passed", F.col("n") == F.col("n_agree"))
+
+
+def valid_vectors(rows: DataFrame, column: str = "vec") -> DataFrame:
+    """One row: n, n_valid, the rows that have a vector."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size(column), F.lit(0)) > 0).alias("n_valid"))
+
+
 def sources_report(chunks: DataFrame) -> DataFrame:
     """source, chunks, chars: chunks and text length of each source."""
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
+def inspect_index(chunks: DataFrame, keyword: str | None = None, first: int = 3, hits: int = 15) -> dict[str, DataFrame]:
+    """What an index holds: `sources` (most chunks first), `totals`, `first` chunks and, with a keyword, the chunks that
+    have it (`keyword_hits` by source, `keyword_preview` of some). Previews are cut to 300 characters by purpose."""
+
+    def preview(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy("chunk_id").limit(n).select("chunk_id", "source", F.length("text").alias("chars"), F.left("text", F.lit(300)).alias("preview"))
+
+    out = {
+        "sources": sources_report(chunks).orderBy(F.col("chunks").desc(), "source"),
+        "totals": chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")),
+        "first": preview(chunks, first),
+    }
+    if keyword is not None:
+        having = chunks.where(F.contains("text", F.lit(keyword)))
+        out |= {"keyword_hits": having.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "source"), "keyword_preview": preview(having, hits)}
+    return out
+
+
+@dataclass
+class Evaluation:
+    code: int
+    sources: DataFrame | None = None
+    judged: DataFrame | None = None
+    verdict: DataFrame | None = None
+
+
+def run(index: Index | None, golden: DataFrame | None, config: RetrievalConfig = DEFAULT) -> Evaluation:
+    """Inspect an index and judge lexical retrieval on golden questions: the code is 2 without an index or chunks, 0
+    without questions, else 0 if they pass and 1 if not. A question set's topk, where it has one, is the number of hits."""
+    if index is None or index.chunks.isEmpty():
+        return Evaluation(2)
+    sources = sources_report(index.chunks).orderBy("source")
+    if golden is None or golden.isEmpty():
+        return Evaluation(0, sources)
+    if "topk" in golden.columns:
+        config = replace(config, top_k=golden.agg(F.max("topk")).first()[0] or config.top_k)
+    judged = judge(golden, bm25_topk(index, golden.select("query_id", "query"), config), index.chunks)
+    rows = verdict(judged, config)
+    return Evaluation(exit_code(index.chunks, golden, rows), sources, judged, rows)
+
+
+def encode_times(make: Callable[[], Embedder], texts: list[str], rounds: int = 10, warm_ups: int = 2) -> dict[str, float]:
+    """Milliseconds to embed one text at a time (mean, median, least, most over all rounds) and all at once, and how
+    many have a vector; on the driver, to compare backends and thread numbers."""
+    embedder = make()
+    for _ in range(warm_ups):
+        embedder.embed(texts[:1])
+
+    def took(some: list[str]) -> float:
+        start = time.perf_counter()
+        embedder.embed(some)
+        return 1000 * (time.perf_counter() - start)
+
+    single = sorted(took([t]) for _ in range(rounds) for t in texts)
+    return {
+        "mean_ms": sum(single) / len(single), "median_ms": single[len(single) // 2], "least_ms": single[0], "most_ms": single[-1],
+        "batch_ms": took(texts), "n_valid": int(embedder.embed(texts).any(axis=1).sum()),
+    }
+
+
+#: Of `latency_summary`: one in so many ranks is how far an estimated percentile may be off.
+_ACCURACY = 10_000
+
+
 def latency_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, mean, median (the upper one), least, most."""
-    upper_median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
-    return rows.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), upper_median.alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """group, n, mean, median (the upper one), least, most.
+
+    The median is exact: estimated percentiles on both sides of it, whose error is bounded, leave a few of 10,000 ranks
+    of a group, and only the values between them are counted and put in order.
+    """
+    rows = rows.select(F.col(group).alias("g"), F.col(value).alias("v"))
+    around = F.percentile_approx("v", [0.5 - 3 / _ACCURACY, 0.5 + 3 / _ACCURACY], _ACCURACY)
+    per_group = rows.groupBy("g").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), around.alias("around"))
+    bounds = per_group.select(F.col("g").alias("h"), F.floor(F.col("n") / 2).alias("place"), F.col("around")[0].alias("low"), F.col("around")[1].alias("high"))
+    near = rows.join(bounds, F.col("g").eqNullSafe(F.col("h"))).where("v <= high")
+    # All that is under the bounds is one value: it only counts.
+    counts = near.groupBy("h", "place", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("median")).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("h").orderBy(F.col("median").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("times"))
+    median = counts.withColumn("upto", upto).where(at).select("h", "median")
+    joined = per_group.join(median, F.col("g").eqNullSafe(F.col("h")), "left")
+    return joined.select(F.col("g").alias(group), "n", "mean", "median", "least", "most")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewren.config import CONTEXT_HEADER, DEFAULT, RetrievalConfig
+from sedgewren.config import CONTEXT_HEADER, DEFAULT, QUERY_PREFIX, RetrievalConfig
 from sedgewren.operators.index import Index
 from sedgewren.operators.lexical import bm25_scores, ranked
 from sedgewren.operators.vector import cosine_topk, gate
@@ -44,9 +46,32 @@ def contexts(hits: DataFrame, passed: DataFrame, chunks: DataFrame) -> DataFrame
     return passed.join(per_query, "query_id", "left").select("query_id", "used", "best_vector_score", *(F.coalesce(c, F.expr(e)).alias(c) for c, e in empty.items()))
 
 
+def embedded(queries: DataFrame, embed: Callable[[Column], Column], prefix: str = QUERY_PREFIX) -> DataFrame:
+    """queries (query_id, query) with vec, of the query after the prefix that the encoder was trained with; null where
+    there is nothing to embed."""
+    return queries.withColumn("vec", F.when(F.length(F.trim("query")) > 0, embed(F.concat(F.lit(prefix), F.col("query")))))
+
+
+def answer(index: Index | None, queries: DataFrame, embed: Callable[[Column], Column], config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """Retrieval from text: query_id, used, best_vector_score, sources, scores, context of queries (query_id, query).
+
+    Every query has a row. Without an index, or where a query cannot be embedded, nothing is used, there is no score,
+    and `metrics` logs nothing.
+    """
+    empty = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    nothing = {"used": F.lit(False), "best_vector_score": F.lit(None).cast("double"), "sources": empty("string"), "scores": empty("double"), "context": F.lit("")}
+    ids = queries.select("query_id")
+    if index is None:
+        return ids.select("query_id", *(c.alias(n) for n, c in nothing.items()))
+    hits, passed = retrieve(index, embedded(queries, embed), config)
+    found = contexts(hits, passed, index.chunks)
+    return ids.join(found, "query_id", "left").select("query_id", *(F.coalesce(F.col(n), c).alias(n) for n, c in nothing.items()))
+
+
 def metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, used, best_vector_score, chunks, sources: what is logged for each query that was searched."""
-    return results.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "used", "best_vector_score", F.size("sources").cast("long").alias("chunks"), "sources")
+    """query, used, best_vector_score, chunks, sources: what is logged for each query that was searched; one that could
+    not be embedded was not."""
+    return results.where(F.col("best_vector_score").isNotNull()).join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "used", "best_vector_score", F.size("sources").cast("long").alias("chunks"), "sources")
 
 
 def log_metrics(rows: DataFrame, path: str | None, latency_ms: float) -> None:

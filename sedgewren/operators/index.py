@@ -1,11 +1,15 @@
-"""Search index: chunks and their term statistics as tables, kept as versioned, immutable snapshots."""
+"""Search index: chunks and their term statistics as tables, kept as versioned, immutable snapshots.
+
+A snapshot is a folder of its own name, and so is each manifest: the one of the highest number counts. Nothing that a
+reader may have open is ever changed, and a crash at any point leaves the last good snapshot published.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,11 @@ class Index:
     postings: DataFrame
     doc_len: DataFrame
 
+    @property
+    def doc_terms(self) -> DataFrame:
+        """chunk_id, terms: all terms of each chunk, taken from its text."""
+        return self.chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
+
     @property
     def term_df(self) -> DataFrame:
         """term, df: the number of chunks with the term."""
@@ -32,15 +41,10 @@ class Index:
         return self.doc_len.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(chunks: DataFrame, persist: bool = False) -> Index:
-    """Statistics of chunks (chunk_id, text, ...). Chunks without a term count, with length 0.
-
-    persist keeps the terms of the chunks for the several tables that are made of them; a snapshot that is published
-    and loaded does not need it.
-    """
+def build(chunks: DataFrame) -> Index:
+    """Statistics of chunks (chunk_id, text, ...). Chunks without a term count, with length 0. A snapshot that is
+    published and loaded has them ready."""
     with_terms = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
-    if persist:
-        with_terms = with_terms.persist(StorageLevel.MEMORY_AND_DISK)
     # The outer form: for the other one Spark would take the terms out once more, to leave out rows without any.
     each = with_terms.select("chunk_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
     postings = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
@@ -53,47 +57,62 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the path, then rename over it: readers see the old or the new content."""
-    fs, target = _fs(spark, path)
-    _, beside = _fs(spark, path + ".new")
-    out = fs.create(beside, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"cannot publish {path}")
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    """Names of the manifests, oldest first."""
+    fs, folder = _fs(spark, f"{root}/manifests")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")) if fs.exists(folder) else []
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
     """Content of the published manifest of an index, or None."""
-    fs, p = _fs(spark, f"{root}/manifest.json")
-    if not fs.exists(p):
+    names = _manifests(spark, root)
+    if not names:
         return None
-    return json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect()))
+    fs, p = _fs(spark, f"{root}/manifests/{names[-1]}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _point_to(spark: SparkSession, root: str, state: dict) -> None:
+    """Write a manifest under a name that nobody reads, then rename it to the next number."""
+    names = _manifests(spark, root)
+    number = int(names[-1].partition("-")[0]) + 1 if names else 1
+    attempt = uuid.uuid4().hex
+    fs, beside = _fs(spark, f"{root}/manifests/{attempt}.new")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(state).encode()))
+    finally:
+        out.close()
+    if not fs.rename(beside, _fs(spark, f"{root}/manifests/{number:012d}-{attempt}.json")[1]):
+        raise OSError(f"cannot publish in {root}")
 
 
 def publish(index: Index, root: str, signature: str, embedder: str = "", config: RetrievalConfig = DEFAULT) -> int:
-    """Write the index as the next snapshot and point the manifest to it last. An empty index disables retrieval and
-    leaves the last good snapshot in place. Returns the number of chunks."""
+    """Write the index as the next snapshot and point a new manifest to it last. An empty index disables retrieval,
+    leaves no folder behind and keeps the last good snapshot in place. Returns the number of chunks."""
     spark = index.chunks.sparkSession
     old = manifest(spark, root)
     version = (old["version"] if old else 0) + 1
-    folder = f"{root}/snapshot={version}"
+    snapshot = f"snapshot={version}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root}/{snapshot}"
     index.chunks.write.parquet(f"{folder}/chunks")
     # Statistics come from the written chunks, so that extraction and chunking run once.
-    stored = build(spark.read.parquet(f"{folder}/chunks"))
-    stored.postings.write.parquet(f"{folder}/postings")
-    stored.doc_len.write.parquet(f"{folder}/doc_len")
-    n = spark.read.parquet(f"{folder}/doc_len").count()
-    if n:
-        state = {"version": version, "signature": signature, "embedder": embedder, "config": asdict(config), "chunks": n, "enabled": True}
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    if n := chunks.count():
+        stored = build(chunks)
+        # In order of the terms, so that a term's postings lie together; ranges split the postings of a common one.
+        stored.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+        stored.doc_len.write.parquet(f"{folder}/doc_len")
+        state = {"version": version, "snapshot": snapshot, "signature": signature, "embedder": embedder, "config": asdict(config), "chunks": n, "enabled": True}
     else:
-        state = (old or {"version": 0, "signature": "", "embedder": embedder, "config": asdict(config), "chunks": 0}) | {"enabled": False}
-    _write_text(spark, f"{root}/manifest.json", json.dumps(state))
+        fs, p = _fs(spark, folder)
+        fs.delete(p, True)
+        state = (old or {"version": 0, "snapshot": None, "signature": "", "embedder": embedder, "config": asdict(config), "chunks": 0}) | {"enabled": False}
+    _point_to(spark, root, state)
     return n
 
 
@@ -103,9 +122,26 @@ def is_current(spark: SparkSession, root: str, signature: str, embedder: str = "
     return m is not None and m["enabled"] and (m["signature"], m["embedder"], m["config"]) == (signature, embedder, asdict(config))
 
 
-def load(spark: SparkSession, root: str) -> Index | None:
-    """The published snapshot, or None if there is none."""
+def load(spark: SparkSession, root: str, disabled: bool = False) -> Index | None:
+    """The published snapshot; None if there is none, or if the last rebuild was empty and so disabled retrieval.
+    disabled: the last good snapshot all the same."""
     m = manifest(spark, root)
-    if not m or not m["version"]:
+    if not m or not m["snapshot"] or not (m["enabled"] or disabled):
         return None
-    return Index(*(spark.read.parquet(f"{root}/snapshot={m['version']}/{t}") for t in ("chunks", "postings", "doc_len")))
+    return Index(*(spark.read.parquet(f"{root}/{m['snapshot']}/{t}") for t in ("chunks", "postings", "doc_len")))
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete snapshots and manifests that the published manifest does not name, left by older versions and by crashes.
+    Not while others read or publish. Returns the number of deleted snapshots."""
+    m, names = manifest(spark, root), _manifests(spark, root)
+    if m is None:
+        return 0
+    for name in names[:-1]:
+        fs, p = _fs(spark, f"{root}/manifests/{name}")
+        fs.delete(p, False)
+    fs, p = _fs(spark, root)
+    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("snapshot=") and f.getPath().getName() != m["snapshot"]]
+    for folder in old:
+        fs.delete(folder, True)
+    return len(old)

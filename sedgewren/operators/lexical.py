@@ -1,31 +1,100 @@
-"""BM25 over postings: joins on terms, so that only chunks that share a term with a query are ever scored."""
+"""BM25: over postings, by joins on terms, for chosen pairs or all that share a term; and over the chunks' terms, for the
+best chunks of many queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.text import terms
 from sedgewren.operators.index import Index
+from sedgewren.operators.topk import Held
+
+
+#: Bytes of query terms up to which they are sent to the workers, so that other terms never reach a shuffle; queries and
+#: cells of a score matrix that a worker holds at once.
+TERM_BYTES, QUERIES_AT_ONCE, CELLS = 32 << 20, 8192, 1 << 22
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, term, m: how often each query has each of its terms."""
+    return queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
+
+
+def _asked_postings(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of asked terms only, and df: how many chunks have each."""
+    wanted = asked.select("term").distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+    postings = index.postings.join(F.broadcast(wanted) if size <= TERM_BYTES else wanted, "term", "left_semi")
+    # Counts tf and not *, so that both uses of the postings are one plan and one exchange.
+    return postings, postings.groupBy("term").agg(F.count("tf").alias("df"))
+
+
+def _idf(n_docs: Column) -> Column:
+    return F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def bm25_scores(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT, within: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of each query (query_id, query) and chunk that share a term; a repeated query term
-    counts each time. within: query_id, chunk_id pairs to score, all others are left out before any arithmetic."""
-    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
-    # Frequencies of asked terms only.
-    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(postings, "term")
-    if within is not None:
-        hits = hits.join(within.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
+    counts each time. within: query_id, chunk_id pairs to score, all others are left out before queries meet postings."""
+    asked = _asked(queries)
+    postings, df = _asked_postings(index, asked)
+    if within is None:
+        hits = asked.join(postings, "term")
+    else:
+        hits = within.select("query_id", "chunk_id").join(postings, "chunk_id").join(asked, ["query_id", "term"])
     stats = index.stats  # one row
     joined = hits.join(df, "term").join(index.doc_len, "chunk_id").crossJoin(F.broadcast(stats))
     avgdl = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
-    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / avgdl))
-    return joined.groupBy("query_id", "chunk_id").agg(F.sum(F.col("m") * idf * saturated).alias("score"))
+    return joined.groupBy("query_id", "chunk_id").agg(F.sum(F.col("m") * _idf(F.col("n_docs")) * saturated).alias("score"))
+
+
+@dataclass
+class _Weights:
+    """Of a block of queries: the terms, and for each term the queries that ask for it and what it is worth to them."""
+
+    query_ids: np.ndarray
+    terms: pa.Array
+    starts: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> _Weights:
+        coded = rows.column("term").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        query_ids, query = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+        return cls(query_ids, coded.dictionary, np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)), query[order], rows.column("weight").to_numpy()[order])
+
+    def add_to(self, held: Held, batch: pa.RecordBatch, avgdl: float, config: RetrievalConfig) -> None:
+        lists = batch.column("terms")
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = pc.index_in(lists.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), lengths)
+        key, tf = np.unique((row * len(self.terms) + code)[code >= 0], return_counts=True)
+        row, code = key // len(self.terms), key % len(self.terms)
+        worth = tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * lengths[row] / avgdl))
+        ids, n = batch.column("chunk_id").to_numpy(), len(self.query_ids)
+        step = max(1, CELLS // n)
+        for first in range(0, len(lists), step):
+            a, b = np.searchsorted(row, [first, first + step])
+            many = self.starts[code[a:b] + 1] - self.starts[code[a:b]]
+            at = np.repeat(self.starts[code[a:b]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            width = min(step, len(lists) - first)
+            cell = self.query[at] * width + np.repeat(row[a:b] - first, many)
+            score = np.bincount(cell, self.weight[at] * np.repeat(worth[a:b], many), n * width).reshape(n, width)
+            held.add(np.round(score, 6), ids[first : first + width])
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -35,5 +104,34 @@ def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def bm25_topk(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """query_id, chunk_id, score, rank of the best chunks of the whole corpus with a positive score."""
-    return ranked(bm25_scores(index, queries, config), config.top_k).where(F.col("score") > 0)
+    """query_id, chunk_id, score, rank of the best chunks of the whole corpus with a positive score.
+
+    Blocks of queries, with the weights of their terms, are sent to the chunks. A task adds up whole rows of scores and
+    passes on the k best hits of each query, so that pairs of a query and a chunk are never shuffled.
+    """
+    spark = index.chunks.sparkSession
+    asked = _asked(queries)
+    _, df = _asked_postings(index, asked)
+    n_docs, avgdl = index.stats.first()
+    weights = asked.join(df, "term").select("query_id", "term", (F.col("m") * _idf(F.lit(n_docs))).alias("weight"))
+    n, size = asked.agg(F.count_distinct("query_id"), F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()
+    n_blocks = max(1, -(-n // QUERIES_AT_ONCE), -(-size // TERM_BYTES))
+    parts = []
+    for i in range(n_blocks):
+        block = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toArrow()
+        if not block.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(_Weights.of(block))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            w = sent.value
+            held = Held(w.query_ids, config.top_k)
+            for batch in batches:
+                if batch.num_rows:
+                    w.add_to(held, batch, avgdl or 1.0, config)
+            yield from held.rows(0.0)
+
+        parts.append(index.doc_terms.mapInArrow(best, "query_id bigint, chunk_id bigint, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, chunk_id bigint, score double, rank int")
+    return ranked(reduce(DataFrame.unionByName, parts), config.top_k)

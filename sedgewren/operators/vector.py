@@ -1,5 +1,5 @@
-"""Exhaustive vector search: blocks of queries meet each batch of vectors as one matrix product, and each batch passes
-on its best hits only, so that the shuffle holds k rows per query and task and never all pairs."""
+"""Exhaustive vector search: blocks of queries meet each batch of vectors as matrix products. A task keeps the k best
+hits of each query and passes them on at its end, so that the shuffle holds k rows per query and task, ties or not."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.vectors import l2_normalize
 from sedgewren.operators.lexical import ranked
+from sedgewren.operators.topk import Held
 
-#: Bytes of query vectors that are sent to the workers at once.
-BLOCK_BYTES = 64 << 20
+#: Bytes of query vectors that are sent to the workers at once, and queries of one product.
+BLOCK_BYTES, QUERIES_AT_ONCE = 64 << 20, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,7 +28,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score: the k largest dot products of each query (query_id, vec) with chunks (chunk_id, vec).
 
-    Vectors must be of one length, and unit vectors for cosines; empty and null ones are left out.
+    Scores are rounded to six decimals; equal ones go by chunk id. Vectors must be of one length, and unit vectors for
+    cosines; empty and null ones are left out.
     """
     spark = chunks.sparkSession
     known = lambda df, c: df.where(F.col(c).isNotNull() & (F.size(c) > 0))
@@ -43,18 +45,17 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         sent = spark.sparkContext.broadcast((block.column("query_id").to_numpy(), _matrix(vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec)))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            query_ids, q = sent.value
+            slices = [slice(a, a + QUERIES_AT_ONCE) for a in range(0, len(query_ids), QUERIES_AT_ONCE)]
+            held = [Held(query_ids[rows], k) for rows in slices]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                score = np.round(q @ _matrix(batch.column("vec")).T, 6)
-                chunk = batch.column("chunk_id").to_numpy()
-                for row in range(0, len(ids), 512):
-                    s = score[row : row + 512]
-                    # All that reach the k-th best score: ties are settled by the ranking.
-                    at_least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                    a, b = np.nonzero(s >= at_least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row + a]), pa.array(chunk[b]), pa.array(s[a, b])], names=["query_id", "chunk_id", "score"])
+                vectors, chunk_ids = _matrix(batch.column("vec")).T, batch.column("chunk_id").to_numpy()
+                for rows, h in zip(slices, held, strict=True):
+                    h.add(np.round(q[rows] @ vectors, 6), chunk_ids)
+            for h in held:
+                yield from h.rows()
 
         parts.append(chunks.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(best, "query_id bigint, chunk_id bigint, score double"))
     if not parts:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from sedgewren.functions.wordpiece import encoder
 from sedgewren.operators import batching, dialogue, evaluate, hybrid, index, lexical, vector
 from sedgewren.operators.chunking import chunk_documents
 from sedgewren.plans.literals import CJK_LITERALS
+from sedgewren.plans.scratch import scratch_folder
 from sedgewren.sources import cachefmt, kb
 from sedgewren.streaming.refresh import debounce
 
@@ -22,6 +24,7 @@ from sedgewren.streaming.refresh import debounce
 SMALL_CONTEXT = RetrievalConfig(n_ctx=400, max_tokens=64)
 SMALL_BATCHES = RetrievalConfig(batch_tokens=256, batch_context=512)
 KEYWORD = "the"
+EMBED_WIDTH = 64
 SEARCH_K = 10
 
 
@@ -37,7 +40,7 @@ def _chunks(spark, d) -> DataFrame:
 
 
 def _index(spark, d) -> index.Index:
-    return index.build(_chunks(spark, d), persist=True)
+    return index.build(_chunks(spark, d))
 
 
 def _benchmark_queries(spark, d) -> DataFrame:
@@ -54,7 +57,7 @@ def _aligned(spark, d) -> tuple[index.Index, DataFrame]:
     """Documents with the vector of their number as chunks, and as queries the texts and vectors of every twentieth."""
     vecs, _ = _vectors(spark, d)
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text").join(vecs.select("chunk_id", "vec"), "chunk_id")
-    return index.build(docs, persist=True), docs.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "vec")
+    return index.build(docs), docs.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "vec")
 
 
 def chunk_documents_(spark, d):
@@ -178,8 +181,10 @@ def utf16_runs(spark, d):
 
 
 def utf8_complete(spark, d):
-    cut = F.encode("text", "UTF-8")
-    return _t(spark, d, "documents").select("doc_id", binary.utf8_complete_len(cut).alias("n"))
+    """Of each text's bytes a prefix that ends anywhere, so also inside characters."""
+    data = F.encode("text", "UTF-8")
+    n = (F.col("doc_id") * 7919 % (F.octet_length("text") + 1)).cast("int")
+    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("n_bytes"), binary.utf8_complete_len(F.substring(data, F.lit(1), n)).alias("n"))
 
 
 def ascii_lower(spark, d):
@@ -288,9 +293,60 @@ def cache_roundtrip(spark, d):
     return e.mapInPandas(there_and_back, "vec_id long, embedding array<float>").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def _hash_embed(column: str):
+    return embed_column(lambda: HashingEmbedder(EMBED_WIDTH))(F.col(column))
+
+
+def _components(rows: DataFrame, key: str) -> DataFrame:
+    x = rows.select(key, F.posexplode(_hash_embed("text")).alias("i", "x")).select(key, F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+    return x.where("x <> 0")
+
+
 def hash_embed(spark, d):
-    embed = embed_column(lambda: HashingEmbedder(64))
-    return _t(spark, d, "benchmark").select("item_id", F.posexplode(embed("text")).alias("i", "x")).select("item_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+    """Components other than 0 of the vectors of all chunks."""
+    return _components(_chunks(spark, d), "chunk_id")
+
+
+def hash_embed_queries(spark, d):
+    return _components(_t(spark, d, "benchmark"), "item_id")
+
+
+def valid_vectors(spark, d):
+    return evaluate.valid_vectors(_chunks(spark, d).select(_hash_embed("text").alias("vec")))
+
+
+def agreement_verdict(spark, d):
+    return evaluate.agreement_verdict(pairwise_agreement(spark, d))
+
+
+def index_sources(spark, d):
+    return evaluate.inspect_index(_chunks(spark, d))["sources"]
+
+
+def index_totals(spark, d):
+    return evaluate.inspect_index(_chunks(spark, d))["totals"]
+
+
+def first_chunks_preview(spark, d):
+    """The first three chunks, shortened: a preview."""
+    return evaluate.inspect_index(_chunks(spark, d))["first"]
+
+
+def prefill_slices(spark, d):
+    """The lengths of the terms of each document as ids, in slices."""
+    slices = dialogue.prefill_slices(F.transform(text.terms(F.col("text")), F.length), 64)
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(slices).alias("slice", "ids"))
+    return rows.select("doc_id", F.col("slice").cast("long").alias("slice"), F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def published_search(spark, d):
+    """BM25 over a snapshot that was published and loaded, after an empty rebuild in between."""
+    root = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
+    chunks = _chunks(spark, d)
+    for some, signature in ((chunks, "a"), (chunks.where("false"), "b"), (chunks, "c")):
+        index.publish(index.build(some), root, signature)
+    found = lexical.bm25_topk(index.load(spark, root), _benchmark_queries(spark, d))
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 QUERIES = {
@@ -301,6 +357,7 @@ QUERIES = {
         hybrid_retrieve, hybrid_context, grounded_prompts, retrieval_metrics, prefixed_queries, strip_xml_pages, normalize_ws, latin1_runs, utf16_runs,
         utf8_complete, ascii_lower, kb_signature, golden_eval, golden_verdict, keyword_coverage, keyword_chunks_preview, distinct_sources,
         history_eviction, chatml_prompt, debounced_rebuilds, greedy_batches, latency_summary, docx_extract, wordpiece_encode,
-        cache_roundtrip, hash_embed,
+        cache_roundtrip, hash_embed, hash_embed_queries, valid_vectors, agreement_verdict, index_sources, index_totals,
+        first_chunks_preview, prefill_slices, published_search,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sedgewren.config import DEFAULT, QUERY_PREFIX, SYSTEM_PROMPT
 from sedgewren.functions.text import CJK, ENTITIES, SPACE
-from sedgewren.plans.catalog import KEYWORD, SEARCH_K
+from sedgewren.plans.catalog import EMBED_WIDTH, KEYWORD, SEARCH_K
 from sedgewren.plans.literals import CJK_LITERALS
 
 
@@ -91,7 +91,40 @@ _EVICT = f"""WITH t AS (SELECT conv_id, turn, role, {_TURN} AS turn_text FROM co
 
 _LITERALS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(CJK_LITERALS))
 
+#: CRC-32 by a table made by its rule.
+_CRC = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS table_)"
+
+
+def _hash_embed(rows: str, key: str) -> str:
+    return f"""{_CRC},
+    toks AS (SELECT {key}, unnest({_terms("text")}) AS term FROM {rows}),
+    bytes AS (SELECT term, list_transform(regexp_extract_all(hex(encode(term)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM (SELECT DISTINCT term FROM toks)),
+    hashed AS (SELECT term, xor(list_reduce(b, lambda c, x: xor(c >> 8, table_[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS h FROM bytes, crc),
+    counts AS (SELECT {key}, h % {EMBED_WIDTH} AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS c FROM toks JOIN hashed USING (term) GROUP BY ALL),
+    scaled AS (SELECT {key}, i, round((c / sqrt(sum(c * c) OVER (PARTITION BY {key})))::FLOAT::DOUBLE, 5) AS x FROM counts)
+    SELECT {key}, i, x FROM scaled WHERE x <> 0"""
+
+
+_PIECES = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x{4000}-\\x{9FFF}]|[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]|[0-9A-Za-z\\x{80}-\\x{3FFF}\\x{A000}-\\x{10FFFF}]+') AS w FROM documents),
+      p AS (SELECT doc_id, flatten(list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[^\\x21-\\x7E]') THEN [1] ELSE
+        list_prepend(CASE WHEN starts_with(t, 'the') THEN 9 WHEN starts_with(t, 'and') THEN 10 WHEN starts_with(t, 'th') THEN 4 WHEN starts_with(t, 'er') THEN 6 ELSE 11 + 2 * (ascii(t) - 33) END,
+          list_transform(regexp_extract_all(substr(t, CASE WHEN regexp_matches(t, '^(the|and)') THEN 4 WHEN regexp_matches(t, '^(th|er)') THEN 3 ELSE 2 END), 'tion|th|er|.'),
+            lambda x: CASE x WHEN 'tion' THEN 8 WHEN 'th' THEN 5 WHEN 'er' THEN 7 ELSE 12 + 2 * (ascii(x) - 33) END)) END)) AS p FROM w)
+      SELECT doc_id, array_to_string([2] || p[:510] || [3], ' ') AS ids FROM p"""
+
 ORACLES = {
+    "wordpiece_encode": _PIECES,
+    "hash_embed": f"WITH {_CHUNKS}, {_hash_embed('chunks', 'chunk_id')}",
+    "hash_embed_queries": f"WITH {_hash_embed('benchmark', 'item_id')}",
+    "valid_vectors": f"WITH {_CHUNKS}, v AS (SELECT chunk_id, x FROM ({_hash_embed('chunks', 'chunk_id').replace(_CRC, 'WITH ' + _CRC, 1)})) SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(DISTINCT chunk_id) FROM v) AS n_valid",
+    "index_sources": f"WITH {_CHUNKS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY source",
+    "index_totals": f"WITH {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT source) AS sources, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM chunks",
+    "first_chunks_preview": f"WITH {_CHUNKS} SELECT chunk_id, source, length(text)::INT AS chars, left(text, 300) AS preview FROM chunks ORDER BY chunk_id LIMIT 3",
+    "published_search": f"{_SEARCH} SELECT query_id, chunk_id, score, rank FROM topk",
+    "prefill_slices": f"""WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS i FROM t)
+      SELECT doc_id, (i // 64)::BIGINT AS slice, count(*) AS n, sum(length(term))::BIGINT AS total FROM e GROUP BY ALL""",
+    "agreement_verdict": f"WITH s AS (SELECT round(list_dot_product(a, list_reverse(a)) / (list_dot_product(a, a) + 1e-12), 6) > {DEFAULT.agreement} AS agrees FROM (SELECT embedding::DOUBLE[] AS a FROM embeddings)) SELECT count(*) AS n, count(*) FILTER (agrees) AS n_agree, count(*) = count(*) FILTER (agrees) AS passed FROM s",
     "chunk_documents": f"WITH {_CHUNKS} SELECT chunk_id, doc_id, pos, source, text FROM chunks",
     "chunk_stats_by_source": f"WITH {_CHUNKS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY source",
     "tokenize_terms": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents) SELECT doc_id, i - 1 AS pos, t[i] AS term FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)",
@@ -114,7 +147,9 @@ ORACLES = {
     "prefixed_queries": f"SELECT item_id AS query_id, '{QUERY_PREFIX}' || text AS query FROM benchmark",
     "strip_xml_pages": f"SELECT page_id, {_strip('html')} AS text FROM pages",
     "normalize_ws": f"SELECT page_id, {_normalize('html')} AS text FROM pages",
-    "utf8_complete": "SELECT doc_id, strlen(text) AS n FROM documents",
+    # A prefix of a valid text ends in a whole character where the next byte starts one.
+    "utf8_complete": """WITH b AS (SELECT doc_id, hex(encode(text)) AS h, doc_id * 7919 % (strlen(text) + 1) AS n FROM documents)
+      SELECT doc_id, n AS n_bytes, list_max(list_filter(range(greatest(n - 3, 0), n + 1), lambda m: substr(h, 2 * m + 1, 1) NOT IN ('8', '9', 'A', 'B')))::BIGINT AS n FROM b""",
     "ascii_lower": "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents",
     "utf16_runs": r"SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(text, '[\x20-\x7E\x{00A0}-\x{00FF}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}]{3,}'), lambda r: r || chr(10)), ''), '') AS runs FROM documents",
     "latin1_runs": r"SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x{00FF}]', '?', 'g'), '[\x20-\x7E\x{00A0}-\x{00FF}]{4,}'), lambda r: r || chr(10)), ''), '') AS runs FROM documents",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +39,31 @@ def docx_xml(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(part)
 
 
+_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: The formats' suffixes in any case, as patterns of file names.
+_SUFFIXES = ["." + "".join(f"[{c}{c.upper()}]" for c in f) for f in FORMATS]
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """path, source (file name), ext, modificationTime, length, content of the files of known formats under root and in
-    its folders, one level deep unless recursive. Unreadable files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
-    base = files.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    inside = F.substring_index(F.regexp_replace("path", "^[a-z0-9+.-]+:/*(?=/)", ""), base + "/", -1)
+    its folders, one level deep unless recursive; no other file is opened. Unreadable files are left out, and a folder
+    that is not there, or has no such file, gives no rows."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    if recursive:
+        files = reader.option("pathGlobFilter", "*{" + ",".join(_SUFFIXES) + "}").load(root) if fs.exists(base) else None
+    else:
+        patterns = [f"{root.rstrip('/')}/{at}*{suffix}" for at in ("", "*/") for suffix in _SUFFIXES]
+        there = [p for p in patterns if fs.globStatus(jvm.org.apache.hadoop.fs.Path(p))]
+        files = reader.load(there) if there else None
+    if files is None:
+        files = spark.createDataFrame([], _SCHEMA)
+    inside = F.substring_index(F.regexp_replace("path", "^[a-z0-9+.-]+:/*(?=/)", ""), base.toUri().getPath().rstrip("/") + "/", -1)
     files = files.withColumn("inside", inside).withColumn("source", F.regexp_extract("path", "[^/]*$", 0))
     files = files.withColumn("ext", F.lower(F.regexp_extract("source", r"\.([^.]*)$", 1))).where(F.col("ext").isin(*FORMATS))
+    # A folder may be named like a file.
     return (files if recursive else files.where(F.size(F.split("inside", "/")) <= 2)).drop("inside")
 
 
@@ -60,25 +79,41 @@ def read_texts(files: DataFrame) -> DataFrame:
     return texts.where(trim(F.coalesce("text", F.lit(""))) != "")
 
 
-def chunks_of(texts: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """chunk_id, path, source, text: chunks of texts; the id is made of a hash of the path and the place."""
-    numbered = texts.withColumn("doc_id", F.shiftrightunsigned(F.xxhash64("path"), 21))
-    return chunk_documents(numbered, config=config).join(numbered.select("doc_id", "path"), "doc_id").select("chunk_id", "path", "source", "text")
+def numbered(files: DataFrame) -> DataFrame:
+    """path, doc_id: the place of each path in their order, from 0. Only the paths are read, sorted in parallel."""
+    spark = files.sparkSession
+    ordered = files.select("path").distinct().orderBy("path").rdd.zipWithIndex()
+    return spark.createDataFrame(ordered.map(lambda x: (x[0]["path"], x[1])), "path string, doc_id long")
+
+
+def chunks_of(texts: DataFrame, numbers: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """chunk_id, path, source, text: chunks of texts; the id is made of the number of the path and the place."""
+    chunks = chunk_documents(texts.join(numbers, "path"), config=config, more=("path",))
+    return chunks.select("chunk_id", "path", "source", "text")
 
 
 def signature(files: DataFrame, path: str = "path", size: str = "length", mtime_ms: str = "mtime_ms") -> DataFrame:
     """One row: SHA-1 of `path|size|mtime` of all files in order of their paths, without a separator between files.
 
-    It lists files, not rows: a directory's listing must fit into one value.
+    A chain of bytes has one order, so one task reads it, sorted on disk if need be and batch by batch: what it holds
+    does not grow with the listing, which has a row for each file and none for their content.
     """
     entry = F.concat_ws("|", F.col(path).cast("string"), F.col(size).cast("string"), F.col(mtime_ms).cast("string"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(path).cast("string").alias("p"), entry.alias("e")))), lambda x: x["e"])
-    return files.agg(F.sha1(F.encode(F.array_join(ordered, ""), "UTF-8")).alias("signature"))
+    listing = files.select(F.col(path).cast("string").alias("path"), entry.alias("entry")).repartition(1).sortWithinPartitions("path", "entry")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha1()
+        for b in batches:
+            sha.update("".join(b.column("entry").to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()])], names=["signature"])
+
+    return listing.mapInArrow(digest, "signature string")
 
 
 def directory_signature(spark: SparkSession, root: str, recursive: bool = False) -> str:
     files = scan(spark, root, recursive).withColumn("mtime_ms", F.unix_millis("modificationTime"))
-    return signature(files).first()["signature"]
+    found = signature(files).first()
+    return found["signature"] if found else hashlib.sha1().hexdigest()
 
 
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:

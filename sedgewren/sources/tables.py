@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.config import SESSION_SEPARATOR
+from sedgewren.operators.dialogue import session_text
 
 GOLDEN = "topk int, questions array<struct<q:string, expect_sources:array<string>, expect_keywords:array<string>, must:boolean>>"
 
@@ -30,6 +33,10 @@ def write_session(spark: SparkSession, path: str, model_path: str, need_close: b
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def restorable(sessions: DataFrame, model_path: str) -> DataFrame:
-    """Sessions of the same model."""
-    return sessions.where(F.col("model_path") == model_path)
+def restorable(sessions: DataFrame, model_path: str, system: str = "", count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Sessions of the same model. With a column n_tokens, of what the saved state has taken in, and count, the number of
+    tokens of a text, only those whose text has just as many: others were saved with other settings."""
+    same = sessions.where(F.trim("model_path") == model_path.strip())
+    if count is None or "n_tokens" not in sessions.columns:
+        return same
+    return same.where(count(session_text(F.col("turns"), F.col("need_close"), F.lit(system))) == F.col("n_tokens"))

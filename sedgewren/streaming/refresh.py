@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,22 +32,46 @@ def debounce(events: DataFrame, ts: str = "ts", key: str | None = None, gap: str
     return events.groupBy(*groups).agg(F.max(ts).alias("end"), F.count("*").alias("n_events")).select(*([key] if key else []), F.col("w.start").alias("start"), "end", "n_events")
 
 
-def rebuild(spark: SparkSession, root: str, index_root: str, embed: Callable | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT) -> int | None:
-    """Build the index of a directory and publish it; None if the published one is of the same files and settings."""
+def rebuild(spark: SparkSession, root: str, index_root: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, on_step: Callable[[int, int], None] | None = None) -> int | None:
+    """Build the index of a directory and publish it; None if the published one is of the same files and settings.
+
+    Chunks that embed gives no vector are left out. on_step(done, total) is told of each step: listed, published.
+    """
+    told = on_step or (lambda done, total: None)
     sign = kb.directory_signature(spark, root)
     if is_current(spark, index_root, sign, embedder, config):
         return None
-    chunks = kb.chunks_of(kb.read_texts(kb.scan(spark, root)), config)
+    files = kb.scan(spark, root)
+    numbers = kb.numbered(files)
+    told(1, 2)
+    chunks = kb.chunks_of(kb.read_texts(files), numbers, config)
     if embed is not None:
         chunks = chunks.withColumn("vec", embed(F.col("text"))).where(F.col("vec").isNotNull())
-    return publish(build(chunks), index_root, sign, embedder, config)
+    n = publish(build(chunks), index_root, sign, embedder, config)
+    told(2, 2)
+    return n
+
+
+def settled(spark: SparkSession, root: str, config: RetrievalConfig = DEFAULT, most_waits: int = 100) -> bool:
+    """Wait until the directory has not changed for the debounce time, so that a burst of writes is one rebuild; False
+    if it still changes after most_waits waits."""
+    before = kb.directory_signature(spark, root)
+    for _ in range(most_waits):
+        time.sleep(config.debounce_ms / 1000)
+        now = kb.directory_signature(spark, root)
+        if now == before:
+            return True
+        before = now
+    return False
 
 
-def refresh(spark: SparkSession, root: str, index_root: str, checkpoint: str, config: RetrievalConfig = DEFAULT, **trigger) -> StreamingQuery:
-    """Rebuild whenever files arrive. A micro-batch is single-flight: what arrives meanwhile is in the next one."""
+def refresh(spark: SparkSession, root: str, index_root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, on_step: Callable[[int, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Rebuild whenever files arrive and the directory has settled. A micro-batch is single-flight: what arrives
+    meanwhile is in the next one, and an index of the same files is not built again."""
 
     def on_change(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            rebuild(batch.sparkSession, root, index_root, config=config)
+            settled(batch.sparkSession, root, config)
+            rebuild(batch.sparkSession, root, index_root, embed, embedder, config, on_step)
 
     return watch(spark, root).select("path").writeStream.foreachBatch(on_change).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -3,11 +3,14 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedgewren.config import RetrievalConfig
-from sedgewren.operators import dialogue, evaluate, hybrid, index, lexical, vector
+from sedgewren.config import FILE_DEFAULTS, RetrievalConfig, read_settings, write_settings
+from sedgewren.functions.embedding import HashingEmbedder, OnnxEmbedder, embed_column, embedder_of, packed
+from sedgewren.functions.wordpiece import read_vocabulary
+from sedgewren.operators import dialogue, evaluate, hybrid, index, lexical, topk, vector
 from sedgewren.sources import cachefmt, kb, tables
 from sedgewren.streaming import refresh
 from sedgewren.streaming.progress import ProgressListener
@@ -34,6 +37,22 @@ def test_repeated_query_terms_count_again(spark, idx):
     assert got[2, 1] == pytest.approx(2 * got[1, 1]) and set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
+@pytest.mark.parametrize(("cells", "at_once"), [(1 << 22, 8192), (3, 2)])
+def test_best_chunks_are_those_of_all_scores(spark, monkeypatch, cells, at_once):
+    import random
+
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(n))
+    chunks = spark.createDataFrame([(i, "s", text(r.randint(0, 30))) for i in range(200)] + [(900, "s", None)], "chunk_id long, source string, text string")
+    some = index.build(chunks)
+    asked = spark.createDataFrame([(i, text(5)) for i in range(9)] + [(20, "zzz"), (21, ""), (22, None)], "query_id long, query string")
+    monkeypatch.setattr(lexical, "CELLS", cells)
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", at_once)
+    expected = lexical.ranked(lexical.bm25_scores(some, asked), 3).where("score > 0")
+    row = lambda x: (x.query_id, x.chunk_id, round(x.score, 5), x["rank"])
+    assert sorted(map(row, lexical.bm25_topk(some, asked).collect())) == sorted(map(row, expected.collect()))
+
+
 def test_gate_keeps_queries_that_fail(spark, idx):
     hits, passed = hybrid.retrieve(idx, queries(spark, [(1, "beta", [1.0, 0.0]), (2, "beta", [-1.0, -1.0]), (3, "x", [])]))
     rows = {r.query_id: r for r in hybrid.contexts(hits, passed, idx.chunks).collect()}
@@ -54,6 +73,38 @@ def test_ties_go_by_id(spark):
     assert [r.chunk_id for r in got] == [3, 5]
 
 
+def test_equal_vectors_give_k_rows_a_task(spark):
+    same = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec")).repartition(4)
+    asked = queries(spark, [(i, "", [1.0, 0.0]) for i in range(3)])
+    hits = vector.nearest(same, asked, 3)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in hits.collect()} == {(q, c, c + 1) for q in range(3) for c in range(3)}
+    emitted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            emitted.add(b.num_rows)
+            yield b
+
+    original, vector.ranked = vector.ranked, lambda df, k: df.mapInArrow(count, df.schema)
+    try:
+        vector.nearest(same, asked, 3).collect()
+    finally:
+        vector.ranked = original
+    assert emitted.value == 4 * 3 * 3
+
+
+def test_best_of_rows():
+    r = np.random.default_rng(2)
+    for n, k in ((5, 3), (40, 7), (3, 5), (7, 7)):
+        score, ids = r.integers(0, 4, (6, n)).astype(float), r.permutation(100)[:n]
+        got_score, got_ids = topk.best_of(score, ids, k)
+        for row in range(6):
+            expected = sorted(zip(-score[row], ids, strict=True))[:k]
+            assert sorted(zip(-got_score[row], got_ids[row], strict=True)) == expected
+
+
 def test_query_blocks_give_the_same(spark, idx, monkeypatch):
     q = queries(spark, [(i, "", [1.0, i / 10]) for i in range(20)])
     whole = sorted(map(tuple, vector.cosine_topk(idx.chunks, q, 2).collect()))
@@ -130,7 +181,192 @@ def test_rebuild_publishes_once_and_keeps_the_last_good_snapshot(spark, tree, tm
     (tree / "k.txt").write_text(" \n")
     assert refresh.rebuild(spark, str(tree), root) == 0
     m = index.manifest(spark, root)
-    assert not m["enabled"] and index.load(spark, root).chunks.count() == 6
+    assert not m["enabled"] and index.load(spark, root) is None and index.load(spark, root, disabled=True).chunks.count() == 6
+    assert len([f for f in (tmp_path / "index").iterdir() if f.name.startswith("snapshot=")]) == 2
+    (tree / "l.txt").write_text("back again")
+    assert refresh.rebuild(spark, str(tree), root) == 1 and index.manifest(spark, root)["version"] == 3
+    assert [r.text for r in index.load(spark, root).chunks.collect()] == ["back again"]
+    assert index.vacuum(spark, root) == 2 and index.load(spark, root).chunks.count() == 1
+
+
+def test_crashes_while_publishing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    one = lambda t: index.build(spark.createDataFrame([(1, "s", t)], "chunk_id long, source string, text string"))
+    text = lambda: index.load(spark, root).chunks.first().text
+    assert index.publish(one("first"), root, "a") == 1
+
+    def crash(*_):
+        raise RuntimeError
+
+    for step in ("build", "_point_to"):
+        monkeypatch.setattr(index, step, crash)
+        with pytest.raises(RuntimeError):
+            index.publish(unbuilt(spark), root, "b")
+        monkeypatch.undo()
+        assert text() == "first" and index.is_current(spark, root, "a")
+    assert index.publish(one("second"), root, "b") == 1 and text() == "second" and index.manifest(spark, root)["version"] == 2
+    # What a crashed writer of a manifest leaves is no manifest.
+    (tmp_path / "index" / "manifests" / "junk.new").write_text("{")
+    assert text() == "second" and index.vacuum(spark, root) == 3
+
+
+def unbuilt(spark):
+    chunks = spark.createDataFrame([(1, "s", "lost")], "chunk_id long, source string, text string")
+    return index.Index(chunks, chunks, chunks)
+
+
+def test_missing_folder_and_other_files(spark, tree, tmp_path):
+    assert kb.scan(spark, str(tmp_path / "none")).count() == 0 and kb.scan(spark, str(tmp_path / "none"), recursive=True).count() == 0
+    assert refresh.rebuild(spark, str(tmp_path / "none"), str(tmp_path / "index")) == 0 and index.load(spark, str(tmp_path / "index")) is None
+    read = {r.path.rpartition("/kb/")[2] for r in kb.scan(spark, str(tree)).select("path").collect()}
+    assert read == {"a.TXT", "sub/b.md", "d.docx", "e.docx", "f.docx", "g.doc", "h.doc"}
+
+
+def test_chunks_are_numbered_by_their_paths(spark, tree):
+    files = kb.scan(spark, str(tree))
+    chunks = kb.chunks_of(kb.read_texts(files), kb.numbered(files)).orderBy("chunk_id").collect()
+    assert len({c.chunk_id for c in chunks}) == len(chunks) and [c.path for c in chunks] == sorted(c.path for c in chunks)
+    assert all(c.path.endswith("/" + c.source) for c in chunks)
+
+
+def test_refresh_with_an_embedder_then_retrieval_from_text(spark, tree, tmp_path):
+    make, name = embedder_of(FILE_DEFAULTS | {"embedding.dimension": "64"})
+    embed, root, steps = embed_column(make), str(tmp_path / "index"), []
+    quick = RetrievalConfig(debounce_ms=10)
+    refresh.refresh(spark, str(tree), root, str(tmp_path / "state"), embed, name, quick, on_step=lambda *x: steps.append(x)).awaitTermination(120)
+    loaded = index.load(spark, root)
+    assert loaded.chunks.count() == 5 and steps == [(1, 2), (2, 2)] and index.manifest(spark, root)["embedder"] == "hashing-64"
+    assert refresh.rebuild(spark, str(tree), root, embed, name, quick) is None
+    asked = spark.createDataFrame([(1, "gamma delta"), (2, " "), (3, "。"), (4, "zzz qqq")], "query_id long, query string")
+    rows = {r.query_id: r for r in hybrid.answer(loaded, asked, embed).collect()}
+    assert set(rows) == {1, 2, 3, 4} and rows[1].used and rows[1].sources[0] == "d.docx" and "gamma & delta" in rows[1].context
+    assert not rows[2].used and rows[2].best_vector_score is None and rows[2].context == ""
+    logged = hybrid.metrics(hybrid.answer(loaded, asked, embed), asked)
+    assert 2 not in {r.query_id for r in logged.select("query_id").collect()}
+    assert {(r.used, r.context) for r in hybrid.answer(None, asked, embed).collect()} == {(False, "")}
+
+
+def test_settled_waits_for_the_end_of_a_burst(spark, tmp_path):
+    import threading
+    import time
+
+    root = tmp_path / "kb"
+    root.mkdir()
+    (root / "a.txt").write_text("a")
+
+    def write():
+        for i in range(6):
+            (root / "a.txt").write_text("a" * (i + 2))
+            time.sleep(0.2)
+
+    writer = threading.Thread(target=write)
+    writer.start()
+    assert refresh.settled(spark, str(root), RetrievalConfig(debounce_ms=700))
+    assert (root / "a.txt").read_text() == "a" * 7
+    writer.join()
+
+
+def test_settings_file(tmp_path):
+    path = str(tmp_path / "s.ini")
+    assert read_settings(path) == FILE_DEFAULTS and (tmp_path / "s.ini").exists()
+    write_settings(path, {"knowledge_base.directory": "/data/kb", "embedding.backend": " ", "embedding.dimension": "32"})
+    found = read_settings(path)
+    assert found["knowledge_base.directory"] == "/data/kb" and found["embedding.backend"] == "hashing" and embedder_of(found)[1] == "hashing-32"
+    with pytest.raises(ValueError, match="no embedding backend"):
+        embedder_of(found | {"embedding.backend": "other"})
+
+
+def test_session_settings(spark):
+    from sedgewren.config import setting
+
+    spark.conf.set("sedgewren.some.key", "v")
+    spark.conf.set("sedgewren.blank.key", "  ")
+    assert [setting(spark, k, "d") for k in ("some.key", "blank.key", "no.key")] == ["v", "d", "d"]
+
+
+def test_packed_batches(spark):
+    import random
+
+    from sedgewren.operators.batching import batch_numbers
+
+    r = random.Random(4)
+    for small in (RetrievalConfig(batch_items=3, batch_tokens=20, batch_context=30), RetrievalConfig(batch_items=8, batch_tokens=50, batch_context=25)):
+        sizes = [r.choice([0, 1, 5, 9, 30, 60]) for _ in range(200)]
+        numbers = spark.createDataFrame([(sizes,)], "n array<long>").select(batch_numbers(F.col("n"), small)).first()[0]
+        got = [0] * len(sizes)
+        for k, batch in enumerate(packed(sizes, small), 1):
+            for i in batch:
+                got[i] = k
+        assert got == numbers
+
+
+def test_onnx_embedder_packs_and_masks():
+    class Session:
+        calls = []
+
+        def run(self, _, inputs):
+            ids, mask = inputs["input_ids"], inputs["attention_mask"]
+            self.calls.append(ids.shape)
+            total = (ids * mask).sum(axis=1, keepdims=True).astype(np.float32)
+            return [np.repeat(np.hstack([total, np.ones_like(total)])[:, None, :], ids.shape[1], axis=1)]
+
+    vocabulary = {t.encode(): i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "b", "##b"])}
+    texts = ["a", "a a a b", "", "abb b", *["a b"] * 9]
+    e = OnnxEmbedder("none", vocabulary, 2)
+    e._session = Session()
+    together = e.embed(texts)
+    assert [s[0] for s in Session.calls] == [2, 8, 2] and not together[2].any()
+    alone = np.vstack([e.embed([t]) for t in texts])
+    assert np.allclose(together, alone) and np.allclose(np.linalg.norm(np.delete(together, 2, 0), axis=1), 1)
+
+
+def test_onnx_runtime_is_used(tmp_path):
+    """A model file that is none is refused by the runtime, not by us."""
+    onnxruntime = pytest.importorskip("onnxruntime")
+    (tmp_path / "m.onnx").write_bytes(b"no model")
+    with pytest.raises(Exception) as e:
+        OnnxEmbedder(str(tmp_path / "m.onnx"), {b"[CLS]": 0}, 2).embed(["a"])
+    assert type(e.value).__module__.startswith(onnxruntime.__name__)
+
+
+def test_vocabulary_file(tmp_path):
+    (tmp_path / "v.txt").write_bytes(b"[PAD]\r\na\nb\r\na\n")
+    assert read_vocabulary(str(tmp_path / "v.txt")) == {b"[PAD]": 0, b"b": 2, b"a": 3}
+
+
+def test_evaluation_run(spark, idx):
+    golden = spark.createDataFrame([(1, "beta", ["a.txt"], ["alpha"], True, 2)], "query_id long, query string, expect_sources array<string>, expect_keywords array<string>, must boolean, topk int")
+    assert evaluate.run(None, golden).code == 2 and evaluate.run(idx, None).code == 0
+    assert evaluate.run(idx, golden).code == 0 and evaluate.run(idx, golden).sources.count() == 3
+    failed = evaluate.run(idx, golden.withColumn("expect_keywords", F.array(F.lit("nowhere"))))
+    assert failed.code == 1 and failed.judged.first().missing == ["nowhere"]
+    report = evaluate.inspect_index(idx.chunks, "beta")
+    assert [r.source for r in report["sources"].collect()] == ["a.txt", "b.txt", "c.txt"] and report["totals"].first().asDict() == {"chunks": 4, "sources": 3, "chars": 31}
+    assert {(r.source, r.n) for r in report["keyword_hits"].collect()} == {("a.txt", 1), ("b.txt", 1)} and report["first"].count() == 3 and report["keyword_preview"].count() == 2
+
+
+def test_agreement_verdict_and_valid_vectors(spark):
+    pairs = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0]), (2, [1.0, 0.0], [0.0, 1.0]), (3, None, [1.0])], "id long, a array<double>, b array<double>")
+    agreed = evaluate.agreement(pairs)
+    assert evaluate.agreement_verdict(agreed).first().asDict() == {"n": 3, "n_agree": 1, "passed": False}
+    assert evaluate.agreement_verdict(agreed.where("id = 1")).first().passed
+    assert evaluate.valid_vectors(pairs.select(F.col("a").alias("vec"))).first().asDict() == {"n": 3, "n_valid": 2}
+
+
+def test_encode_times():
+    got = evaluate.encode_times(lambda: HashingEmbedder(8), ["one", "two", "!"], rounds=2)
+    assert got["n_valid"] == 2 and got["least_ms"] <= got["median_ms"] <= got["most_ms"]
+
+
+def test_latency_summary_of_many_values(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [("a", r.gauss(0, 1)) for _ in range(40_001)] + [("b", float(r.randint(0, 3))) for _ in range(5000)] + [("c", None), (None, 1.0), (None, 2.0), ("d", -0.5)]
+    got = {x.g: x for x in evaluate.latency_summary(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in {g for g, _ in rows}:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g].median == (values[len(values) // 2] if values else None) and got[g].n == len(values)
 
 
 def test_changed_files(spark, tree):
@@ -162,7 +398,7 @@ def test_progress_is_told(spark, tmp_path):
 
 
 def test_refresh_stream(spark, tree, tmp_path):
-    q = refresh.refresh(spark, str(tree), str(tmp_path / "index"), str(tmp_path / "state"))
+    q = refresh.refresh(spark, str(tree), str(tmp_path / "index"), str(tmp_path / "state"), config=RetrievalConfig(debounce_ms=10))
     q.awaitTermination(120)
     assert index.load(spark, str(tmp_path / "index")).chunks.count() == 5
 
@@ -198,7 +434,20 @@ def test_golden_and_session_files(spark, tmp_path):
     tables.write_session(spark, str(tmp_path / "s"), "m.gguf", True, ["one", "", "two\nlines"])
     s = tables.session(spark, str(tmp_path / "s")).first()
     assert (s.model_path, s.need_close, s.turns) == ("m.gguf", True, ["one", "two\nlines"])
-    assert tables.restorable(tables.session(spark, str(tmp_path / "s")), "other").count() == 0
+    sessions = tables.session(spark, str(tmp_path / "s"))
+    assert tables.restorable(sessions, "other").count() == 0
+    # The text that was taken in: the system turn and the turns without the closing mark of the last one.
+    text = "<|im_start|>system\nbe brief<|im_end|>\none<|im_start|>user\nhi<|im_end|>\n".removesuffix("<|im_end|>\n")
+    counted = spark.createDataFrame([("m.gguf ", True, ["one", "<|im_start|>user\nhi<|im_end|>\n"], len(text))], "model_path string, need_close boolean, turns array<string>, n_tokens long")
+    restored = lambda system: tables.restorable(counted, "m.gguf", system, F.length).count()
+    assert restored("be brief") == 1 and restored("be long") == 0
+
+
+def test_prefill_slices(spark):
+    rows = spark.createDataFrame([(list(range(1030)),), ([],), (None,), ([7],)], "ids array<int>")
+    got = [r[0] for r in rows.select(dialogue.prefill_slices(F.col("ids"))).collect()]
+    assert [[len(s) for s in x] if x is not None else None for x in got] == [[512, 512, 6], [], [] if got[2] is not None else None, [1]]
+    assert sum(got[0], []) == list(range(1030))
 
 
 def test_metrics_log(spark, idx, tmp_path):
