@@ -2,11 +2,15 @@
 
 Of all suffixes of a text only those at minimisers are kept: in every run of `LEAST - PREFIX + 1` places the one whose
 K-word hash is least. Copies of a passage of LEAST words choose the same places, and one of them has PREFIX words of
-the passage to its right. No suffix array is sorted and no neighbours are compared: suffixes are grouped by a hash of
-their first PREFIX words, as all that is asked of the order is which suffixes share that prefix. Where two texts do,
-both suffixes may lie in a repeated passage. Those are extended to the left and right: every run of LEAST words that
-covers the prefix is hashed, and equal hashes are grouped. The union of the equal runs is the maximal repeated passage. Comparisons are by 64-bit hashes of whole runs
-and by partial aggregates, so a passage that a third of all texts share still shuffles one row per task.
+the passage to its right. Suffixes whose prefix no other text has are left out by a hash of it. The others are dealt out
+by their prefix and sorted by it and by their words, so that suffixes that share a prefix are neighbours. There, matches
+are extended to the left and right: for each of the runs of LEAST words that cover the prefix, the suffixes are put in
+order of that run, and neighbours are compared word by word (by 64-bit hashes of words). The union of the runs that
+neighbours from different texts share is what is repeated. What is moved is one row with its context per kept suffix.
+
+A prefix of more than HOT_SUFFIXES suffixes is not brought into one task. The runs of its suffixes are counted by two
+64-bit hashes with partial aggregates instead, so a passage that a third of all texts share still shuffles one row per
+run and task.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materia
 from sedgewren.llm.exact import bitmap_filter, may_contain
 
 LEAST, PREFIX, K = 50, 20, 8
+#: Most suffixes of one prefix that are compared in one task, and suffixes that are compared at once.
+HOT_SUFFIXES, AT_ONCE = 20_000, 32_768
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -99,51 +105,160 @@ def _suffixes(least: int, prefix: int):
     return run
 
 
-def _extended(least: int, prefix: int):
-    """node, starts, runs: for each row, hashes of the runs of `least` words that cover the prefix at one of its places."""
+_CONTEXT_DDL = "key bigint, node bigint, place int, hot boolean, before binary, after binary"
+
+
+def _contexts(least: int, prefix: int):
+    """A row for each kept place of each text: the words before it that a run may reach, and those from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            h, firsts = _words(block.column("text"))
+            buf, offsets = column_bytes(block.column("text"))
+            buf = LOWER[buf]
+            starts, ends, firsts = word_spans(buf, offsets, WORD_BYTE)
+            h = word_hashes(buf, starts, ends)
             d1, d2 = (d.view(np.int64) for d in _digests(h, firsts))
             right = (d1 == block.column("d1").to_numpy()) & (d2 == block.column("d2").to_numpy())
-            places = block.column("places")
-            nodes, starts, runs = [], [], []
-            for i in np.flatnonzero(right):
-                at = np.unique(places[int(i)].values.to_numpy())
-                n = int(firsts[i + 1] - firsts[i])
-                covered = np.zeros(n + 1, np.int32)
-                np.add.at(covered, np.maximum(at + prefix - least, 0), 1)
-                np.add.at(covered, np.minimum(at, n - least) + 1, -1)
-                s = np.flatnonzero(np.cumsum(covered[:n]) > 0)
-                nodes.append(block.column("node")[int(i)].as_py())
-                starts.append(s.astype(np.int32))
-                runs.append(_runs_at(h, firsts[i] + s, least).view(np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int32))
-            join = lambda parts, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), join(starts, np.int32), join(runs, np.int64)], names=["node", "starts", "runs"])
+            # All words with one space after each.
+            begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+            joined = np.full(int(begin[-1]), 0x20, np.uint8)
+            letters = buf[WORD_BYTE[buf]]
+            joined[np.arange(len(letters)) + np.repeat(np.arange(len(starts)), ends - starts)] = letters
+            data = joined.tobytes()
+            found = block.column("found")
+            lists = np.flatnonzero(right)
+            many = np.array([len(found[int(i)]) for i in lists], np.int64)
+            kept = pa.concat_arrays([found[int(i)].values for i in lists]) if len(lists) else found.values[:0]
+            row = np.repeat(lists, many)
+            at = firsts[row] + kept.field("place").to_numpy().astype(np.int64)
+            low, high = np.maximum(at - (least - prefix), firsts[row]), np.minimum(at + least, firsts[row + 1])
+            before = [data[a:b] for a, b in zip(begin[low].tolist(), begin[at].tolist(), strict=True)]
+            after = [data[a:b] for a, b in zip(begin[at].tolist(), begin[high].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_runs_at(h, at, prefix).view(np.int64)), block.column("node").take(pa.array(row)), kept.field("place"), kept.field("hot"), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                names=["key", "node", "place", "hot", "before", "after"],
+            )
 
     return run
 
 
-def _spans(least: int):
+class _Runs:
+    """The words around some suffixes, and hashes of all runs of `least` words that cover their prefixes."""
+
+    def __init__(self, rows: pa.Table, least: int, prefix: int):
+        self.least, self.left = least, least - prefix
+        self.key, self.node, self.place = (rows.column(c).to_numpy() for c in ("key", "node", "place"))
+        n = len(self.key)
+        self.words = np.zeros((n, self.left + least), np.uint64)
+        self.many = []
+        for column, first_column in (("before", None), ("after", self.left)):
+            array = rows.column(column).combine_chunks()
+            h, firsts = _words(array.chunk(0) if isinstance(array, pa.ChunkedArray) else array)
+            many = np.diff(firsts)
+            row = np.repeat(np.arange(n), many)
+            within = np.arange(len(h)) - firsts[:-1][row]
+            self.words[row, within + (first_column if first_column is not None else self.left - many[row])] = h
+            self.many.append(many)
+        self.sums = []
+        for seed in (0x5EED, 0xFACE):
+            x = mix(self.words ^ mix(np.arange(self.words.shape[1], dtype=np.uint64) + np.uint64(seed))[None, :])
+            s = np.zeros((n, x.shape[1] + 1), np.uint64)
+            np.cumsum(x, axis=1, out=s[:, 1:])
+            self.sums.append(s)
+
+    def at(self, back: int) -> np.ndarray:
+        """The suffixes that have the run which begins `back` words before them."""
+        return np.flatnonzero((self.many[0] >= back) & (self.many[1] >= self.least - back))
+
+    def hashes(self, rows: np.ndarray, back: int, which: int) -> np.ndarray:
+        s = self.sums[which]
+        whole = s[rows, self.left + self.least - back] - s[rows, self.left - back]
+        return mix(whole ^ mix(self.key[rows].view(np.uint64) + np.uint64(back)))
+
+    def repeated(self) -> np.ndarray:
+        """For each suffix and run, whether a suffix of the same prefix in another text has the same words there."""
+        out = np.zeros((len(self.key), self.left + 1), bool)
+        for back in range(self.left + 1):
+            rows = self.at(back)
+            if len(rows) < 2:
+                continue
+            h = self.hashes(rows, back, 0)
+            order = np.argsort(h, kind="stable")
+            rows, h = rows[order], h[order]
+            same = np.flatnonzero((h[1:] == h[:-1]) & (self.key[rows[1:]] == self.key[rows[:-1]]))
+            columns = slice(self.left - back, self.left + self.least - back)
+            same = same[(self.words[rows[same + 1], columns] == self.words[rows[same], columns]).all(axis=1)]
+            new = np.ones(len(rows), bool)
+            new[same + 1] = False
+            first = np.flatnonzero(new)
+            node = self.node[rows]
+            several = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
+            out[rows, back] = np.repeat(several, np.diff(np.append(first, len(rows))))
+        return out
+
+
+def _compared(least: int, prefix: int):
+    """node, start, end of what is repeated around each suffix of a partition that is sorted by prefix."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        runs = _Runs(rows, least, prefix)
+        marked = np.zeros((len(runs.key), runs.left + 3), np.int8)
+        marked[:, 1:-1] = runs.repeated()
+        change = np.diff(marked, axis=1)
+        row, fewest = np.nonzero(change == 1)
+        _, most = np.nonzero(change == -1)
+        place = runs.place[row].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(runs.node[row]), pa.array((place - most + 1).astype(np.int32)), pa.array((place - fewest + least).astype(np.int32))], names=["node", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= AT_ONCE:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                # The last prefix may go on in the next batch.
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                if last:
+                    yield found(table.slice(0, last))
+                held, n = table.slice(last).to_batches(), n - last
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
+def _runs(least: int, prefix: int):
+    """node, start, run, more: each run of a hot prefix, by two hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                s = np.unique(batch.column("starts")[i].values.to_numpy())
-                new = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + least]))
-                last = np.append(new[1:] - 1, len(s) - 1)
-                out.append([{"start": int(a), "end": int(b) + least} for a, b in zip(s[new], s[last], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, kind)], names=["node", "spans"])
+            if not batch.num_rows:
+                continue
+            runs = _Runs(pa.Table.from_batches([batch]), least, prefix)
+            for back in range(runs.left + 1):
+                rows = runs.at(back)
+                h = [pa.array(runs.hashes(rows, back, k).view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(runs.node[rows]), pa.array((runs.place[rows] - back).astype(np.int32)), *h], names=["node", "start", "run", "more"])
 
     return run
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that two nodes have."""
-    return rows.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(key)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, spans: the union of each node's intervals, in order; those that touch are one."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            x = batch.column("x")[i].values
+            start, end = x.field("start").to_numpy(), x.field("end").to_numpy()
+            order = np.argsort(start, kind="stable")
+            start, upto = start[order], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.concatenate([[True], start[1:] > upto[:-1]]))
+            last = np.append(new[1:] - 1, len(start) - 1)
+            out.append([{"start": int(a), "end": int(b)} for a, b in zip(start[new], upto[last], strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, kind)], names=["node", "spans"])
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, prefix: int = PREFIX) -> DataFrame:
@@ -162,19 +277,25 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
     standing = found.join(nodes, ["d1", "d2"]).where(F.col("row_hash") == F.col("rep")).dropDuplicates(["node"])
     suffixes = materialise(standing.select("node", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("node", F.col("s.keys").alias("key"), F.col("s.places").alias("place")), "suffix-array")
-    shared = materialise(_shared(suffixes, "key"), "suffix-keys")
+    both = [F.min("node").alias("a"), F.max("node").alias("b")]
+    shared = materialise(suffixes.groupBy("key").agg(F.count("*").alias("n"), *both).where("a <> b").select("key", (F.col("n") > HOT_SUFFIXES).alias("hot")), "suffix-keys")
     likely = may_contain(suffixes, "key", bitmap_filter(shared, "key", "suffix-filter"))
-    candidates = likely.join(shared, "key").groupBy("node").agg(F.collect_set("place").alias("places"))
+    candidates = likely.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("place", "hot")).alias("found"))
     candidates = materialise(candidates.join(nodes.select("node", "d1", "d2", "rep"), "node"), "suffix-candidates")
 
     by_rep = candidates.withColumnRenamed("rep", "row_hash")
     wanted = may_contain(rows, "row_hash", bitmap_filter(by_rep, "row_hash", "suffix-filter"))
-    texts = wanted.join(by_rep, "row_hash").select("node", "d1", "d2", "places", "text")
-    extended = texts.mapInArrow(_extended(least, prefix), "node bigint, starts array<int>, runs array<bigint>")
-    runs = materialise(extended.select("node", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("node", F.col("r.starts").alias("start"), F.col("r.runs").alias("run")), "suffix-runs")
-    # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.
-    equal = runs.join(materialise(_shared(runs, "run"), "suffix-shared"), "run").groupBy("node").agg(F.collect_set("start").alias("starts"))
-    spans = equal.mapInArrow(_spans(least), "node bigint, spans array<struct<start:int,end:int>>")
+    # Rows that are equal all have the text: one of them goes on.
+    texts = wanted.groupBy("row_hash").agg(F.first("text").alias("text")).join(by_rep, "row_hash")
+    contexts = materialise(texts.select("node", "d1", "d2", "found", "text").mapInArrow(_contexts(least, prefix), _CONTEXT_DDL), "suffix-contexts")
+    in_order = contexts.where("not hot").repartition("key").sortWithinPartitions("key", "after", "before")
+    equal = in_order.mapInArrow(_compared(least, prefix), "node bigint, start int, end int")
+    if not shared.where("hot").isEmpty():
+        runs = materialise(contexts.where("hot").mapInArrow(_runs(least, prefix), "node bigint, start int, run bigint, more bigint"), "suffix-runs")
+        # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.
+        common = materialise(runs.groupBy("run", "more").agg(*both).where("a <> b").select("run", "more"), "suffix-shared")
+        equal = equal.unionByName(runs.join(common, ["run", "more"]).select("node", "start", (F.col("start") + least).alias("end")))
+    spans = equal.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("x")).mapInArrow(_merged, "node bigint, spans array<struct<start:int,end:int>>")
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     per_node = nodes.join(spans, "node", "left").where(F.col("spans").isNotNull() | (F.col("copies") > 1)).select("d1", "d2", "copies", "spans")

@@ -9,7 +9,7 @@ import pytest
 from conftest_llm import frame, words
 from pyspark.sql import functions as F
 
-from sedgewren.llm import kneser_ney, near, postings
+from sedgewren.llm import kneser_ney, near, postings, suffixes
 from sedgewren.llm.components import connected_components
 from sedgewren.llm.near import bands_for, jaccard_links
 from sedgewren.llm.postings import decontaminate, search_index
@@ -216,8 +216,10 @@ def brute_passages(rows, least):
     return out
 
 
-@pytest.mark.parametrize(("least", "prefix"), [(50, 20), (25, 10)])
-def test_passages(spark, odd, least, prefix):
+@pytest.mark.parametrize(("least", "prefix", "hot", "at_once"), [(50, 20, 20_000, 1 << 15), (25, 10, 20_000, 100), (50, 20, 5, 100), (50, 20, 0, 1 << 15)])
+def test_passages(spark, odd, monkeypatch, least, prefix, hot, at_once):
+    monkeypatch.setattr(suffixes, "HOT_SUFFIXES", hot)
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
     p = words(77, 90)
     more = [" ".join(words(400 + i, 13) + p[: 30 + 4 * i] + words(500 + i, 9)) for i in range(15)] + [" ".join(p[20:] + words(600, 5)), " ".join(["same"] * 80), " ".join(words(601, 9) + ["same"] * 70), " ".join((words(602, 30)) * 3)]
     docs = odd.select("doc_id", "text", "node").unionByName(spark.createDataFrame([(4000 + i, t, "x") for i, t in enumerate(more)], "doc_id long, text string, node string"))
