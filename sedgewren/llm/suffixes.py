@@ -27,7 +27,7 @@ from sedgewren.llm.exact import bitmap_filter, may_contain
 
 LEAST, PREFIX, K = 50, 20, 8
 #: Most suffixes of one prefix that are compared in one task, and suffixes that are compared at once.
-HOT_SUFFIXES, AT_ONCE = 20_000, 32_768
+HOT_SUFFIXES, AT_ONCE = 20_000, 8_192
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -152,12 +152,18 @@ class _Runs:
         self.words = np.zeros((n, self.left + least), np.uint64)
         self.many = []
         for column, first_column in (("before", None), ("after", self.left)):
-            array = rows.column(column).combine_chunks()
-            h, firsts = _words(array.chunk(0) if isinstance(array, pa.ChunkedArray) else array)
-            many = np.diff(firsts)
-            row = np.repeat(np.arange(n), many)
-            within = np.arange(len(h)) - firsts[:-1][row]
-            self.words[row, within + (first_column if first_column is not None else self.left - many[row])] = h
+            many = np.zeros(n, np.int64)
+            done = 0
+            # Piece by piece: hashing words takes several times the size of their text.
+            for batch in rows.select([column]).to_batches():
+                for block in blocks(iter([batch]), column):
+                    h, firsts = _words(block.column(0))
+                    here = slice(done, done + block.num_rows)
+                    many[here] = np.diff(firsts)
+                    row = np.repeat(np.arange(block.num_rows), many[here])
+                    within = np.arange(len(h)) - firsts[:-1][row]
+                    self.words[done + row, within + (first_column if first_column is not None else self.left - many[here][row])] = h
+                    done += block.num_rows
             self.many.append(many)
         self.sums = []
         for seed in (0x5EED, 0xFACE):
