@@ -10,7 +10,7 @@ neighbours from different texts share is what is repeated. What is moved is one
 
 A prefix of more than HOT_SUFFIXES suffixes is not brought into one task. The runs of its suffixes are counted by two
 64-bit hashes with partial aggregates instead, so a passage that a third of all texts share still shuffles one row per
-run and task.
+run and batch.
 """
 
 from __future__ import annotations
@@ -235,8 +235,12 @@ def _compared(least: int, prefix: int):
     return run
 
 
+_RUN_DDL = "run bigint, more bigint, a bigint, b bigint, nodes array<bigint>, starts array<int>"
+
+
 def _runs(least: int, prefix: int):
-    """node, start, run, more: each run of a hot prefix, by two hashes."""
+    """The runs of hot prefixes by two hashes: a row for each different one of a batch, with all places that have it and
+    the smallest and largest of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +249,20 @@ def _runs(least: int, prefix: int):
             runs = _Runs(pa.Table.from_batches([batch]), least, prefix)
             for back in range(runs.left + 1):
                 rows = runs.at(back)
-                h = [pa.array(runs.hashes(rows, back, k).view(np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(runs.node[rows]), pa.array((runs.place[rows] - back).astype(np.int32)), *h], names=["node", "start", "run", "more"])
+                if not len(rows):
+                    continue
+                one, two = (runs.hashes(rows, back, k).view(np.int64) for k in (0, 1))
+                order = np.lexsort((two, one))
+                one, two, rows = one[order], two[order], rows[order]
+                first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+                node, ends = runs.node[rows], pa.array(np.append(first, len(rows)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(one[first]), pa.array(two[first]), pa.array(np.minimum.reduceat(node, first)), pa.array(np.maximum.reduceat(node, first)),
+                        pa.ListArray.from_arrays(ends, pa.array(node)), pa.ListArray.from_arrays(ends, pa.array((runs.place[rows] - back).astype(np.int32))),
+                    ],
+                    names=["run", "more", "a", "b", "nodes", "starts"],
+                )
 
     return run
 
@@ -297,10 +313,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     in_order = contexts.where("not hot").repartition("key").sortWithinPartitions("key", "after", "before")
     equal = in_order.mapInArrow(_compared(least, prefix), "node bigint, start int, end int")
     if not shared.where("hot").isEmpty():
-        runs = materialise(contexts.where("hot").mapInArrow(_runs(least, prefix), "node bigint, start int, run bigint, more bigint"), "suffix-runs")
+        runs = materialise(contexts.where("hot").mapInArrow(_runs(least, prefix), _RUN_DDL), "suffix-runs")
         # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.
-        common = materialise(runs.groupBy("run", "more").agg(*both).where("a <> b").select("run", "more"), "suffix-shared")
-        equal = equal.unionByName(runs.join(common, ["run", "more"]).select("node", "start", (F.col("start") + least).alias("end")))
+        common = materialise(runs.groupBy("run", "more").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("run", "more"), "suffix-shared")
+        each = runs.join(common, ["run", "more"]).select(F.explode(F.arrays_zip("nodes", "starts")).alias("x"))
+        equal = equal.unionByName(each.select(F.col("x.nodes").alias("node"), F.col("x.starts").alias("start"), (F.col("x.starts") + least).alias("end")))
     spans = equal.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("x")).mapInArrow(_merged, "node bigint, spans array<struct<start:int,end:int>>")
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
