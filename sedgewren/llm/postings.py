@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materialise, word_spans
 
-#: Text bytes of a segment (one document, if longer), and of the benchmark that one pass over the index searches for.
-SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+#: Text bytes of a segment (one document, if longer), and of the benchmark that one pass over the index searches for:
+#: its windows are some ten times as large when they are sent. Places that a search tries at once.
+SEGMENT_BYTES, BLOCK_BYTES, PLACES = 8 << 20, 4 << 20, 1 << 20
 _SEGMENT_DDL = "segment string, doc_ids array<{}>, doc_starts binary, term_ends binary, term_bytes binary, list_ends binary, positions binary"
 _FOUND_DDL = "segment string, ordinal int, doc_id {}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
@@ -66,12 +67,21 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return materialise(rows.mapInArrow(_segments, ddl), "postings", **{"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"})
 
 
+@dataclass
+class Windows:
+    """Windows of one length, each once: words by number as rows of a matrix, and the items that each one comes from."""
+
+    words: np.ndarray
+    owner_starts: np.ndarray
+    owners: np.ndarray
+
+
 @dataclass
 class Queries:
-    """Windows of a block of items: words by number, windows of equal length as rows of a matrix."""
+    """Windows of a block of items."""
 
     words: pa.Array
-    windows: list[tuple[np.ndarray, list[list[int]]]]
+    windows: list[Windows]
     items: list[str]
 
 
@@ -81,20 +91,35 @@ def queries_of(items: pa.Table, width: int) -> Queries:
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else (pa.array([], pa.string()) if isinstance(text, pa.ChunkedArray) else text)
     words, firsts = words_of(text)
     coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    owners: dict[tuple[int, ...], list[int]] = {}
-    for k in range(len(firsts) - 1):
-        first, last = int(firsts[k]), int(firsts[k + 1])
-        own = codes[first:last].tolist()
-        for i in range(max(1, len(own) - width + 1) if own else 0):
-            owner = owners.setdefault(tuple(own[i : i + width]), [])
-            if not owner or owner[-1] != k:
-                owner.append(k)
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for w in owners:
-        by_length.setdefault(len(w), []).append(w)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    n = np.diff(firsts)
+    found = []
+    for length in np.unique(np.minimum(n[n > 0], width)):
+        of = np.flatnonzero(n == length if length < width else n >= width)
+        many = n[of] - length + 1
+        owner = np.repeat(of, many)
+        start = firsts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        rows, window = np.unique(codes[start[:, None] + np.arange(length)], axis=0, return_inverse=True)
+        both = np.unique(window.ravel() * len(n) + owner)
+        window, owner = both // len(n), both % len(n)
+        found.append(Windows(rows, np.searchsorted(window, np.arange(len(rows) + 1)), owner.astype(np.int32)))
     ids = ["" if x is None else str(x) for x in items.column("item_id").to_pylist()]
-    return Queries(coded.dictionary, [(np.array(ws, np.int64), [owners[w] for w in ws]) for ws in by_length.values()], ids)
+    return Queries(coded.dictionary, found, ids)
+
+
+@dataclass
+class Matches:
+    """Of each match the document, the first word, the word after the last, and the item; words are counted in the
+    segment. A match of a window that several items have is there for each."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+    item: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[Matches]) -> Matches:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) if parts else np.empty(0, np.int64) for c in ("doc", "first", "after", "item")))
 
 
 @dataclass
@@ -113,65 +138,80 @@ class Segment:
         positions = np.cumsum(np.frombuffer(row["positions"], np.int32), dtype=np.int32)
         return cls(row["doc_ids"], np.frombuffer(row["doc_starts"], np.int32).astype(np.int64), terms, np.frombuffer(row["list_ends"], np.int32).astype(np.int64), positions)
 
-    def search(self, q: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-        """Document, first word, word after the last, and items of each match, words counted in the segment.
+    def search(self, q: Queries, slop: int = 0) -> Matches:
+        """All matches, at most PLACES (or those of one window) tried at once.
 
         With slop 0 a match has all words of a window at their places; else each may be off by slop words from where
         the rarest word of the window puts it.
         """
-        nothing = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), [])
         n = len(self.positions)
         if not n or not len(q.words):
-            return nothing
+            return Matches.of([])
         term_of = pc.index_in(q.words, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = np.diff(self.list_ends, prepend=0)
-        keys, stride = None, n + 2 * slop + 1
-        docs, firsts, afters, items = [], [], [], []
-        for windows, owners in q.windows:
-            terms = term_of[windows]
+        # Every term's positions in one sorted array, the terms far apart; only if a window needs it.
+        stride = n + 2 * slop + 1
+        keys, parts = None, []
+        for group in q.windows:
+            terms = term_of[group.words]
             alive = np.flatnonzero((terms >= 0).all(axis=1))
             if not len(alive):
                 continue
             terms = terms[alive]
             order = np.argsort(lengths[terms], axis=1, kind="stable")
-            rarest = np.take_along_axis(terms, order[:, :1], 1)[:, 0]
-            many = lengths[rarest]
-            window = np.repeat(np.arange(len(alive)), many)
-            within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-            low = self.positions[self.list_ends[rarest[window]] - many[window] + within].astype(np.int64)
-            start, high = low - order[window, 0], low.copy()
-            for k in range(1, windows.shape[1]):
-                if not len(window):
-                    break
-                if keys is None:
-                    keys = np.repeat(np.arange(len(self.terms), dtype=np.int64), lengths) * stride + slop + self.positions
-                place = order[window, k]
-                expected = start + place
-                wanted = terms[window, place] * stride + slop
-                found = np.searchsorted(keys, wanted + np.maximum(expected - slop, -slop))
-                got = keys[np.minimum(found, n - 1)] - wanted
-                fits = (found < n) & (got <= expected + slop) & (got >= expected - slop) & (got >= 0) & (got < n)
-                window, start, got = window[fits], start[fits], got[fits]
-                low, high = np.minimum(low[fits], got), np.maximum(high[fits], got)
-            doc = np.searchsorted(self.doc_starts, low, "right") - 1
-            inside = high < self.doc_starts[doc + 1] if len(doc) else np.empty(0, bool)
-            docs.append(doc[inside])
-            firsts.append(low[inside])
-            afters.append(high[inside] + 1)
-            items += [owners[alive[w]] for w in window[inside]]
-        if not docs:
-            return nothing
-        return np.concatenate(docs), np.concatenate(firsts), np.concatenate(afters), items
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[dict] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], b)
-        else:
-            out.append({"start": a, "end": b})
-    return out
+            many = lengths[np.take_along_axis(terms, order[:, :1], 1)[:, 0]]
+            if keys is None and terms.shape[1] > 1:
+                keys = np.repeat(np.arange(len(self.terms), dtype=np.int64), lengths) * stride + slop + self.positions
+            upto = np.cumsum(many)
+            first = 0
+            while first < len(alive):
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PLACES, "right")))
+                here = slice(first, last)
+                parts.append(self._matches(group, alive[here], terms[here], order[here], many[here], keys, stride, slop))
+                first = last
+        return Matches.of(parts)
+
+    def _matches(self, group: Windows, alive: np.ndarray, terms: np.ndarray, order: np.ndarray, many: np.ndarray, keys: np.ndarray | None, stride: int, slop: int) -> Matches:
+        n = len(self.positions)
+        rarest = terms[np.arange(len(terms)), order[:, 0]]
+        window = np.repeat(np.arange(len(alive)), many)
+        within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
+        low = self.positions[self.list_ends[rarest[window]] - many[window] + within].astype(np.int64)
+        start, high = low - order[window, 0], low.copy()
+        for k in range(1, terms.shape[1]):
+            if not len(window):
+                break
+            place = order[window, k]
+            expected = start + place
+            wanted = terms[window, place] * stride + slop
+            found = np.searchsorted(keys, wanted + np.maximum(expected - slop, -slop))
+            got = keys[np.minimum(found, n - 1)] - wanted
+            fits = (found < n) & (got <= expected + slop) & (got >= expected - slop) & (got >= 0) & (got < n)
+            window, start, got = window[fits], start[fits], got[fits]
+            low, high = np.minimum(low[fits], got), np.maximum(high[fits], got)
+        doc = np.searchsorted(self.doc_starts, low, "right") - 1
+        inside = high < self.doc_starts[doc + 1] if len(doc) else np.empty(0, bool)
+        doc, low, high, window = doc[inside], low[inside], high[inside], alive[window[inside]]
+        each = group.owner_starts[window + 1] - group.owner_starts[window]
+        at = np.repeat(group.owner_starts[window] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        return Matches(np.repeat(doc, each), np.repeat(low, each), np.repeat(high + 1, each), group.owners[at].astype(np.int64))
+
+    def spans(self, m: Matches) -> pa.Array:
+        """Per document its matches, merged, as words of the document."""
+        order = np.argsort(m.first, kind="stable")
+        doc, first, upto = m.doc[order], m.first[order], np.maximum.accumulate(m.after[order]) if len(order) else m.after
+        new = np.flatnonzero(np.concatenate([[True], (first[1:] > upto[:-1]) | (doc[1:] != doc[:-1])])) if len(order) else np.empty(0, np.int64)
+        last = np.append(new[1:] - 1, len(order) - 1) if len(new) else new
+        base = self.doc_starts[doc[new]]
+        values = pa.StructArray.from_arrays([pa.array((first[new] - base).astype(np.int32)), pa.array((upto[last] - base).astype(np.int32))], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(self.doc_starts))).astype(np.int32)), values)
+
+    def items(self, m: Matches, ids: list[str]) -> pa.Array:
+        """Per document the different ids of the items that match in it, sorted as strings."""
+        names, number = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.empty(0, object), np.empty(0, np.int64))
+        both = np.unique(m.doc * max(1, len(names)) + number[m.item]) if len(m.doc) else np.empty(0, np.int64)
+        doc, name = both // max(1, len(names)), both % max(1, len(names))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(self.doc_starts))).astype(np.int32)), pa.array(names[name].tolist(), pa.string()))
 
 
 def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
@@ -188,7 +228,6 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int
         sent = spark.sparkContext.broadcast(queries_of(part, width))
 
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             names = ["segment", "ordinal", "doc_id", "n_words", "spans", "items"]
             q = sent.value
             for batch in batches:
@@ -196,14 +235,9 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int
                     row = batch.slice(i, 1).to_pylist()[0]
                     s = Segment.read(row)
                     n = len(s.doc_ids)
-                    spans: list[list] = [[] for _ in range(n)]
-                    own: list[set] = [set() for _ in range(n)]
-                    for d, a, b, who in zip(*s.search(q, slop), strict=True):
-                        base = s.doc_starts[d]
-                        spans[d].append((int(a - base), int(b - base)))
-                        own[d].update(q.items[w] for w in who)
+                    m = s.search(q, slop)
                     ids = batch.column("doc_ids").slice(i, 1).flatten()
-                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n), pa.array(range(n), pa.int32()), ids, pa.array(np.diff(s.doc_starts)), pa.array([_merged(x) for x in spans], span), pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n), pa.array(range(n), pa.int32()), ids, pa.array(np.diff(s.doc_starts)), s.spans(m), s.items(m, q.items)], names=names)
 
         parts.append(index.mapInArrow(found, _FOUND_DDL.format(index.schema["doc_ids"].dataType.elementType.simpleString())))
     if n_blocks == 1:
@@ -211,10 +245,18 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 10, slop: int
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    together = rows.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    last = lambda a: F.element_at(a, -1)
-    start = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    merged = F.aggregate("all", start, lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
+    together = rows.groupBy("segment", "ordinal").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+    def joined(spans, x):
+        last = F.element_at(spans, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = (F.size(spans) > 0) & (x["start"] <= F.try_element_at(spans, F.lit(-1))["end"])
+        return F.when(touches, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(longer))).otherwise(F.concat(spans, F.array(x)))
+
+    merged = F.aggregate("all", F.expr("cast(array() as array<struct<start:int,end:int>>)"), joined)
     return together.select("doc_id", "n_words", merged.alias("spans"), "items")
 
 
@@ -222,8 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """doc_id, n_words, n_hit, n_items, items, spans, contaminated: one row per row of docs, repeated ones included.
 
     Null and empty texts have no words and are clean; null and empty items have no window; a null item id is written
-    as an empty string; several items of one id count once. An empty benchmark hits nothing. Other columns are not
-    looked at.
+    as an empty string; several items of one id count once. An empty benchmark hits nothing. A text of any length is
+    searched whole; one longer than SEGMENT_BYTES is a segment by itself. No rows give no rows, and other columns are
+    not looked at.
     """
     found = search_index(build_index(docs, id_column, text_column), benchmark.select("item_id", "text"), width)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))

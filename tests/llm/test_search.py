@@ -46,8 +46,9 @@ def brute_contamination(docs, items, width=10):
     return out
 
 
-@pytest.mark.parametrize(("segment", "block"), [(8 << 20, 16 << 20), (1000, 200)])
-def test_decontamination(odd, benchmark, monkeypatch, segment, block):
+@pytest.mark.parametrize(("segment", "block", "places"), [(8 << 20, 16 << 20, 1 << 20), (1000, 200, 3), (8 << 20, 1 << 20, 1)])
+def test_decontamination(odd, benchmark, monkeypatch, segment, block, places):
+    monkeypatch.setattr(postings, "PLACES", places)
     monkeypatch.setattr(postings, "SEGMENT_BYTES", segment)
     monkeypatch.setattr(postings, "BLOCK_BYTES", block)
     got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in decontaminate(odd, benchmark).collect())
