@@ -3,7 +3,9 @@
 Words are numbered by the order of their 64-bit hashes. Map tasks count what they read in sorted arrays and send
 slices of them; reduce tasks merge the slices of a key range and write sorted arrays into the shared folder, which
 every worker maps: the operating system keeps in memory what is looked up, and nothing is loaded whole. Training and
-scoring move arrays, never a row per token. All words and all bigrams count; nothing is pruned.
+scoring move arrays, never a row per token. All words and all bigrams count; nothing is pruned. The continuations of a
+word that occurs more than HOT_TOKENS times are divided by ranges of the word that follows, each a part of its own, so
+that no part has to hold all that follows a common word.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from sedgewren.llm.common import LOWER, NON_SPACE, blocks, column_bytes, fresh_path, word_hashes, word_spans
 
 #: Text bytes for each key range of the vocabulary, tokens for each of the bigrams; the least and the most ranges.
-PART_BYTES, PART_TOKENS, LEAST_PARTS, MOST_PARTS = 64 << 20, 2_000_000, 4, 1 << 16
+PART_BYTES, PART_TOKENS, LEAST_PARTS, MOST_PARTS = 64 << 20, 2_000_000, 4, 1 << 20
+#: Occurrences of a word for each of the parts that its continuations are divided into: all words together have no more
+#: than tokens / HOT_TOKENS such parts, and twice as many words at most are known to every worker.
+HOT_TOKENS = 1_000_000
 #: Distinct keys that a map task holds before it sends them.
 _HELD = 4_000_000
 _COUNTS_DDL = "part int, keys binary, counts binary"
@@ -133,6 +138,9 @@ class KneserNeyModel:
     bigram_discounts: list[float] = field(default_factory=lambda: [0.5] * 3)
     word_discounts: list[float] = field(default_factory=lambda: [0.5] * 3)
     spread: float = 1.0  # share of the word distribution that all words, known or not, share equally
+    #: Numbers of the words with parts of their own, in order; the first of each one's parts, with the end.
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    hot_parts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     @property
     def words(self) -> int:
@@ -151,6 +159,32 @@ class KneserNeyModel:
         """Part of each word number; numbers go up to words + 1, the end and the start of a text."""
         return (number.astype(np.uint64) * np.uint64(self.n_parts) // np.uint64(self.words + 2)).astype(np.int64)
 
+    def bigram_parts(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Part of each bigram; it never falls as u and then w grow."""
+        part = self.parts_of(u)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
+            own = np.flatnonzero(self.hot[at] == u.astype(np.int64))
+            first, many = self.hot_parts[at[own]], self.hot_parts[at[own] + 1] - self.hot_parts[at[own]]
+            # Words that are numbered higher have higher parts: w * many / (words + 2), without an overflow.
+            share = w[own].astype(np.float64) / (self.words + 2)
+            part[own] = self.n_parts + first + np.minimum((share * many).astype(np.int64), many - 1)
+        return part
+
+    def _stats(self, part: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts u of a part are known, and total and numbers of continuations by count of the known ones."""
+        if part >= self.n_parts:
+            k = int(np.searchsorted(self.hot_parts, part - self.n_parts, "right")) - 1
+            stats = [_mapped(f"{self.folder}/context-stats-{p + self.n_parts:07d}.npy") for p in range(self.hot_parts[k], self.hot_parts[k + 1])]
+            total = sum(x.sum(axis=0) for x in stats if x is not None)
+            return np.full(len(u), bool(np.any(total))), np.broadcast_to(total, (len(u), 4)).astype(np.float64) if np.any(total) else np.zeros((0, 4))
+        contexts = _mapped(f"{self.folder}/contexts-{part:07d}.npy")
+        if contexts is None:
+            return np.zeros(len(u), bool), np.zeros((0, 4))
+        c = np.minimum(np.searchsorted(contexts, u.astype(np.uint32)), len(contexts) - 1)
+        seen = contexts[c] == u.astype(np.uint32)
+        return seen, _mapped(f"{self.folder}/context-stats-{part:07d}.npy")[c[seen]].astype(np.float64)
+
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each word, -1 if it isn't known, and how often it occurs."""
         unique, inverse = np.unique(hashes, return_inverse=True)
@@ -159,11 +193,11 @@ class KneserNeyModel:
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
         for a, b in zip(first, [*first[1:], len(part)], strict=True):
             p = int(part[a])
-            if (keys := _mapped(f"{self.folder}/words-{p:05d}.npy")) is not None:
+            if (keys := _mapped(f"{self.folder}/words-{p:07d}.npy")) is not None:
                 at = np.minimum(np.searchsorted(keys, unique[a:b]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == unique[a:b])
                 numbers[a + hit] = self.word_offsets[p] + at[hit]
-                counts[a + hit] = _mapped(f"{self.folder}/counts-{p:05d}.npy")[at[hit]]
+                counts[a + hit] = _mapped(f"{self.folder}/counts-{p:07d}.npy")[at[hit]]
         return numbers[inverse], counts[inverse]
 
     def word_probability(self, number: np.ndarray) -> np.ndarray:
@@ -176,7 +210,7 @@ class KneserNeyModel:
         cuts = np.searchsorted(part, np.arange(self.n_parts + 1))
         for p in np.unique(part):
             at = known[cuts[p] : cuts[p + 1]]
-            dense = _mapped(f"{self.folder}/before-{p:05d}.npy")
+            dense = _mapped(f"{self.folder}/before-{p:07d}.npy")
             if dense is not None:
                 before[at] = dense[number[at] - _first_number(p, self.n_parts, self.words)]
         return (before - _discount(before, self.word_discounts)) / max(1, self.types) + share
@@ -185,28 +219,28 @@ class KneserNeyModel:
         """P(w | u) of word numbers, -1 for unknown ones."""
         lower = self.word_probability(w)
         out = lower.copy()
-        order = np.argsort(u, kind="stable")
-        order = order[u[order] >= 0]
-        part = self.parts_of(u[order])
-        cuts = np.searchsorted(part, np.arange(self.n_parts + 1))
-        for p in np.unique(part):
-            at = order[cuts[p] : cuts[p + 1]]
-            contexts = _mapped(f"{self.folder}/contexts-{p:05d}.npy")
-            if contexts is None:
+        known = np.flatnonzero(u >= 0)
+        part = self.bigram_parts(u[known], np.maximum(w[known], 0))
+        order = np.argsort(part, kind="stable")
+        known, part = known[order], part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        for a, b in zip(first, [*first[1:], len(part)], strict=True):
+            p, at = int(part[a]), known[a:b]
+            seen, s = self._stats(p, u[at])
+            at = at[seen]
+            if not len(at):
                 continue
-            stats = _mapped(f"{self.folder}/context-stats-{p:05d}.npy")
-            c = np.minimum(np.searchsorted(contexts, u[at].astype(np.uint32)), len(contexts) - 1)
-            seen = contexts[c] == u[at].astype(np.uint32)
-            at, c = at[seen], c[seen]
-            s = stats[c].astype(np.float64)
             total = s[:, 0]
             freed = s[:, 1:] @ np.array(self.bigram_discounts) / total
-            keys, counts = _mapped(f"{self.folder}/bigrams-{p:05d}.npy"), _mapped(f"{self.folder}/bigram-counts-{p:05d}.npy")
-            wanted = (u[at].astype(np.uint64) << np.uint64(32)) | np.maximum(w[at], 0).astype(np.uint64)
-            unique, inverse = np.unique(wanted, return_inverse=True)
-            k = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
-            n = np.where(keys[k] == unique, counts[k], 0).astype(np.int64)[inverse]
-            n[w[at] < 0] = 0
+            n = np.zeros(len(at), np.int64)
+            keys = _mapped(f"{self.folder}/bigrams-{p:07d}.npy")
+            if keys is not None:
+                counts = _mapped(f"{self.folder}/bigram-counts-{p:07d}.npy")
+                wanted = (u[at].astype(np.uint64) << np.uint64(32)) | np.maximum(w[at], 0).astype(np.uint64)
+                unique, inverse = np.unique(wanted, return_inverse=True)
+                k = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
+                n = np.where(keys[k] == unique, counts[k], 0).astype(np.int64)[inverse]
+                n[w[at] < 0] = 0
             out[at] = (n - _discount(n, self.bigram_discounts)) / total + freed * lower[at]
         return out
 
@@ -238,7 +272,8 @@ def _numbers(m: KneserNeyModel, column: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
-    """The model of all texts. The shared folder must be one that Python can open on every machine (file:)."""
+    """The model of all texts, each taken whole; repeated rows count each time, and no rows make a model that knows no
+    word. The shared folder must be one that Python can open on every machine (file:)."""
     spark = texts.sparkSession
     path = fresh_path(spark, "kneser-ney")
     if "://" in path and not path.startswith("file://"):
@@ -254,18 +289,24 @@ def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
     def write_words(key, table):
         part = key[0].as_py()
         keys, counts = _group(table)
-        _save(folder, f"words-{part:05d}", keys)
-        _save(folder, f"counts-{part:05d}", counts)
-        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
+        _save(folder, f"words-{part:07d}", keys)
+        _save(folder, f"counts-{part:07d}", counts)
+        common = np.flatnonzero(counts > HOT_TOKENS)
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (common, counts[common])]
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "hot": lists[0], "times": lists[1]})
 
     # One row for each part.
-    sizes = {r["part"]: r for r in rows.mapInArrow(word_counts, _COUNTS_DDL).groupBy("part").applyInArrow(write_words, "part int, n bigint, tokens bigint").collect()}
+    sizes = {r["part"]: r for r in rows.mapInArrow(word_counts, _COUNTS_DDL).groupBy("part").applyInArrow(write_words, "part int, n bigint, tokens bigint, hot array<bigint>, times array<bigint>").collect()}
     offsets = np.concatenate([[0], np.cumsum([sizes[p]["n"] if p in sizes else 0 for p in range(word_parts)])])
     tokens = ends + sum(r["tokens"] for r in sizes.values())
     if offsets[-1] >= 1 << 32:
         raise ValueError("more distinct words than 32-bit numbers")
     n_parts = _parts(tokens, PART_TOKENS)
     model = KneserNeyModel(folder, offsets, n_parts, tokens, ends)
+    hot = [(int(offsets[p] + k), n) for p, r in sorted(sizes.items()) for k, n in zip(r["hot"], r["times"], strict=True)]
+    hot += [(model.words + 1, ends)] if ends > HOT_TOKENS else []  # the start of a text
+    model.hot = np.array([k for k, _ in hot], np.int64)
+    model.hot_parts = np.cumsum([0, *(-(-n // HOT_TOKENS) for _, n in hot)]).astype(np.int64)
     sent = spark.sparkContext.broadcast(model)
 
     def bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,18 +316,18 @@ def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
             number, _, before, _ = _numbers(m, batch.column("text"))
             return (before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
 
-        return _counted(batches, keys, lambda k: m.parts_of(k >> np.uint64(32)))
+        return _counted(batches, keys, lambda k: m.bigram_parts(k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)))
 
     def write_bigrams(key, table):
         m, part = sent.value, key[0].as_py()
         keys, counts = _group(table)
-        _save(folder, f"bigrams-{part:05d}", keys)
-        _save(folder, f"bigram-counts-{part:05d}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+        _save(folder, f"bigrams-{part:07d}", keys)
+        _save(folder, f"bigram-counts-{part:07d}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
         u = (keys >> np.uint64(32)).astype(np.uint32)
         at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         stats = np.column_stack([np.add.reduceat(x, at) for x in (counts, counts == 1, counts == 2, counts > 2)])
-        _save(folder, f"contexts-{part:05d}", u[at])
-        _save(folder, f"context-stats-{part:05d}", stats.astype(np.int64))
+        _save(folder, f"contexts-{part:07d}", u[at])
+        _save(folder, f"context-stats-{part:07d}", stats.astype(np.int64))
         w, before = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         goes_to = m.parts_of(w)
         cut = np.flatnonzero(np.concatenate([[True], goes_to[1:] != goes_to[:-1]]))
@@ -306,7 +347,7 @@ def train(texts: DataFrame, text_column: str = "text") -> KneserNeyModel:
         dense = np.zeros(after - first, np.int64)
         for w, n in zip(table.column("words").to_pylist(), table.column("before").to_pylist(), strict=True):
             dense[np.frombuffer(w, np.uint32).astype(np.int64) - first] += np.frombuffer(n, np.uint32)
-        _save(folder, f"before-{part:05d}", dense.astype(np.uint32))
+        _save(folder, f"before-{part:07d}", dense.astype(np.uint32))
         add = lambda column: np.sum(np.array(table.column(column).to_pylist(), np.int64), axis=0)
         by = [int((dense == k).sum()) for k in range(1, 5)]
         return pa.table({"of_counts": pa.array([add("of_counts").tolist()], pa.list_(pa.int64())), "types": pa.array([int(add("types"))], pa.int64()), "of_before": pa.array([by + [int((dense > 2).sum())]], pa.list_(pa.int64()))})
@@ -329,6 +370,7 @@ def score(docs: DataFrame, model: KneserNeyModel, text_column: str = "text") ->
     Tokens are the words of the whole text, A-Z lower-cased, and its end, so that a null or empty text has one. score
     is log10 of the model's probability of the tokens; words that training lacks share what it leaves to all words.
     base_score is the unigram score with half a count added. With nothing to learn from, all words are equally unknown.
+    Texts of any length are scored whole, repeated rows alike; no rows give no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != text_column]

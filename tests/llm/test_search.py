@@ -252,14 +252,16 @@ def brute_kneser_ney(train):
     return c, p
 
 
-@pytest.mark.parametrize("part", [2_000_000, 50])
-def test_kneser_ney(spark, odd, monkeypatch, part):
+@pytest.mark.parametrize(("part", "hot"), [(2_000_000, 1_000_000), (50, 1_000_000), (50, 7), (2_000_000, 1)])
+def test_kneser_ney(spark, odd, monkeypatch, part, hot):
     monkeypatch.setattr(kneser_ney, "PART_TOKENS", part)
+    monkeypatch.setattr(kneser_ney, "HOT_TOKENS", hot)
     monkeypatch.setattr(kneser_ney, "_HELD", 500)
     monkeypatch.setattr(kneser_ney, "PART_BYTES", part * 20)
     learn = odd.where("doc_id is null or doc_id % 3 <> 0")
     model = kneser_ney.train(learn.select("text"))
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    assert hot > 100 or len(model.hot) > 5
     c, p = brute_kneser_ney([split(r.text) for r in learn.collect()])
     n = sum(c.values())
     assert (model.tokens, model.vocabulary) == (n, len(c))
@@ -274,6 +276,12 @@ def test_kneser_ney(spark, odd, monkeypatch, part):
         assert sum(p(u, w) for w in c) + p(u, "another word never seen") == pytest.approx(1)
 
 
+def test_scores_keep_columns_of_any_name(spark, odd):
+    model = kneser_ney.train(odd.select("text"))
+    scored = kneser_ney.score(odd.select("doc_id", "text", "size", "words", "n"), model)
+    assert scored.columns == ["doc_id", "size", "words", "n", "n_tokens", "n_known", "base_score", "score"] and scored.count() == odd.count()
+
+
 def test_kneser_ney_of_nothing(spark, odd, nothing):
     model = kneser_ney.train(nothing.select("text"))
     assert all(r.n_known == 0 and r.score == r.base_score == 0 for r in kneser_ney.score(odd.select("doc_id", "text"), model).collect())
