@@ -7,7 +7,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +59,51 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sedgewren/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: What `materialise` and `bucketed` have written and `scope` has not deleted, in order.
+_written: list[str] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[], str]]:
+    """At its end, all tables written in it are deleted but those after which the function that it gives was called, which
+    returns their path. Only what is read no more may be written in it: results that are still to be computed read such
+    tables."""
+    mark, kept = len(_written), set()
+
+    def keep() -> str:
+        kept.add(_written[-1])
+        return _written[-1]
+
+    try:
+        yield keep
+    finally:
+        here, _written[mark:] = _written[mark:], [p for p in _written[mark:] if p in kept]
+        for path in here:
+            if path not in kept:
+                forget(spark, path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has written in the shared folder; nothing that reads it works any more."""
+    forget(spark, f"{shared_dir(spark)}/sedgewren/{spark.sparkContext.applicationId}")
+    _written.clear()
+
+
 def materialise(df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     writer = df.write.option("compression", "zstd").options(**options)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +114,9 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"sedgewren_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    path = fresh_path(spark, name)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    _written.append(path)
     try:
         return spark.table(table)
     finally:
@@ -160,27 +202,53 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82E
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, (1 << 20) + 1)
+#: Bytes that are hashed at once; tables of powers are as long.
+_PIECE = 1 << 20
+
+
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < _PIECE + 1:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(m, base, np.uint64)
+            steps = np.full(_PIECE + 1, base, np.uint64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps)
     return _powers[0], _powers[1]
 
 
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """The sum that `word_hashes` makes of a word of any length, piece by piece."""
+    power, _ = _power_tables()
+    total, at = np.uint64(0), 1
+    for i in range(0, len(word), _PIECE):
+        piece = word[i : i + _PIECE]
+        total += (_BYTE_VALUE[piece] * power[: len(piece)]).sum(dtype=np.uint64) * np.uint64(at)
+        at = at * pow(int(_BASE), _PIECE, 1 << 64) % (1 << 64)
+    return total
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same in every batch and process."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _power_tables(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[buf] * power[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix(h)
+    """A 64-bit hash of the bytes of each word, the same in every batch and process. What it takes beside its result does
+    not grow with the text."""
+    out = np.empty(len(starts), np.uint64)
+    power, inverse = _power_tables()
+    first = 0
+    with np.errstate(over="ignore"):
+        while first < len(starts):
+            base = int(starts[first])
+            last = int(np.searchsorted(ends, base + _PIECE, "right"))
+            if last <= first:
+                out[first] = _long_hash(buf[base : ends[first]])
+                first += 1
+                continue
+            piece = buf[base : ends[last - 1]]
+            sums = np.empty(len(piece) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_BYTE_VALUE[piece] * power[: len(piece)], out=sums[1:])
+            a, b = starts[first:last] - base, ends[first:last] - base
+            out[first:last] = (sums[b] - sums[a]) * inverse[a]
+            first = last
+    out += (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    return mix(out)
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

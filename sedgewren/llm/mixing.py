@@ -66,8 +66,8 @@ def mix(keys: DataFrame, targets: DataFrame) -> DataFrame:
     """keys: of `mix_keys`; targets: source, source_size, target (at most a whole number of passes times the size).
 
     Adds source_size, target, passes (how often the row is taken) and taken (words taken from it, repeats counted). A row's takes differ by one pass at
-    most from any other of its source. Null sources are one source; null texts have size 0; identical rows are taken
-    in equal numbers on every run; empty input gives no rows.
+    most from any other of its source. Null sources are one source; null texts have size 0, and texts of any length are
+    one row; identical rows are taken in equal numbers on every run; empty input gives no rows.
     """
     # A null source joins like any other.
     grp = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))

@@ -14,7 +14,7 @@ from sedgewren.llm.common import hex_key, materialise, text_or_empty
 from sedgewren.llm.histogram import PARTS, below, thresholds
 
 LAWS = ("bytes", "rows")
-#: Ranges of the first key part, and for equal texts of the second, that are ranked apart.
+#: Ranges of the first key part, and for equal texts of the second (and for equal rows of the third), that are ranked apart.
 _RANGES_BITS, _HOT_BITS = 12, 8
 
 
@@ -50,7 +50,8 @@ def histogram_shards(keys: DataFrame, n_shards: int, law: str = "bytes", toleran
 
     law `bytes` makes the shards' sizes near equal, `rows` their counts. tolerance: how far, as a fraction of a shard,
     a splitter may stay from its target; 0 refines to the nearest row. Null texts count as empty, null ids sort as an
-    empty id, repeated rows are told apart and all placed; no rows give no rows.
+    empty id, repeated rows are told apart and all placed, a very long text has a shard of its own if it outweighs one;
+    no rows give no rows.
     """
     if law not in LAWS:
         raise ValueError(f"law must be one of {LAWS}")
@@ -70,13 +71,25 @@ def histogram_shards(keys: DataFrame, n_shards: int, law: str = "bytes", toleran
     full = [r["range"] for r in placed.groupBy("range").count().where(F.col("count") > most).select("range").collect()]
     # Fewer than rows / most, so at most 1024.
     hot = sorted(r["a"] for r in placed.where(F.col("range").isin(full)).groupBy("a").count().where(F.col("count") > most).select("a").collect()) if full else []
+    place = ["shard", "range", "segment", "part", "segment_b", "part_b"]
     if hot:
         is_hot = F.col("a").isin(hot)
+        # Rows of one text and one id (or none) can be as many: they are ranked by ranges of the third part.
+        repeated = [(r["a"], r["b"]) for r in placed.where(is_hot).groupBy("a", "b").count().where(F.col("count") > most).select("a", "b").collect()]
+        pair = lambda a, b: F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+        own = F.struct(F.col("a"), F.col("b"))
         after = F.size(F.filter(F.array(*map(F.lit, hot)), lambda x: x <= F.col("a")))
-        placed = placed.withColumn("segment", F.when(F.col("range").isin(full), after).otherwise(0)).withColumn("part", F.when(is_hot, F.shiftright("b", 60 - _HOT_BITS)).otherwise(1 << _HOT_BITS))
+        pairs = F.array(*(pair(a, b) for a, b in repeated))
+        after_b = F.size(F.filter(pairs, lambda x: x <= own)) if repeated else F.lit(0)
+        is_pair = F.array_contains(pairs, own) if repeated else F.lit(False)
+        placed = placed.withColumns({
+            "segment": F.when(F.col("range").isin(full), after).otherwise(0),
+            "part": F.when(is_hot, F.shiftright("b", 60 - _HOT_BITS)).otherwise(1 << _HOT_BITS),
+            "segment_b": F.when(is_hot, after_b).otherwise(0),
+            "part_b": F.when(is_pair, F.shiftright("c", 60 - _HOT_BITS)).otherwise(1 << _HOT_BITS),
+        })
     else:
-        placed = placed.withColumn("segment", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
-    place = ["shard", "range", "segment", "part"]
+        placed = placed.withColumns({c: F.lit(0).cast("long") for c in place[2:]})
     counts = placed.groupBy(*place).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -1,6 +1,9 @@
 """Held-out accuracy of the classifiers, their edge cases, and the pipeline stage by stage."""
 
+import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -158,8 +161,9 @@ def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)
     clean = stage["toxicity"](spark, docs, sf)
-    scores = {r.doc_id: r.score for r in toxicity.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
-    assert clean.columns == columns and Counter(r.doc_id for r in clean.collect()) == Counter(i for i, s in scores.items() if s < 0.3)
+    scores = brute_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert clean.columns == columns and Counter(r.doc_id for r in clean.collect()) == Counter(i for i, s in scores if s < 0.3)
+    assert any(s >= 0.3 for _, s in scores)
 
     one = stage["near_duplicates"](spark, docs, sf)
     expected = {c for _, c, _ in brute_links(docs.collect())}
@@ -182,7 +186,78 @@ def test_pipeline_stages(spark, sf):
     assert max(Counter(r.doc_id for r in mixed).values()) <= 2
 
     placed = stage["sharding"](spark, docs, sf).collect()
-    assert Counter(r.doc_id for r in placed) == Counter(r.doc_id for r in docs.collect()) and {r.shard for r in placed} == set(range(40))
+    key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    order = sorted((key(r.text or ""), key(str(r.doc_id)), r.doc_id, len((r.text or "").encode()) + 16) for r in docs.collect())
+    upto, total, expected, slots = 0, sum(x[3] for x in order), {}, Counter()
+    for _, _, i, size in order:
+        # A row goes before a splitter if that brings the splitter nearer to its target.
+        shard = sum(not (upto + size < total * t / 40 or (upto < total * t / 40 and upto + size - total * t / 40 < total * t / 40 - upto)) for t in range(1, 40))
+        upto += size
+        expected[i] = shard, slots[shard]
+        slots[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in placed} == expected
+
+
+def brute_toxicity(docs, labels):
+    """id and score of each row, window by window: each by itself, compressed with either dictionary."""
+    model = toxicity.toxicity_model(docs, labels)
+    import zstandard
+
+    def compressor(content):
+        return zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    ordinary, toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
+    out = []
+    for r in docs.select("doc_id", "text").collect():
+        saved = []
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()):
+            pieces = [b" " + w[i : i + toxicity.WINDOW] + b" " + toxicity.TAIL for i in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+            saved.append(max(len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces))
+        n, enough, near = len(saved), sum(s >= model.least_saving for s in saved), sum(s >= model.least_saving - 1 for s in saved)
+        x = [min(max(max(saved), 0), 10), math.log1p(enough), math.sqrt(enough / n), math.sqrt(near / n)] if n else [0, 0, 0, 0]
+        z = model.weights[0] + sum(b * (v - c) / s for b, v, c, s in zip(model.weights[1:], x, model.centre, model.scale, strict=True))
+        out.append((r.doc_id, 1 / (1 + math.exp(-min(max(z, -30), 30)))))
+    return out
+
+
+def test_toxicity_window_by_window(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    expected = dict(brute_toxicity(docs, labels))
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert got.keys() == expected.keys() and all(got[i] == pytest.approx(s, abs=1e-9) for i, s in expected.items())
+
+
+def test_a_training_step_goes_down_the_gradient():
+    """One step of training on one batch moves every parameter against the sign of the loss's numerical derivative."""
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcde fgh") for _ in range(r.randint(20, 200))) for _ in range(12)]
+    y = np.array([i % 2 for i in range(12)])
+    table = pa.table({"text": pa.array(texts), "label": pa.array(y.tolist(), pa.int32())})
+    start = byte_cnn.train(table, {0: 6, 1: 6}, epochs=1, batch=12, rate=0.0)
+    after = byte_cnn.train(table, {0: 6, 1: 6}, epochs=1, batch=12, rate=1e-4)
+
+    def loss(net):
+        p = np.clip(net.scores(pa.array(texts)), 1e-12, 1 - 1e-12)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    used = sorted({b for t in texts for b in t.encode()})
+    places = [("filters", (k, b, f)) for k in (0, 4) for b in used for f in range(byte_cnn.FILTERS)] + [("bias", (f,)) for f in range(byte_cnn.FILTERS)] + [("weights", (f,)) for f in range(2 * byte_cnn.FILTERS)]
+    checked = 0
+    for name, at in places:
+        slopes = []
+        for h in (1e-3, 2e-3):
+            ends = []
+            for sign in (1, -1):
+                moved = {n: getattr(start, n).copy() for n in ("filters", "bias", "weights")}
+                moved[name][at] += sign * h
+                ends.append(loss(byte_cnn.ByteCNN(moved["filters"], moved["bias"], moved["weights"], start.intercept)))
+            slopes.append((ends[0] - ends[1]) / (2 * h))
+        # Where another place takes over as a maximum there is no derivative.
+        if abs(slopes[0]) > 1e-4 and abs(slopes[0] - slopes[1]) < 0.05 * abs(slopes[0]):
+            step = getattr(after, name)[at] - getattr(start, name)[at]
+            assert np.sign(step) == -np.sign(slopes[0]), (name, at, slopes, step)
+            checked += 1
+    assert checked > 100
 
 
 def test_pipeline_odd_rows(spark, odd, nothing, sf):

@@ -88,6 +88,18 @@ def test_equal_texts_share_neighbouring_shards_and_hot_texts_are_ranked_apart(sp
     assert max(totals) - min(totals) <= 2 * max(r["size"] for r in rows)
 
 
+def test_very_many_equal_rows_are_ranked_apart(spark):
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    docs = docs.unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+    rows = histogram_shards(shard_keys(docs), 8, "rows").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 12_000 and all(sorted(v) == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} == {1500}
+    keys = [(r.a, r.b, r.c) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert keys == sorted(keys)
+
+
 def test_tolerance_stops_early(odd):
     rows = histogram_shards(shard_keys(odd), 4, "rows", tolerance=0.2).collect()
     counts = Counter(r.shard for r in rows)
@@ -193,6 +205,23 @@ def test_exact_groups_of_several_memtables(spark, odd):
     assert few == many
 
 
+def test_scope_deletes_what_is_not_kept(spark):
+    from pathlib import Path
+
+    from sedgewren.llm import common
+
+    before = list(common._written)
+    with common.scope(spark) as keep:
+        common.materialise(spark.range(3), "one")
+        kept = common.materialise(spark.range(4), "two")
+        keep()
+        common.bucketed(spark.range(5), "three", "id")
+        paths = [Path(p.removeprefix("file://")) for p in common._written[len(before) :]]
+        assert len(paths) == 3 and all(p.exists() for p in paths)
+    assert [p.exists() for p in paths] == [False, True, False] and kept.count() == 4
+    assert common._written[:-1] == before and common._written[-1].removeprefix("file://") == str(paths[1])
+
+
 def test_bitmap_filter_never_misses(spark):
     have = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("k"))
     passed = {r.k for r in exact.may_contain(spark.range(4000).select(F.col("id").cast("string").alias("k")), "k", exact.bitmap_filter(have, "k")).collect()}

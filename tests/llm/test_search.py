@@ -5,11 +5,12 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import frame, words
 from pyspark.sql import functions as F
 
-from sedgewren.llm import kneser_ney, near, postings, suffixes
+from sedgewren.llm import common, kneser_ney, near, postings, suffixes
 from sedgewren.llm.components import connected_components
 from sedgewren.llm.near import bands_for, jaccard_links
 from sedgewren.llm.postings import decontaminate, search_index
@@ -189,6 +190,37 @@ def test_no_links(nothing, spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_links(alone).collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0)}
 
 
+def test_word_hashes_do_not_depend_on_what_is_around(monkeypatch):
+    r = np.random.default_rng(7)
+    text = "".join(chr(97 + x) for x in r.integers(0, 26, 5000))
+    words_ = [text[:1], text[:63], text[:64], text[:65], text[1:900], text[5:70], text]
+    buf = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    starts, ends, _ = common.word_spans(buf, np.array([0, len(buf)]), common.WORD_BYTE)
+    whole = common.word_hashes(buf, starts, ends)
+    assert len(set(whole.tolist())) == len(words_)
+    monkeypatch.setattr(common, "_PIECE", 64)
+    assert (common.word_hashes(buf, starts, ends) == whole).all()
+    for w, h in zip(words_, whole, strict=True):
+        b = np.frombuffer(w.encode(), np.uint8)
+        assert common.word_hashes(b, np.array([0]), np.array([len(b)]))[0] == h
+
+
+def test_very_long_texts(spark):
+    """A word of 3 MB, and a text of 6 MB that two rows share but for a word."""
+    long = words(80, 1_200_000)
+    docs = [(1, "y" * 3_000_000), (2, " ".join(long)), (3, " ".join([*long[:-3], "z", *long[-2:]])), (4, " ".join(words(81, 60))), (5, "y" * 3_000_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_links(df).collect()} == {(1, 1, 1), (5, 1, 1), (2, 2, 1), (3, 2, 1), (4, 4, 0)}
+    n = len(long)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in repeated_passages(df).collect()}
+    assert spans == {2: [(0, n - 3)], 3: [(0, n - 3)]}
+    model = kneser_ney.train(df.select("text"))
+    assert model.tokens == sum(len(t.split()) + 1 for _, t in docs)
+    assert {r.doc_id: r.n_known for r in kneser_ney.score(df, model).collect()} == {i: len(t.split()) + 1 for i, t in docs}
+    item = spark.createDataFrame([(1, " ".join(long[-12:-3])), (2, "nowhere")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(df, item).collect()} == {1: 0, 2: 9, 3: 9, 4: 0, 5: 0}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.99)):
         b, r = bands_for(threshold, recall, 128)
