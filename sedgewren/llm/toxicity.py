@@ -1,21 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made: one trained on ordinary text, one with the same content and, on top, all pieces
-of words that labelled toxic text has more of, by their number of texts and a test against ordinary text. A window that compresses shorter with the second than with the first has something toxic in it.
+Two zstandard dictionaries are trained, one on windows of ordinary texts and one on windows of toxic texts. A window's
+distance is by how many bytes it compresses shorter with both of them than with the ordinary one alone. Toxic texts are
+mostly ordinary text, so the toxic dictionary is trained in rounds: first on all windows of the toxic texts, then on those
+whose distance is telling. The texts are dealt into halves, and a window is only ever measured with the dictionary of the
+other half, so that none is taken because it is in the dictionary itself.
+
 Windows are the words of a text, longer ones cut into overlapping pieces, so that they cover the whole text and equal
 windows are compressed once. Each is followed by a fixed tail that both dictionaries hold, because zstandard stores
-the last bytes of a block as they are. How many bytes a window must save, and what the savings of a text's windows say
-about the text, is calibrated on labelled texts that the dictionaries were not trained on.
+the last bytes of a block as they are. What the distances of a text's windows say about the text is calibrated on
+labelled texts that neither dictionary was trained on.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,111 +33,90 @@ from sedgewren.llm.labelled import fitted, fold, labelled_sample
 #: Bytes of a window and of the step between windows of a longer word; level of compression.
 WINDOW, STEP, LEVEL = 48, 32, 9
 TAIL = bytes(range(1, 25))
-#: Lengths of the byte runs whose share in toxic and ordinary text is compared; the least number of toxic texts with
-#: one, the least evidence (see `evidence`) that it is more common there, and how many times: calibration chooses. None
-#: of them is a share of all toxic texts, so that more examples bring in what few of the texts have, as a language does.
-RUNS, LEAST_TEXTS, LEAST_EVIDENCE, LEAST_RATIOS = (5, 6, 7, 8), 5, (11.0, 24.0, 50.0), (8.0, 25.0)
-ORDINARY_BYTES = 16_000
+#: Bytes of the dictionaries; length of the segments that training chooses and of the pieces it counts them by.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, PIECE = 100_000, 1_500, 24, 6
+#: Rounds of choosing the windows that the toxic dictionary is trained on; distances that calibration looks at.
+ROUNDS, DISTANCES = 3, (2, 3, 4, 5, 6)
 #: Windows kept in a worker's memory with their savings.
 _CACHE = 400_000
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
 
-def _words(text: bytes) -> list[bytes]:
-    return [w for w in _SPACES.split(text) if w]
+def _windows(text: bytes) -> list[bytes]:
+    return [w[i : i + WINDOW] for w in _SPACES.split(text) if w for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
 
 
-def _trained(samples: list[bytes], size: int, most: int) -> bytes:
-    """Content of a dictionary of about that size, from short strings put together into samples."""
-    joined, now = [], b""
-    for s in samples:
-        now += s
-        if len(now) > most:
-            joined.append(now)
+def _trained(windows: list[bytes], size: int) -> bytes:
+    """Content of a dictionary of at most that size, trained on the windows: some of them in a row are a sample."""
+    windows = list(windows)
+    random.Random(7).shuffle(windows)
+    samples, now = [], b""
+    for w in windows:
+        now += b" " + w
+        if len(now) > 100:
+            samples.append(now)
             now = b""
     try:
-        return zstandard.train_dictionary(size + 600, joined).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples to train on: they are the content
-        return b"".join(samples)[-size:]
-
-
-def run_counts(toxic: list[bytes], ordinary: list[bytes], least: float) -> dict[bytes, tuple[int, int]]:
-    """Byte runs of the words of at least `least` toxic texts, and the number of toxic and of ordinary texts with each."""
-    out = {}
-    for length in RUNS:
-
-        def runs(text: bytes, length: int = length) -> set[bytes]:
-            return {x[i : i + length] for w in set(_words(text)) for x in (b" " + w,) for i in range(len(x) - length + 1)}
-
-        here: Counter[bytes] = Counter()
-        for t in toxic:
-            here.update(runs(t))
-        there = {g: 0 for g, n in here.items() if n >= least}
-        for t in ordinary:
-            for g in runs(t) & there.keys():
-                there[g] += 1
-        out |= {g: (here[g], n) for g, n in there.items()}
-    return out
+        return zstandard.train_dictionary(size + 600, samples, k=SEGMENT, d=PIECE).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too few samples to train on: the windows are the content, each once
+        return b"".join(b" " + w for w in dict.fromkeys(windows))[-size:]
 
 
-def evidence(here: int, there: int, n_toxic: int, n_ordinary: int) -> float:
-    """The likelihood ratio statistic G2 of a run's numbers of toxic and ordinary texts against an equal share of both."""
-    share = n_toxic / (n_toxic + n_ordinary)
-    n = here + there
-    return 2 * sum(x * math.log(x / (n * p)) for x, p in ((here, share), (there, 1 - share)) if x)
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def telling_runs(counts: dict[bytes, tuple[int, int]], n_toxic: int, n_ordinary: int, least: float, ratio: float) -> set[bytes]:
-    """Runs that are `ratio` times as common in toxic as in ordinary texts, by at least that evidence."""
-    telling: set[bytes] = set()
-    for length in RUNS:  # a longer run only where no shorter one in it tells anything
-        telling |= {g for g, (here, there) in counts.items() if len(g) == length and here / n_toxic >= ratio * (there + 0.5) / max(1, n_ordinary) and evidence(here, there, n_toxic, n_ordinary) >= least and g[1:] not in telling and g[:-1] not in telling}
-    return telling
+def _lengths(compressor: zstandard.ZstdCompressor, windows: Iterable[bytes]) -> dict[bytes, int]:
+    return {w: len(compressor.compress(b" " + w + b" " + TAIL)) for w in windows}
 
 
-def toxic_pieces(toxic: list[bytes], telling: set[bytes]) -> list[bytes]:
-    """Pieces of the words of toxic texts that telling runs cover, as often as texts have them."""
-    known: dict[bytes, list[bytes]] = {}
+def telling_distance(toxic: list[tuple[int, int]], ordinary: list[tuple[int, int]]) -> int:
+    """The least distance from which on windows of toxic texts are most surely more frequent than those of ordinary ones.
 
-    def pieces_of(word: bytes) -> list[bytes]:
-        if word not in known:
-            x = b" " + word
-            covered = bytearray(len(x))
-            for n in RUNS:
-                for i in range(len(x) - n + 1):
-                    if x[i : i + n] in telling:
-                        covered[i : i + n] = b"\x01" * n
-            known[word] = [x[m.start() : m.end()] for m in re.finditer(rb"\x01+", bytes(covered))]
-        return known[word]
+    Both are pairs of a distance and a number of windows. Sureness is the difference of the shares over its standard error.
+    """
+    of = [max(1, sum(n for _, n in x)) for x in (toxic, ordinary)]
+    best = (-math.inf, 1)
+    for least in range(1, 12):
+        here, there = (sum(n for d, n in x if d >= least) for x in (toxic, ordinary))
+        if here:
+            best = max(best, ((here / of[0] - there / of[1]) / math.sqrt(here / of[0] ** 2 + (there + 1) / of[1] ** 2), least))
+    return best[1]
 
-    return [p for t in toxic for w in sorted(set(_words(t))) for p in pieces_of(w)]
 
+def toxic_dictionary(ordinary: bytes, toxic_texts: list[bytes], ordinary_texts: list[bytes]) -> bytes:
+    """Trained on the windows of toxic texts that tell them from ordinary texts; see the module's docstring.
 
-def toxic_dictionary(pieces: list[bytes]) -> bytes:
-    """All the pieces, each once, the most common last: as large as they are, so that none has to give way to others."""
-    out = b""
-    for piece, _ in Counter(pieces).most_common():
-        if piece not in out:
-            out = piece + out
-    return out
+    A window counts once for each text. The ordinary texts are not those that the ordinary dictionary was trained on.
+    """
+    halves = [Counter(w for t in toxic_texts[i::2] for w in sorted(set(_windows(t)))) for i in (0, 1)]
+    there = Counter(w for t in ordinary_texts for w in set(_windows(t)))
+    plain = _lengths(_compressor(ordinary), halves[0].keys() | halves[1].keys() | there.keys())
+    chosen, size = halves, ORDINARY_BYTES
+    for _ in range(ROUNDS):
+        contents = [_trained(list(c.elements()), size) for c in chosen]
+        chosen, size = [], TOXIC_BYTES
+        for half, content in zip(halves, reversed(contents), strict=True):
+            length = _lengths(_compressor(ordinary + content), half.keys() | there.keys())
+            least = telling_distance([(plain[w] - length[w], n) for w, n in half.items()], [(plain[w] - length[w], n) for w, n in there.items()])
+            chosen.append(Counter({w: n for w, n in half.items() if plain[w] - length[w] >= least}))
+    return _trained(list((chosen[0] + chosen[1]).elements()), TOXIC_BYTES)
 
 
 @dataclass
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    least_saving: int
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     constant: float | None = None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        contents = (self.ordinary + TAIL, self.ordinary + self.toxic + TAIL)
-        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for c in contents]
+        return [_compressor(self.ordinary), _compressor(self.ordinary + self.toxic)]
 
     def savings(self, column: pa.Array, compressors: list, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes saved by each word of the rows, and the index of each row's first word, with the end."""
+        """Distance of each word of the rows, of a long one the largest of its windows, and the index of each row's first word, with the end."""
         buf, at = column_bytes(column)
         buf = LOWER[buf]
         starts, ends, firsts = word_spans(buf, at, NON_SPACE)
@@ -161,23 +143,24 @@ class ToxicityModel:
     def scores(self, column: pa.Array, compressors: list, cache: dict[bytes, int]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
-        x = (features(*self.savings(column, compressors, cache), self.least_saving) - self.centre) / self.scale
+        x = (features(*self.savings(column, compressors, cache)) - self.centre) / self.scale
         return _sigmoid(x @ self.weights[1:] + self.weights[0])
 
 
-def features(saved: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
-    """Per row: largest saving, log of the number of windows that save enough, their share, and half a step less's."""
+def features(saved: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Per row: the largest distance, all positive ones per root of the number of windows, and for each of DISTANCES the
+    logarithm and the root of the share of the windows that have it."""
     n = np.diff(firsts)
-    out = np.zeros((len(n), 4))
+    out = np.zeros((len(n), 2 + 2 * len(DISTANCES)))
     full = n > 0
     if full.any():
         at = firsts[:-1][full]
         out[full, 0] = np.clip(np.maximum.reduceat(saved, at), 0, 10)
-        enough = np.add.reduceat((saved >= least).astype(np.int64), at)
-        near = np.add.reduceat((saved >= least - 1).astype(np.int64), at)
-        out[full, 1] = np.log1p(enough)
-        out[full, 2] = np.sqrt(enough / n[full])
-        out[full, 3] = np.sqrt(near / n[full])
+        out[full, 1] = np.add.reduceat(np.maximum(saved, 0).astype(np.int64), at) / np.sqrt(n[full])
+        for k, least in enumerate(DISTANCES):
+            enough = np.add.reduceat((saved >= least).astype(np.int64), at)
+            out[full, 2 + 2 * k] = np.log1p(enough)
+            out[full, 3 + 2 * k] = np.sqrt(enough / n[full])
     return out
 
 
@@ -185,7 +168,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
@@ -206,32 +189,19 @@ def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
     by = {k: [t for t, y in everything if y == k] for k in (0, 1)}
     if min(map(len, by.values())) < 3:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
-        return ToxicityModel(b"", b"", 0, np.zeros(0), np.zeros(0), np.ones(0), share)
-    # Every third text calibrates, the others are trained on.
+        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), share)
+    # Every third text calibrates, the others are trained on: half of the ordinary ones for their dictionary, half to
+    # choose the windows of the other.
     learn, held = ({k: [t for i, t in enumerate(v) if (i % 3 == 2) == is_held] for k, v in by.items()} for is_held in (False, True))
-    words = [b" " + w for t in learn[0] for w in _words(t)]
-    random.Random(7).shuffle(words)
-    ordinary = _trained(words, ORDINARY_BYTES, 100)
-    del words
-    runs = run_counts(learn[1], learn[0], min(LEAST_TEXTS, max(2, len(learn[1]) // 4)))
+    ordinary = _trained([w for t in learn[0][::2] for w in sorted(set(_windows(t)))], ORDINARY_BYTES)
+    model = ToxicityModel(ordinary, toxic_dictionary(ordinary, learn[1], learn[0][1::2]), np.zeros(0), np.zeros(0), np.ones(0))
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     w = np.where(y == 1, counts[1] / len(held[1]), counts[0] / len(held[0]))
     w *= len(y) / w.sum()
-    best = None
-    for least_evidence, ratio in itertools.product(LEAST_EVIDENCE, LEAST_RATIOS):
-        pieces = toxic_pieces(learn[1], telling_runs(runs, len(learn[1]), len(learn[0]), least_evidence, ratio))
-        model = ToxicityModel(ordinary, toxic_dictionary(pieces), 0, np.zeros(0), np.zeros(0), np.ones(0))
-        compressors, cache = model.compressors(), {}
-        saved = {k: model.savings(pa.array([t.decode() for t in held[k]]), compressors, cache) for k in (0, 1)}
-        for least in range(1, 8):
-            x = np.vstack([features(*saved[k], least) for k in (0, 1)])
-            centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-            beta = logistic((x - centre) / scale, y, w)
-            p = np.clip(_sigmoid((x - centre) / scale @ beta[1:] + beta[0]), 1e-9, 1 - 1e-9)
-            loss = -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
-            if best is None or loss < best[0]:
-                best = loss, replace(model, least_saving=least, weights=beta, centre=centre, scale=scale)
-    return best[1]
+    compressors, cache = model.compressors(), {}
+    x = np.vstack([features(*model.savings(pa.array([t.decode() for t in held[k]]), compressors, cache)) for k in (0, 1)])
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    return replace(model, weights=logistic((x - centre) / scale, y, w), centre=centre, scale=scale)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score: str = "score") -> DataFrame:

@@ -213,8 +213,11 @@ def brute_toxicity(docs, labels):
         for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()):
             pieces = [b" " + w[i : i + toxicity.WINDOW] + b" " + toxicity.TAIL for i in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
             saved.append(max(len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces))
-        n, enough, near = len(saved), sum(s >= model.least_saving for s in saved), sum(s >= model.least_saving - 1 for s in saved)
-        x = [min(max(max(saved), 0), 10), math.log1p(enough), math.sqrt(enough / n), math.sqrt(near / n)] if n else [0, 0, 0, 0]
+        n = len(saved)
+        x = [min(max(max(saved), 0), 10), sum(max(s, 0) for s in saved) / math.sqrt(n)] if n else [0, 0]
+        for least in toxicity.DISTANCES:
+            enough = sum(s >= least for s in saved)
+            x += [math.log1p(enough), math.sqrt(enough / n)] if n else [0, 0]
         z = model.weights[0] + sum(b * (v - c) / s for b, v, c, s in zip(model.weights[1:], x, model.centre, model.scale, strict=True))
         out.append((r.doc_id, 1 / (1 + math.exp(-min(max(z, -30), 30)))))
     return out
