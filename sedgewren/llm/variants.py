@@ -1,9 +1,10 @@
 """Spelling variants: words one edit apart, found by bands of letter-parity masks, and the form that each may stand for.
 
 A word's mask has a bit for each letter, set if the letter occurs an odd number of times. An inserted or deleted letter
-flips one bit and a replaced one two, so of three bands of the mask one at least is equal in words one edit apart, and of
-three parts of the other two bands again one. Words meet where a band, a part of the rest and the length agree; pairs that
-meet are compared letter by letter. Everything is a DataFrame expression.
+flips one bit and a replaced one two, so of three bands of the mask one at least is equal in words one edit apart. Words
+meet where a band is equal and lengths differ by one at most. As words of few letters share their bands, such a bucket is
+split further by the half of the word that the edit leaves alone, its first or its last. Pairs that meet are compared
+letter by letter. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ BAND_BITS, BANDS = 30, 3
 
 def _lower(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(~F.rlike(text, F.lit("[A-Z]")), text).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def count_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", damage: int | None = DAMAGE, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -55,16 +56,11 @@ def _masks(word: Column) -> Column:
 
 
 def _keys(length: Column) -> Column:
-    """array<long>: for each band, and each third of the bits of the other two, a hash of both and of the length."""
-    m = [F.col("m")[k] for k in range(BANDS)]
-    thirds = [sum(1 << b for b in range(j, BAND_BITS, 3)) for j in range(3)]
-    keys = []
-    for i in range(BANDS):
-        x, y = (m[k] for k in range(BANDS) if k != i)
-        for j, bits in enumerate(thirds):
-            rest = x.bitwiseAND(F.lit(bits)).bitwiseOR(F.call_function("shiftleft", y.bitwiseAND(F.lit(bits)), F.lit(BAND_BITS)))
-            keys.append(F.xxhash64(F.lit(3 * i + j), m[i], rest, length))
-    return F.array(*keys)
+    """array<long>: for each band, and each end of the word, a hash of the band, the half at that end and the length of the
+    shorter of two words."""
+    half = F.floor(length / 2).cast("int")
+    ends = [F.left(F.col("word"), half), F.right(F.col("word"), half)]
+    return F.array(*[F.xxhash64(F.lit(len(ends) * k + j), F.col("m")[k], end, length) for k in range(BANDS) for j, end in enumerate(ends)])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
