@@ -30,11 +30,15 @@ NON_SPACE = np.ones(256, dtype=bool)
 NON_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, dealt out if it is scanned by fewer tasks than the session has cores (one file of one row group)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt out if it is scanned by fewer tasks than the session has cores (one file of one row group)."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from sedgewren.llm.sharding import histogram_shards, shard_keys
 @pytest.mark.parametrize("name", registry.ORACLES)
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     found = con.execute(registry.ORACLES[name])
     columns = [c[0] for c in found.description]
