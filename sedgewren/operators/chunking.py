@@ -1,34 +1,62 @@
-"""Splits texts at sentence ends into overlapping chunks, as one fold over the pieces of each text."""
+"""Splits texts at sentence ends into overlapping chunks, in one pass over each text."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
-from sedgewren.functions.text import TERMINATORS, trim
+from sedgewren.functions.text import SPACE, TERMINATORS
+
+#: Chunk ids are the document's id times 2^PLACE_BITS plus the chunk's place in the document.
+PLACE_BITS = 20
+PLACES = 1 << PLACE_BITS
+
+
+def document_of(chunk_id: Column) -> Column:
+    return F.shiftright(chunk_id, PLACE_BITS)
+
+
+#: What trimming removes, as characters; the class is written for Java and RE2.
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{re.sub(r'x{([0-9A-F]+)}', lambda m: f'u{m[1]}', SPACE)}]", c))
+_ENDS = re.compile(TERMINATORS)
+
 
-#: Chunk ids are the document's id times this plus the chunk's place in the document.
-PLACES = 1 << 20
+def chunks_of_text(text: str, config: RetrievalConfig = DEFAULT) -> Iterator[str]:
+    """See split_chunks. A chunk is joined when it is full, so the work follows the length of the text."""
+    now, length = [], 0
+    for piece in _ENDS.split(text):
+        if not (piece := piece.strip(_SPACE)):
+            continue
+        if length and length + len(piece) > config.chunk_size:
+            full = "".join(now)
+            yield full.strip(_SPACE)
+            kept = full[len(full) - min(config.chunk_overlap, len(full)) :]
+            now, length = [kept], len(kept)
+        now.append(piece)
+        length += len(piece)
+    yield "".join(now).strip(_SPACE)
 
 
 def split_chunks(text: Column, config: RetrievalConfig = DEFAULT) -> Column:
     """array<string>: pieces between terminators are put together without a separator until the next would exceed the
-    chunk size; the next chunk then starts with the last characters of the one before. A longer piece stays whole."""
-    pieces = F.filter(F.transform(F.split(text, TERMINATORS), trim), lambda p: p != "")
-    start = F.struct(F.lit("").alias("now"), F.expr("cast(array() as array<string>)").alias("done"))
+    chunk size; the next chunk then starts with the last characters of the one before. A longer piece stays whole; a null
+    text has no chunks."""
 
-    def step(state: Column, piece: Column) -> Column:
-        full = (state["now"] != "") & (F.length(state["now"]) + F.length(piece) > config.chunk_size)
-        return F.when(
-            full, F.struct(F.concat(F.right(state["now"], F.lit(config.chunk_overlap)), piece).alias("now"), F.concat(state["done"], F.array(trim(state["now"]))).alias("done"))
-        ).otherwise(F.struct(F.concat(state["now"], piece).alias("now"), state["done"].alias("done")))
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [c for c in chunks_of_text(t, config) if c] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    folded = F.aggregate(pieces, start, step, lambda s: F.concat(s["done"], F.array(trim(s["now"]))))
-    return F.filter(folded, lambda c: c != "")
+    return split(text)
 
 
 def chunk_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: RetrievalConfig = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
-    """chunk_id, doc_id, pos, source, more columns of docs, text. Texts without a chunk give no row."""
+    """chunk_id, doc_id, pos, source, more columns of docs, text. Texts without a chunk give no row; a text of more than
+    PLACES chunks is an error, as its ids would run into the next document's."""
     chunks = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), *more, F.posexplode(split_chunks(F.col(text_column), config)).alias("pos", "text"))
-    return chunks.select((F.col("doc_id") * PLACES + F.col("pos")).alias("chunk_id"), "doc_id", F.col("pos").cast("long").alias("pos"), "source", *more, "text")
+    place = F.when(F.col("pos") < PLACES, F.col("pos")).otherwise(F.raise_error(F.lit("a document has too many chunks for their ids")).cast("int"))
+    return chunks.select((F.col("doc_id") * PLACES + place).alias("chunk_id"), "doc_id", F.col("pos").cast("long").alias("pos"), "source", *more, "text")

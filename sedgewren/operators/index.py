@@ -2,6 +2,10 @@
 
 A snapshot is a folder of its own name, and so is each manifest: the one of the highest number counts. Nothing that a
 reader may have open is ever changed, and a crash at any point leaves the last good snapshot published.
+
+A snapshot keeps postings in blocks: the chunks of a range that have a term, with the highest term frequency and the
+smallest length among them, in order of the terms. Searching reads these two numbers of the blocks of asked terms, and the
+postings only of blocks that may hold one of the best chunks (see `lexical.Pruned`).
 """
 
 from __future__ import annotations
@@ -15,15 +19,29 @@ from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.text import terms
+from sedgewren.operators.chunking import document_of
+
+
+#: A posting block of a term covers 2^RANGE_BITS chunks.
+RANGE_BITS = 6
 
 
 @dataclass
 class Index:
-    """chunks (chunk_id, source, text, maybe vec), postings (chunk_id, term, tf), doc_len (chunk_id, dl)."""
+    """chunks (chunk_id, source, text, maybe vec), postings (chunk_id, term, tf), doc_len (chunk_id, dl).
+
+    A stored index also has blocks (term, range, n, max_tf, min_dl, postings) and the dictionary (term, df). Where chunks
+    have been removed since, `removed` has their ids' documents (doc_id), blocks still hold them, and the other tables do
+    not; n_docs and avgdl are then known.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     doc_len: DataFrame
+    blocks: DataFrame | None = None
+    dictionary: DataFrame | None = None
+    removed: DataFrame | None = None
+    totals: tuple[int, float] | None = None
 
     @property
     def doc_terms(self) -> DataFrame:
@@ -33,11 +51,15 @@ class Index:
     @property
     def term_df(self) -> DataFrame:
         """term, df: the number of chunks with the term."""
+        if self.dictionary is not None:
+            return self.dictionary
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     @property
     def stats(self) -> DataFrame:
         """One row: n_docs and avgdl, which is 0 without chunks."""
+        if self.totals is not None:
+            return self.chunks.sparkSession.createDataFrame([self.totals], "n_docs long, avgdl double")
         return self.doc_len.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
@@ -51,6 +73,45 @@ def build(chunks: DataFrame) -> Index:
     return Index(chunks, postings, with_terms.select("chunk_id", F.size("terms").cast("long").alias("dl")))
 
 
+def _write_blocks(stored: DataFrame, folder: str) -> None:
+    """Write the posting blocks and the dictionary of written chunks (chunk_id, range, dl, text)."""
+    # One exchange, by term and range: both aggregations keep it, and a common term's blocks are spread.
+    each = stored.select("chunk_id", "range", "dl", F.explode(terms(F.col("text"))).alias("term")).repartition("term", "range")
+    postings = each.groupBy("term", "range", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    held = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))  # at most a range's chunks
+    blocks = postings.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("postings"))
+    # In order of the terms, so that a reader can leave out what no asked term is in.
+    blocks.sortWithinPartitions("term", "range").write.parquet(f"{folder}/blocks")
+    dictionary = stored.sparkSession.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
+    dictionary.sortWithinPartitions("term").write.parquet(f"{folder}/dictionary")
+
+
+def write_tables(chunks: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
+    """Write the chunks, their posting blocks and their dictionary below a folder. Returns the chunks as they are read
+    back, their number and the sum of their lengths.
+
+    A range is the next 2^RANGE_BITS chunks of a task, whatever they are. Statistics come from the written chunks, so that
+    extraction and chunking run once.
+    """
+    spark = chunks.sparkSession
+    length = F.size(terms(F.col("text"))).cast("long")
+    chunks.withColumn("dl", length).withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)).write.parquet(f"{folder}/chunks")
+    stored = spark.read.parquet(f"{folder}/chunks")
+    n, total = stored.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    if n:
+        _write_blocks(stored, folder)
+    return stored, n, total
+
+
+def of_tables(chunks: DataFrame, blocks: DataFrame, dictionary: DataFrame, removed: DataFrame | None = None, totals: tuple[int, float] | None = None) -> Index:
+    """The index of stored tables, without the chunks of removed documents."""
+    postings = blocks.select("term", F.explode("postings").alias("p")).select(F.col("p.chunk_id").alias("chunk_id"), "term", F.col("p.tf").alias("tf"))
+    if removed is not None:
+        chunks = chunks.withColumn("doc_id", document_of(F.col("chunk_id"))).join(removed, "doc_id", "left_anti").drop("doc_id")
+        postings = postings.withColumn("doc_id", document_of(F.col("chunk_id"))).join(removed, "doc_id", "left_anti").drop("doc_id")
+    return Index(chunks.drop("dl", "range"), postings, chunks.select("chunk_id", "dl"), blocks, dictionary, removed, totals)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -99,15 +160,9 @@ def publish(index: Index, root: str, signature: str, embedder: str = "", config:
     version = (old["version"] if old else 0) + 1
     snapshot = f"snapshot={version}-{uuid.uuid4().hex[:12]}"
     folder = f"{root}/{snapshot}"
-    index.chunks.write.parquet(f"{folder}/chunks")
-    # Statistics come from the written chunks, so that extraction and chunking run once.
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    if n := chunks.count():
-        stored = build(chunks)
-        # In order of the terms, so that a term's postings lie together; ranges split the postings of a common one.
-        stored.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
-        stored.doc_len.write.parquet(f"{folder}/doc_len")
-        state = {"version": version, "snapshot": snapshot, "signature": signature, "embedder": embedder, "config": asdict(config), "chunks": n, "enabled": True}
+    _, n, total = write_tables(index.chunks, folder)
+    if n:
+        state = {"version": version, "snapshot": snapshot, "signature": signature, "embedder": embedder, "config": asdict(config), "chunks": n, "length": total, "enabled": True}
     else:
         fs, p = _fs(spark, folder)
         fs.delete(p, True)
@@ -128,20 +183,25 @@ def load(spark: SparkSession, root: str, disabled: bool = False) -> Index | None
     m = manifest(spark, root)
     if not m or not m["snapshot"] or not (m["enabled"] or disabled):
         return None
-    return Index(*(spark.read.parquet(f"{root}/{m['snapshot']}/{t}") for t in ("chunks", "postings", "doc_len")))
+    tables = (spark.read.parquet(f"{root}/{m['snapshot']}/{t}") for t in ("chunks", "blocks", "dictionary"))
+    return of_tables(*tables, totals=(m["chunks"], m["length"] / m["chunks"]))
 
 
-def vacuum(spark: SparkSession, root: str) -> int:
-    """Delete snapshots and manifests that the published manifest does not name, left by older versions and by crashes.
-    Not while others read or publish. Returns the number of deleted snapshots."""
-    m, names = manifest(spark, root), _manifests(spark, root)
-    if m is None:
-        return 0
-    for name in names[:-1]:
+def delete(spark: SparkSession, root: str, prefixes: tuple[str, ...], kept: set[str]) -> int:
+    """Delete all manifests but the published one, and folders of the given beginnings that are not to be kept; returns
+    how many of the latter."""
+    for name in _manifests(spark, root)[:-1]:
         fs, p = _fs(spark, f"{root}/manifests/{name}")
         fs.delete(p, False)
     fs, p = _fs(spark, root)
-    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("snapshot=") and f.getPath().getName() != m["snapshot"]]
+    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith(prefixes) and f.getPath().getName() not in kept]
     for folder in old:
         fs.delete(folder, True)
     return len(old)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete snapshots and manifests that the published manifest does not name, left by older versions and by crashes.
+    Not while others read or publish. Returns the number of deleted snapshots."""
+    m = manifest(spark, root)
+    return delete(spark, root, ("snapshot=",), {m["snapshot"]}) if m else 0

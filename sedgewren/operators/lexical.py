@@ -1,5 +1,5 @@
-"""BM25: over postings, by joins on terms, for chosen pairs or all that share a term; and over the chunks' terms, for the
-best chunks of many queries."""
+"""BM25: over postings, by joins on terms, for chosen pairs or all that share a term; over the chunks' terms, for the best
+chunks of many queries; and over the posting blocks of a stored index, for the best chunks without most of the blocks."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.text import terms
+from sedgewren.operators.chunking import document_of
 from sedgewren.operators.index import Index
 from sedgewren.operators.topk import Held
 
@@ -22,6 +24,9 @@ from sedgewren.operators.topk import Held
 #: Bytes of query terms up to which they are sent to the workers, so that other terms never reach a shuffle; queries and
 #: cells of a score matrix that a worker holds at once.
 TERM_BYTES, QUERIES_AT_ONCE, CELLS = 32 << 20, 8192, 1 << 22
+#: Asked terms up to which a scan of posting blocks is told each of them, so many in a condition that Parquet tests them one
+#: by one; ranges of chunks after which a task looks again at what its k-th best scores are.
+TERMS_TOLD, TERMS_TESTED, RANGES_AT_ONCE = 50, 10, 8
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -42,6 +47,11 @@ def _idf(n_docs: Column) -> Column:
     return F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
+def _saturated(tf: Column, dl: Column, avgdl: Column, config: RetrievalConfig) -> Column:
+    """What a term is worth in a chunk, but for its idf: more for a higher frequency and for a shorter chunk."""
+    return tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * dl / avgdl))
+
+
 def bm25_scores(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT, within: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of each query (query_id, query) and chunk that share a term; a repeated query term
     counts each time. within: query_id, chunk_id pairs to score, all others are left out before queries meet postings."""
@@ -54,7 +64,7 @@ def bm25_scores(index: Index, queries: DataFrame, config: RetrievalConfig = DEFA
     stats = index.stats  # one row
     joined = hits.join(df, "term").join(index.doc_len, "chunk_id").crossJoin(F.broadcast(stats))
     avgdl = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
-    saturated = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / avgdl))
+    saturated = _saturated(F.col("tf"), F.col("dl"), avgdl, config)
     return joined.groupBy("query_id", "chunk_id").agg(F.sum(F.col("m") * _idf(F.col("n_docs")) * saturated).alias("score"))
 
 
@@ -97,31 +107,149 @@ class _Weights:
             held.add(np.round(score, 6), ids[first : first + width])
 
 
+    def add_blocks(self, held: Held, rows: pa.Table, avgdl: float, config: RetrievalConfig) -> tuple[int, int]:
+        """Add the scores of the chunks of whole ranges where a query's best may be; returns how many pairs of a query
+        and a block there are, and how many of them were read."""
+        code = pc.index_in(rows.column("term").combine_chunks(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        range_ = rows.column("range").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        n_ranges, n = int(range_.max()) + 1, len(self.query_ids)
+        saturated = lambda tf, dl: tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * dl / avgdl))
+        most = saturated(rows.column("max_tf").to_numpy().astype(float), rows.column("min_dl").to_numpy())
+        many = np.where(code >= 0, self.starts[code + 1] - self.starts[code], 0)
+        block = np.repeat(np.arange(len(code)), many)
+        at = np.repeat(self.starts[np.maximum(code, 0)] - (np.cumsum(many) - many), many) + np.arange(len(block))
+        query, weight = self.query[at], self.weight[at]
+        place = query * n_ranges + range_[block]
+        bound = np.bincount(place, weight * most[block], n * n_ranges).reshape(n, n_ranges)
+        # Scores are rounded to six decimals, and equal ones go by chunk id.
+        read = (bound + 1e-6 >= held.least()[:, None]).ravel()[place]
+        block, query, weight = block[read], query[read], weight[read]
+        lists = rows.column("ids").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        starts = lists.offsets.to_numpy()
+        flat = lambda c: pc.list_flatten(rows.column(c)).to_numpy()
+        ids, column = np.unique(flat("ids"), return_inverse=True)
+        worth = saturated(flat("tfs").astype(float), flat("dls"))
+        held_by = (starts[1:] - starts[:-1])[block]
+        posting = np.repeat(starts[:-1][block] - starts[0] - (np.cumsum(held_by) - held_by), held_by) + np.arange(int(held_by.sum()))
+        cell = np.repeat(query * len(ids), held_by) + column[posting]
+        held.add(np.round(np.bincount(cell, np.repeat(weight, held_by) * worth[posting], n * len(ids)).reshape(n, -1), 6), ids)
+        return len(read), int(read.sum())
+
+
 def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank; equal scores, at six decimals, go by chunk id."""
     order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "chunk_id")
     return scores.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Pruned:
+    """The best chunks of queries over a stored index, exact, from posting blocks of asked terms alone.
+
+    Blocks of queries are sent to the tasks, each of which has whole ranges of chunks. The highest frequency and the smallest
+    length of a block bound what its term adds to any of its chunks, so the blocks of a query's terms in a range bound the
+    scores there. A range whose bound is under the k-th best score that the task has found for the query is left out.
+    """
+
+    def __init__(self, index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT):
+        self.index, self.config = index, config
+        sc = index.chunks.sparkSession.sparkContext
+        #: After an action on `topk`: pairs of a query and a posting block of one of its terms, and how many of them were read.
+        self.pairs, self.read = sc.accumulator(0), sc.accumulator(0)
+        self.asked = _asked(queries)
+        wanted = self.asked.select("term").distinct()
+        n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()
+        blocks, dictionary = index.blocks, index.term_df
+        if n <= TERMS_TOLD:
+            told = [r["term"] for r in wanted.sort("term").collect()]
+            among = reduce(Column.__or__, [F.col("term").isin(told[i : i + TERMS_TESTED]) for i in range(0, n, TERMS_TESTED)], F.lit(False))
+            self.blocks, self.dictionary = blocks.where(among), dictionary.where(among)
+        else:
+            only = F.broadcast(wanted) if size <= TERM_BYTES else wanted
+            self.blocks, self.dictionary = blocks.join(only, "term", "left_semi"), dictionary.join(only, "term", "left_semi")
+
+    def _ranges(self) -> DataFrame:
+        """Asked blocks by range, without removed chunks: a block's bound also holds for what is left of it."""
+        blocks = self.blocks.select("range", "term", "max_tf", "min_dl", "postings")
+        if self.index.removed is not None:
+            each = blocks.withColumn("p", F.explode("postings")).withColumn("doc_id", document_of(F.col("p.chunk_id")))
+            left = each.join(self.index.removed, "doc_id", "left_anti").repartition("range")
+            blocks = left.groupBy("range", "term", "max_tf", "min_dl").agg(F.collect_list("p").alias("postings"))
+        else:
+            blocks = blocks.repartition("range")
+        p = F.col("postings")
+        return blocks.sortWithinPartitions("range").select("range", "term", "max_tf", "min_dl", p["chunk_id"].alias("ids"), p["tf"].alias("tfs"), p["dl"].alias("dls"))
+
+    def topk(self) -> DataFrame:
+        n_docs, avgdl = self.index.stats.first()
+        spark, config = self.index.chunks.sparkSession, self.config
+        weights = self.asked.join(self.dictionary, "term").select("query_id", "term", (F.col("m") * _idf(F.lit(n_docs))).alias("weight"))
+        pairs, read, parts = self.pairs, self.read, []
+        for sent in _sent(spark, self.asked, weights):
+
+            def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                w = sent.value
+                held = Held(w.query_ids, config.top_k)
+                for some in _whole(batches, max(1, min(RANGES_AT_ONCE, CELLS // (len(w.query_ids) << 6)))):
+                    found, used = w.add_blocks(held, some, avgdl or 1.0, config)
+                    pairs.add(found)
+                    read.add(used)
+                yield from held.rows(0.0)
+
+            parts.append(self._ranges().mapInArrow(best, "query_id bigint, chunk_id bigint, score double"))
+        return _best_of(spark, parts, config.top_k)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows, in order of their ranges, by n whole ranges at a time."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        code = held.column("range").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(1, np.int64)
+        cut = [*starts[::n]]
+        # The last range may go on in the next batch.
+        if cut[-1] != starts[-1]:
+            cut.append(starts[-1])
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(cut[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _sent(spark: SparkSession, asked: DataFrame, weights: DataFrame) -> Iterator[Broadcast]:
+    """The weights of blocks of queries, each of a bounded size, at the workers."""
+    n, size = asked.agg(F.count_distinct("query_id"), F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()
+    n_blocks = max(1, -(-n // QUERIES_AT_ONCE), -(-size // TERM_BYTES))
+    for i in range(n_blocks):
+        block = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toArrow()
+        if block.num_rows:
+            yield spark.sparkContext.broadcast(_Weights.of(block))
+
+
+def _best_of(spark: SparkSession, parts: list[DataFrame], k: int) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, chunk_id bigint, score double, rank int")
+    return ranked(reduce(DataFrame.unionByName, parts), k)
+
+
 def bm25_topk(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     """query_id, chunk_id, score, rank of the best chunks of the whole corpus with a positive score.
 
-    Blocks of queries, with the weights of their terms, are sent to the chunks. A task adds up whole rows of scores and
+    A stored index gives them from its posting blocks, see Pruned. Over chunks that are not stored, blocks of queries, with the weights of their terms, are sent to the chunks. A task adds up whole rows of scores and
     passes on the k best hits of each query, so that pairs of a query and a chunk are never shuffled.
     """
+    if index.blocks is not None:
+        return Pruned(index, queries, config).topk()
     spark = index.chunks.sparkSession
     asked = _asked(queries)
     _, df = _asked_postings(index, asked)
     n_docs, avgdl = index.stats.first()
     weights = asked.join(df, "term").select("query_id", "term", (F.col("m") * _idf(F.lit(n_docs))).alias("weight"))
-    n, size = asked.agg(F.count_distinct("query_id"), F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()
-    n_blocks = max(1, -(-n // QUERIES_AT_ONCE), -(-size // TERM_BYTES))
     parts = []
-    for i in range(n_blocks):
-        block = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toArrow()
-        if not block.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast(_Weights.of(block))
+    for sent in _sent(spark, asked, weights):
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             w = sent.value
@@ -132,6 +260,4 @@ def bm25_topk(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAUL
             yield from held.rows(0.0)
 
         parts.append(index.doc_terms.mapInArrow(best, "query_id bigint, chunk_id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, chunk_id bigint, score double, rank int")
-    return ranked(reduce(DataFrame.unionByName, parts), config.top_k)
+    return _best_of(spark, parts, config.top_k)

@@ -35,6 +35,12 @@ class Held:
             new = best_of(*map(np.hstack, zip(self.found, new, strict=True)), self.k)
         self.found = new
 
+    def least(self) -> np.ndarray:
+        """Of each query what a hit must score, at least, to be among the best: nothing as long as there are fewer than k."""
+        if self.found is None or self.found[0].shape[1] < self.k:
+            return np.full(len(self.query_ids), -np.inf)
+        return self.found[0].min(axis=1)
+
     def rows(self, least: float = -np.inf) -> Iterator[pa.RecordBatch]:
         """query_id, chunk_id, score of hits that score more than least."""
         if self.found is not None:

@@ -13,7 +13,7 @@ from sedgewren.config import DEFAULT, QUERY_PREFIX, RetrievalConfig
 from sedgewren.functions import binary, text, vectors
 from sedgewren.functions.embedding import HashingEmbedder, embed_column
 from sedgewren.functions.wordpiece import encoder
-from sedgewren.operators import batching, dialogue, evaluate, hybrid, index, lexical, vector
+from sedgewren.operators import batching, dialogue, evaluate, hybrid, index, lexical, segments, vector
 from sedgewren.operators.chunking import chunk_documents
 from sedgewren.plans.literals import CJK_LITERALS
 from sedgewren.plans.scratch import scratch_folder
@@ -247,6 +247,12 @@ def greedy_batches(spark, d):
     return sizes.select("doc_id", F.posexplode(F.arrays_zip(F.col("c.n").alias("n"), batching.batch_numbers(F.col("c.n"), SMALL_BATCHES).alias("batch"))).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.n").alias("n_tokens"), F.col("x.batch").cast("long").alias("batch"))
 
 
+def library_batches(spark, d):
+    """All chunks in their order, packed for an encoder in one go."""
+    sizes = _chunks(spark, d).select("chunk_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_tokens"))
+    return batching.library_batches(sizes, f"{scratch_folder(spark)}/batches-{uuid.uuid4().hex}", config=SMALL_BATCHES)
+
+
 def latency_summary(spark, d):
     return evaluate.latency_summary(_t(spark, d, "events"), "event_type", "value")
 
@@ -349,6 +355,21 @@ def published_search(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+def incremental_search(spark, d):
+    """BM25 over an index that followed its files. Documents are files: four fifths of them at first; then of each five
+    one is added, one changed, one removed and two stay as they are."""
+    root = f"{scratch_folder(spark)}/followed-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "source", "text", F.col("n_chars").alias("length"), (F.col("doc_id") % 5).alias("part"))
+    first, then = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-06-01").cast("timestamp")
+    before = docs.where("part <> 0").withColumn("modificationTime", first)
+    revised = docs.withColumn("text", F.when(F.col("part") == 1, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    after = revised.where("part <> 2").withColumn("modificationTime", F.when(F.col("part") == 1, then).otherwise(first))
+    for files in (before, after):
+        segments.update(spark, root, files.select("path", "length", "modificationTime"), lambda fresh, files=files: files.join(fresh, "path", "left_semi").select("path", "source", "text"))
+    found = lexical.bm25_topk(segments.load(spark, root), _benchmark_queries(spark, d))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
@@ -356,8 +377,8 @@ QUERIES = {
         bm25_scores, bm25_topk, cosine_topk, relevance_gate, candidate_pool, l2_normalize, pairwise_agreement, recall_at_k_by_label,
         hybrid_retrieve, hybrid_context, grounded_prompts, retrieval_metrics, prefixed_queries, strip_xml_pages, normalize_ws, latin1_runs, utf16_runs,
         utf8_complete, ascii_lower, kb_signature, golden_eval, golden_verdict, keyword_coverage, keyword_chunks_preview, distinct_sources,
-        history_eviction, chatml_prompt, debounced_rebuilds, greedy_batches, latency_summary, docx_extract, wordpiece_encode,
+        history_eviction, chatml_prompt, debounced_rebuilds, greedy_batches, library_batches, latency_summary, docx_extract, wordpiece_encode,
         cache_roundtrip, hash_embed, hash_embed_queries, valid_vectors, agreement_verdict, index_sources, index_totals,
-        first_chunks_preview, prefill_slices, published_search,
+        first_chunks_preview, prefill_slices, published_search, incremental_search,
     )
 }

@@ -58,6 +58,13 @@ _BENCH = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _TOP = f"topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lexical) WHERE rank <= {DEFAULT.top_k} AND score > 0)"
 _SEARCH = f"WITH {_CHUNKS}, {_index('chunks')}, {_BENCH}, {_bm25('queries')}, {_TOP}"
 
+_FOLLOWED = f"""WITH
+    firsts AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM documents WHERE doc_id % 5 <> 0),
+    fresh AS (SELECT doc_id AS id, (SELECT count(*) FROM firsts) + row_number() OVER (ORDER BY doc_id) - 1 AS no FROM documents WHERE doc_id % 5 IN (0, 1)),
+    live AS (SELECT no AS doc_id, source, CASE WHEN documents.doc_id % 5 = 1 THEN text || ' revised' ELSE text END AS text FROM documents
+      JOIN (SELECT * FROM fresh UNION ALL SELECT * FROM firsts WHERE id % 5 IN (3, 4)) AS f ON documents.doc_id = f.id),
+    {_CHUNKS.replace("FROM documents", "FROM live")}, {_index('chunks')}, {_BENCH}, {_bm25('queries')}, {_TOP}"""
+
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 _VEC = f"""
     v AS (SELECT vec_id AS chunk_id, {_UNIT} AS vec, label FROM embeddings),
@@ -89,6 +96,12 @@ _EVICT = f"""WITH t AS (SELECT conv_id, turn, role, {_TURN} AS turn_text FROM co
     u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS upto_end, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM n),
     kept AS (SELECT *, role = 'system' OR upto_end + 64 <= 400 OR back = 1 AS kept FROM u)"""
 
+#: The batches of the token counts n, in order.
+_PACKED = """list_reduce(list_transform(n, lambda x: {'batch': 0, 'used': x, 'items': 0, 'out': []::INT[]}), lambda s, x:
+        CASE WHEN x.used = 0 THEN {'batch': s.batch, 'used': 0::BIGINT, 'items': 0, 'out': list_append(s.out, 0)}
+             WHEN s.items = 0 OR s.used + x.used > 256 OR s.items >= 8 THEN {'batch': s.batch + 1, 'used': x.used, 'items': 1, 'out': list_append(s.out, s.batch + 1)}
+             ELSE {'batch': s.batch, 'used': s.used + x.used, 'items': s.items + 1, 'out': list_append(s.out, s.batch)} END, {'batch': 0, 'used': 0::BIGINT, 'items': 0, 'out': []::INT[]}).out"""
+
 _LITERALS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(CJK_LITERALS))
 
 #: CRC-32 by a table made by its rule.
@@ -122,6 +135,7 @@ ORACLES = {
     "index_totals": f"WITH {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT source) AS sources, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM chunks",
     "first_chunks_preview": f"WITH {_CHUNKS} SELECT chunk_id, source, length(text)::INT AS chars, left(text, 300) AS preview FROM chunks ORDER BY chunk_id LIMIT 3",
     "published_search": f"{_SEARCH} SELECT query_id, chunk_id, score, rank FROM topk",
+    "incremental_search": f"{_FOLLOWED} SELECT query_id, chunk_id, score, rank FROM topk",
     "prefill_slices": f"""WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS i FROM t)
       SELECT doc_id, (i // 64)::BIGINT AS slice, count(*) AS n, sum(length(term))::BIGINT AS total FROM e GROUP BY ALL""",
     "agreement_verdict": f"WITH s AS (SELECT round(list_dot_product(a, list_reverse(a)) / (list_dot_product(a, a) + 1e-12), 6) > {DEFAULT.agreement} AS agrees FROM (SELECT embedding::DOUBLE[] AS a FROM embeddings)) SELECT count(*) AS n, count(*) FILTER (agrees) AS n_agree, count(*) = count(*) FILTER (agrees) AS passed FROM s",
@@ -165,12 +179,11 @@ ORACLES = {
       s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
       SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n_events FROM s GROUP BY user_id, no""",
     "greedy_batches": f"""WITH {_CHUNKS}, n AS (SELECT doc_id, pos, len({_terms("text")})::BIGINT AS n FROM chunks),
-      l AS (SELECT doc_id, list(n ORDER BY pos) AS n FROM n GROUP BY doc_id),
-      f AS (SELECT doc_id, n, list_reduce(list_transform(n, lambda x: {{'batch': 0, 'used': x, 'items': 0, 'out': []::INT[]}}), lambda s, x:
-        CASE WHEN x.used = 0 THEN {{'batch': s.batch, 'used': 0::BIGINT, 'items': 0, 'out': list_append(s.out, 0)}}
-             WHEN s.items = 0 OR s.used + x.used > 256 OR s.items >= 8 THEN {{'batch': s.batch + 1, 'used': x.used, 'items': 1, 'out': list_append(s.out, s.batch + 1)}}
-             ELSE {{'batch': s.batch, 'used': s.used + x.used, 'items': s.items + 1, 'out': list_append(s.out, s.batch)}} END, {{'batch': 0, 'used': 0::BIGINT, 'items': 0, 'out': []::INT[]}}).out AS b FROM l)
+      l AS (SELECT doc_id, list(n ORDER BY pos) AS n FROM n GROUP BY doc_id), f AS (SELECT doc_id, n, {_PACKED} AS b FROM l)
       SELECT doc_id, i - 1 AS pos, n[i] AS n_tokens, b[i]::BIGINT AS batch FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM f)""",
+    "library_batches": f"""WITH {_CHUNKS}, n AS (SELECT chunk_id, len({_terms("text")})::BIGINT AS n FROM chunks),
+      l AS (SELECT list(chunk_id ORDER BY chunk_id) AS ids, list(n ORDER BY chunk_id) AS n FROM n), f AS (SELECT ids, n, {_PACKED} AS b FROM l)
+      SELECT ids[i] AS chunk_id, n[i] AS n_tokens, b[i]::BIGINT AS batch FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM f)""",
     "latency_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5 ORDER BY value DESC) AS median, min(value) AS least, max(value) AS most FROM events GROUP BY event_type",
     "docx_extract": f"SELECT doc_id, {_strip(chr(39) + '<w:p>' + chr(39) + ' || replace(replace(text, ' + chr(39) + '&' + chr(39) + ', ' + chr(39) + '&amp;' + chr(39) + '), ' + chr(39) + '<' + chr(39) + ', ' + chr(39) + '&lt;' + chr(39) + ') || ' + chr(39) + '</w:p>' + chr(39))} AS text FROM documents",
     "cache_roundtrip": "SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",

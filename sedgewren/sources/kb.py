@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -61,12 +62,33 @@ def scan(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     if files is None:
         files = spark.createDataFrame([], _SCHEMA)
     inside = F.substring_index(F.regexp_replace("path", "^[a-z0-9+.-]+:/*(?=/)", ""), base.toUri().getPath().rstrip("/") + "/", -1)
-    files = files.withColumn("inside", inside).withColumn("source", F.regexp_extract("path", "[^/]*$", 0))
-    files = files.withColumn("ext", F.lower(F.regexp_extract("source", r"\.([^.]*)$", 1))).where(F.col("ext").isin(*FORMATS))
+    files = _named(files.withColumn("inside", inside))
     # A folder may be named like a file.
     return (files if recursive else files.where(F.size(F.split("inside", "/")) <= 2)).drop("inside")
 
 
+#: Files up to which they are named to the reader, so that no other file is opened.
+FILES_NAMED = 10_000
+
+
+def scan_of(spark: SparkSession, root: str, paths: DataFrame, recursive: bool = False) -> DataFrame:
+    """What scan gives for some of its paths. Beyond FILES_NAMED of them other files may be opened too, and are left out."""
+    named = [r["path"] for r in paths.select("path").limit(FILES_NAMED + 1).collect()]
+    if len(named) > FILES_NAMED:
+        return scan(spark, root, recursive).join(paths.select("path"), "path", "left_semi")
+    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    jvm = spark.sparkContext._jvm
+    there = [p for p in named if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    # Names may hold characters that a path pattern takes for something else.
+    files = reader.load([re.sub(r"([\\\[\]{}*?,])", r"\\\1", p) for p in there]) if there else spark.createDataFrame([], _SCHEMA)
+    return _named(files)
+
+
+def _named(files: DataFrame) -> DataFrame:
+    files = files.withColumn("source", F.regexp_extract("path", "[^/]*$", 0))
+    return files.withColumn("ext", F.lower(F.regexp_extract("source", r"\.([^.]*)$", 1))).where(F.col("ext").isin(*FORMATS))
+
+
 def read_texts(files: DataFrame) -> DataFrame:
     """path, source, text of scanned files; each format is a branch of its own, so that Python only sees its files."""
     columns = ["path", "source", "text"]

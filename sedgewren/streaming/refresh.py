@@ -1,4 +1,5 @@
-"""Index refresh: bursts of changes are one trigger, and each trigger builds and publishes a snapshot."""
+"""Index refresh: bursts of changes are one trigger, and each trigger builds and publishes a snapshot, or updates an index
+of segments."""
 
 from __future__ import annotations
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sedgewren.config import DEFAULT, RetrievalConfig
+from sedgewren.operators import segments
 from sedgewren.operators.index import build, is_current, publish
 from sedgewren.sources import kb
+from sedgewren.sources.changes import changes
+from sedgewren.streaming.timers import bursts
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -52,6 +56,31 @@ def rebuild(spark: SparkSession, root: str, index_root: str, embed: Callable[[Co
     return n
 
 
+def update_directory(spark: SparkSession, root: str, index_root: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, recursive: bool = False) -> segments.Update:
+    """Bring an index of segments to the files of a directory; only new and changed ones are read."""
+    listing = kb.scan(spark, root, recursive).select("path", "length", "modificationTime")
+    return segments.update(spark, index_root, listing, lambda fresh: kb.read_texts(kb.scan_of(spark, root, fresh, recursive)), embed, embedder, config)
+
+
+def follow(spark: SparkSession, root: str, index_root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, recursive: bool = False, on_update: Callable[[segments.Update], None] | None = None, interval: str = "0 seconds") -> StreamingQuery:
+    """Keep an index of segments up with a directory: files that are added, changed or removed are one burst until nothing
+    has changed for the debounce time, and each burst is one update.
+
+    A micro-batch is single-flight: what happens during an update is in a later one. Timers and listings are in the
+    checkpoint, so a query that is started again from it goes on where it was. The first start brings all files.
+    """
+    over = bursts(spark, changes(spark, root, recursive), "directory", config.debounce_ms)
+
+    def on_burst(batch: DataFrame, _: int) -> None:
+        # All of the batch is taken, a row at most: state of parts that nobody asks for would not be committed.
+        if batch.collect():
+            done = update_directory(batch.sparkSession, root, index_root, embed, embedder, config, recursive)
+            if on_update:
+                on_update(done)
+
+    return over.writeStream.foreachBatch(on_burst).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def settled(spark: SparkSession, root: str, config: RetrievalConfig = DEFAULT, most_waits: int = 100) -> bool:
     """Wait until the directory has not changed for the debounce time, so that a burst of writes is one rebuild; False
     if it still changes after most_waits waits."""
@@ -66,12 +95,14 @@ def settled(spark: SparkSession, root: str, config: RetrievalConfig = DEFAULT, m
 
 
 def refresh(spark: SparkSession, root: str, index_root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, on_step: Callable[[int, int], None] | None = None, **trigger) -> StreamingQuery:
-    """Rebuild whenever files arrive and the directory has settled. A micro-batch is single-flight: what arrives
+    """Rebuild whenever files arrive and the directory has settled; an error if it never does. `follow` also sees edits and
+    removals, and does not wait. A micro-batch is single-flight: what arrives
     meanwhile is in the next one, and an index of the same files is not built again."""
 
     def on_change(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            settled(batch.sparkSession, root, config)
+            if not settled(batch.sparkSession, root, config):
+                raise TimeoutError(f"{root} does not come to rest")
             rebuild(batch.sparkSession, root, index_root, embed, embedder, config, on_step)
 
     return watch(spark, root).select("path").writeStream.foreachBatch(on_change).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

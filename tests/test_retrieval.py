@@ -198,7 +198,7 @@ def test_crashes_while_publishing(spark, tmp_path, monkeypatch):
     def crash(*_):
         raise RuntimeError
 
-    for step in ("build", "_point_to"):
+    for step in ("_write_blocks", "_point_to"):
         monkeypatch.setattr(index, step, crash)
         with pytest.raises(RuntimeError):
             index.publish(unbuilt(spark), root, "b")
