@@ -9,31 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that are learnt from whole; of a longer one WINDOWS windows, spread evenly from its start to
-#: its end, are together as long. Scoring always takes whole texts.
-MOST_CHARACTERS, WINDOWS = 1 << 16, 16
-
-
 def fold(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; of a null id, -1."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(folds)).cast("int"), F.lit(-1))
 
 
-def _learnt(text: Column) -> Column:
-    """The text, or windows from all of a long one."""
-    width = MOST_CHARACTERS // WINDOWS
-    step = (F.length(text) - width) / (WINDOWS - 1)
-    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(width)))
-    return F.when(F.length(text) <= MOST_CHARACTERS, text).otherwise(F.array_join(windows, "\n"))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], skip_fold: int, folds: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """text, label of at most per_class[label] labelled documents of each label, and the number of all of them by label.
 
     Rows of the skipped fold, null ids and null texts are left out. Documents are drawn by the smallest hashes of their
     ids, so they are the same on every run; of an id with several texts the one with the smallest hash is drawn. An id
-    with several labels has the largest; one without, or with another label, has none. Texts of any length take part,
-    see MOST_CHARACTERS. No rows give no rows.
+    with several labels has the largest; one without, or with another label, has none. Texts of any length take part
+    whole. No rows give no rows.
     """
     known = labels.where(fold(id_column, folds) != skip_fold).where(F.col(label).isin(*per_class)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
@@ -46,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
         drawn = some if drawn is None else drawn.unionByName(some)
     # At most sum(per_class) rows of three numbers are sent.
     texts = rows.join(F.broadcast(drawn), ["id", "hash"]).dropDuplicates(["id"])
-    return texts.select("id", _learnt(F.col("text")).alias("text"), "label"), counts
+    return texts.select("id", "text", "label"), counts
 
 
 def fitted(sample: DataFrame, counts: dict[int, int], train: Callable[[pa.Table, dict[int, int]], object]):

@@ -9,7 +9,8 @@ other half, so that none is taken because it is in the dictionary itself.
 Windows are the words of a text, longer ones cut into overlapping pieces, so that they cover the whole text and equal
 windows are compressed once. Each is followed by a fixed tail that both dictionaries hold, because zstandard stores
 the last bytes of a block as they are. What the distances of a text's windows say about the text is calibrated on
-labelled texts that neither dictionary was trained on.
+labelled texts that neither dictionary was trained on. All this is done PARTS times, each time with another part of the
+texts to calibrate on, and scores are averaged; parts are dealt by hashes of texts, so the order of rows does not matter.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,12 @@ WINDOW, STEP, LEVEL = 48, 32, 9
 TAIL = bytes(range(1, 25))
 #: Bytes of the dictionaries; length of the segments that training chooses and of the pieces it counts them by.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, PIECE = 100_000, 1_500, 24, 6
+#: Classifiers whose scores are averaged, each calibrated on another part of the texts and trained on the others.
+PARTS = 3
 #: Rounds of choosing the windows that the toxic dictionary is trained on; distances that calibration looks at.
 ROUNDS, DISTANCES = 3, (2, 3, 4, 5, 6)
-#: Windows kept in a worker's memory with their savings.
-_CACHE = 400_000
+#: Windows kept in a worker's memory with their savings, for each classifier.
+_CACHE = 200_000
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
 
@@ -104,13 +108,14 @@ def toxic_dictionary(ordinary: bytes, toxic_texts: list[bytes], ordinary_texts:
 
 
 @dataclass
-class ToxicityModel:
+class Classifier:
+    """Two dictionaries, and what the distances of a text's windows say about it."""
+
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
-    constant: float | None = None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         return [_compressor(self.ordinary), _compressor(self.ordinary + self.toxic)]
@@ -141,12 +146,22 @@ class ToxicityModel:
         return saved[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int16), firsts
 
     def scores(self, column: pa.Array, compressors: list, cache: dict[bytes, int]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(column), self.constant)
         x = (features(*self.savings(column, compressors, cache)) - self.centre) / self.scale
         return _sigmoid(x @ self.weights[1:] + self.weights[0])
 
 
+@dataclass
+class ToxicityModel:
+    """The mean of some classifiers' scores, or the same score for all texts."""
+
+    classifiers: list[Classifier]
+    constant: float = 0.0
+
+    def scorer(self) -> Callable[[pa.Array], np.ndarray]:
+        tools = [(c, c.compressors(), {}) for c in self.classifiers]
+        return lambda column: np.mean([c.scores(column, made, cache) for c, made, cache in tools], axis=0) if tools else np.full(len(column), self.constant)
+
+
 def features(saved: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Per row: the largest distance, all positive ones per root of the number of windows, and for each of DISTANCES the
     logarithm and the root of the share of the windows that have it."""
@@ -183,25 +198,35 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) ->
     return beta
 
 
-def train(texts: pa.Table, counts: dict[int, int]) -> ToxicityModel:
-    """From text and label (1: toxic) of a sample; counts: of all labelled rows, by label."""
-    everything = [(t.encode().lower(), y) for t, y in zip(texts.column("text").to_pylist(), texts.column("label").to_pylist(), strict=True) if t]
-    by = {k: [t for t, y in everything if y == k] for k in (0, 1)}
-    if min(map(len, by.values())) < 3:
-        share = counts.get(1, 0) / max(1, sum(counts.values()))
-        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), share)
-    # Every third text calibrates, the others are trained on: half of the ordinary ones for their dictionary, half to
-    # choose the windows of the other.
-    learn, held = ({k: [t for i, t in enumerate(v) if (i % 3 == 2) == is_held] for k, v in by.items()} for is_held in (False, True))
+def _dealt(texts: list[bytes], salt: int) -> list[bytes]:
+    """In an order of their own, which does not depend on the order of the rows."""
+    return sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t, salt), t))
+
+
+def _classifier(learn: dict[int, list[bytes]], held: dict[int, list[bytes]], counts: dict[int, int]) -> Classifier:
+    """Half of the ordinary texts to learn from are for their dictionary, half to choose the windows of the other."""
     ordinary = _trained([w for t in learn[0][::2] for w in sorted(set(_windows(t)))], ORDINARY_BYTES)
-    model = ToxicityModel(ordinary, toxic_dictionary(ordinary, learn[1], learn[0][1::2]), np.zeros(0), np.zeros(0), np.ones(0))
+    found = Classifier(ordinary, toxic_dictionary(ordinary, learn[1], learn[0][1::2]), np.zeros(0), np.zeros(0), np.ones(0))
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     w = np.where(y == 1, counts[1] / len(held[1]), counts[0] / len(held[0]))
     w *= len(y) / w.sum()
-    compressors, cache = model.compressors(), {}
-    x = np.vstack([features(*model.savings(pa.array([t.decode() for t in held[k]]), compressors, cache)) for k in (0, 1)])
+    compressors, cache = found.compressors(), {}
+    x = np.vstack([features(*found.savings(pa.array([t.decode() for t in held[k]]), compressors, cache)) for k in (0, 1)])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return replace(model, weights=logistic((x - centre) / scale, y, w), centre=centre, scale=scale)
+    return replace(found, weights=logistic((x - centre) / scale, y, w), centre=centre, scale=scale)
+
+
+def train(texts: pa.Table, counts: dict[int, int], parts: int = PARTS, salt: int = 0) -> ToxicityModel:
+    """From text and label (1: toxic) of a sample; counts: of all labelled rows, by label.
+
+    Texts are dealt into parts by their hashes, so that the order of the rows does not matter; salt deals them otherwise.
+    """
+    everything = [(t.encode().lower(), y) for t, y in zip(texts.column("text").to_pylist(), texts.column("label").to_pylist(), strict=True) if t]
+    by = {k: sorted((t for t, y in everything if y == k), key=lambda t: (xxhash.xxh64_intdigest(t, salt), t)) for k in (0, 1)}
+    if min(map(len, by.values())) < parts:
+        return ToxicityModel([], counts.get(1, 0) / max(1, sum(counts.values())))
+    split = lambda k, there: {y: [t for i, t in enumerate(v) if (i % parts == k) == there] for y, v in by.items()}
+    return ToxicityModel([_classifier(split(k, False), split(k, True), counts) for k in range(parts)])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score: str = "score") -> DataFrame:
@@ -210,17 +235,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "te
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        compressors, cache = (m.compressors() if m.constant is None else []), {}
+        scores = sent.value.scorer()
         for block in blocks(batches, text_column, 16 << 20):
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(m.scores(block.column(text_column), compressors, cache))], names=[*names, score])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(scores(block.column(text_column)))], names=[*names, score])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{score}` double")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = 2500, ordinary_rows: int = 5000, skip_fold: int = 2, folds: int = 4) -> ToxicityModel:
     """Trained, in one task, on at most toxic_rows and ordinary_rows labelled documents outside the skipped fold, see
-    `labelled_sample`. With fewer than three texts of either kind every text scores the share of toxic labels.
+    `labelled_sample`. With fewer texts of either kind than PARTS every text scores the share of toxic labels.
     """
     return fitted(*labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, skip_fold, folds, id_column, text_column), train)
 

@@ -83,10 +83,21 @@ def test_words_of_few_toxic_texts_are_learnt():
     r.shuffle(rows)
     model = toxicity.train(pa.table({"text": [t for t, _ in rows], "label": [y for _, y in rows]}), {0: 3000, 1: 1500})
     for lang, toxic in [("a", True), ("b", True), ("a", False), ("b", False)]:
-        p = model.scores(pa.array([text(lang, toxic) for _ in range(100)]), model.compressors(), {})
+        p = model.scorer()(pa.array([text(lang, toxic) for _ in range(100)]))
         assert np.mean((p >= 0.3) == toxic) > 0.95, (lang, toxic)
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows():
+    r = random.Random(2)
+    plain = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(200)]
+    rows = [(" ".join([r.choice(plain) for _ in range(30)] + [r.choice(["vilificus", "putridello"])] * (i % 2)), i % 2) for i in range(300)]
+    asked, seen = pa.array([t for t, _ in rows[:50]]), []
+    for _ in range(7):
+        r.shuffle(rows)
+        seen.append(toxicity.train(pa.table({"text": [t for t, _ in rows], "label": [y for _, y in rows]}), {0: 150, 1: 150}).scorer()(asked))
+    assert all((x == seen[0]).all() for x in seen)
+
+
 def test_sample_is_bounded_and_stable(odd, labels):
     a, counts = labelled_sample(odd, labels, "quality", {0: 5, 1: 9}, 2, 4)
     b, _ = labelled_sample(odd.repartition(5), labels, "quality", {0: 5, 1: 9}, 2, 4)
@@ -104,10 +115,7 @@ def test_sample_of_long_texts_and_repeated_ids(spark):
     draw = lambda d: {r.id: r.text for r in labelled_sample(d, labels, "toxic", {1: 9}, -2, 4)[0].collect()}
     got = draw(docs)
     assert set(got) == {1, 2} and draw(docs.repartition(4)) == draw(docs.orderBy(F.col("text").desc())) == got
-    pieces = got[1].split("\n")
-    assert len(pieces) == 16 and long.startswith(pieces[0]) and long.endswith(pieces[-1]) and all(p in long for p in pieces)
-    starts = [long.index(p) for p in pieces]
-    assert max(b - a for a, b in zip(starts, starts[1:], strict=False)) < len(long) / 14
+    assert got[1] == long
 
 
 def test_mark_in_long_labelled_texts_is_learnt(spark):
@@ -206,20 +214,22 @@ def brute_toxicity(docs, labels):
     def compressor(content):
         return zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    ordinary, toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
     out = []
     for r in docs.select("doc_id", "text").collect():
-        saved = []
-        for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()):
-            pieces = [b" " + w[i : i + toxicity.WINDOW] + b" " + toxicity.TAIL for i in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
-            saved.append(max(len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces))
-        n = len(saved)
-        x = [min(max(max(saved), 0), 10), sum(max(s, 0) for s in saved) / math.sqrt(n)] if n else [0, 0]
-        for least in toxicity.DISTANCES:
-            enough = sum(s >= least for s in saved)
-            x += [math.log1p(enough), math.sqrt(enough / n)] if n else [0, 0]
-        z = model.weights[0] + sum(b * (v - c) / s for b, v, c, s in zip(model.weights[1:], x, model.centre, model.scale, strict=True))
-        out.append((r.doc_id, 1 / (1 + math.exp(-min(max(z, -30), 30)))))
+        scores = []
+        for c in model.classifiers:
+            ordinary, toxic, saved = compressor(c.ordinary), compressor(c.ordinary + c.toxic), []
+            for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()):
+                pieces = [b" " + w[i : i + toxicity.WINDOW] + b" " + toxicity.TAIL for i in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+                saved.append(max(len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces))
+            n = len(saved)
+            x = [min(max(max(saved), 0), 10), sum(max(s, 0) for s in saved) / math.sqrt(n)] if n else [0, 0]
+            for least in toxicity.DISTANCES:
+                enough = sum(s >= least for s in saved)
+                x += [math.log1p(enough), math.sqrt(enough / n)] if n else [0, 0]
+            z = c.weights[0] + sum(b * (v - m) / s for b, v, m, s in zip(c.weights[1:], x, c.centre, c.scale, strict=True))
+            scores.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+        out.append((r.doc_id, sum(scores) / len(scores)))
     return out
 
 
