@@ -36,16 +36,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
     return texts.select("id", "text", "label"), counts
 
 
-def fitted(sample: DataFrame, counts: dict[int, int], train: Callable[[pa.Table, dict[int, int]], object]):
-    """train(text and label of the sample in a fixed order, counts), run in one task: the sample never reaches the
-    driver, which gets the model only. A task that is lost runs again and gives the same."""
+def fitted_parts(sample: DataFrame, counts: dict[int, int], train: Callable[[pa.Table, dict[int, int], int], object], parts: int) -> list:
+    """train(text and label of the sample in a fixed order, counts, part) for each part, each in a task of its own that has
+    the whole sample: it never reaches the driver, which gets the models only. A task that is lost runs again and gives
+    the same."""
     schema = pa.schema([("text", pa.string()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b.select(["text", "label"]).cast(schema) for b in batches], schema)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table, counts))], pa.binary())], names=["model"])
+        held = list(batches)
+        if part := [b.column("part")[0].as_py() for b in held if b.num_rows][:1]:
+            table = pa.Table.from_batches([b.select(["text", "label"]).cast(schema) for b in held], schema)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pickle.dumps(train(table, counts, part[0]))], pa.binary())], names=["part", "model"])
+
+    # Few tasks on purpose: the sample is bounded.
+    each = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartitionById(parts, "part").sortWithinPartitions(F.xxhash64("id"), "id")
+    found = {r["part"]: r["model"] for r in each.select("text", "label", "part").mapInArrow(run, "part int, model binary").collect()}
+    return [pickle.loads(found[k]) if found else train(schema.empty_table(), counts, k) for k in range(parts)]
 
-    # One task on purpose: the sample is bounded.
-    together = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "label")
-    found = together.mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else train(schema.empty_table(), counts)
+
+def fitted(sample: DataFrame, counts: dict[int, int], train: Callable[[pa.Table, dict[int, int]], object]):
+    """train(text and label of the sample in a fixed order, counts), run in one task, see `fitted_parts`."""
+    return fitted_parts(sample, counts, lambda table, counts, _: train(table, counts), 1)[0]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import LOWER, NON_SPACE, blocks, column_bytes, word_spans
-from sedgewren.llm.labelled import fitted, fold, labelled_sample
+from sedgewren.llm.labelled import fitted_parts, fold, labelled_sample
 
 #: Bytes of a window and of the step between windows of a longer word; level of compression.
 WINDOW, STEP, LEVEL = 48, 32, 9
@@ -216,17 +216,27 @@ def _classifier(learn: dict[int, list[bytes]], held: dict[int, list[bytes]], cou
     return replace(found, weights=logistic((x - centre) / scale, y, w), centre=centre, scale=scale)
 
 
-def train(texts: pa.Table, counts: dict[int, int], parts: int = PARTS, salt: int = 0) -> ToxicityModel:
-    """From text and label (1: toxic) of a sample; counts: of all labelled rows, by label.
+def train_part(texts: pa.Table, counts: dict[int, int], part: int, parts: int = PARTS, salt: int = 0) -> Classifier | None:
+    """From text and label (1: toxic) of a sample, the classifier that is calibrated on one part of it; None if there are
+    fewer texts of either kind than parts. counts: of all labelled rows, by label.
 
     Texts are dealt into parts by their hashes, so that the order of the rows does not matter; salt deals them otherwise.
     """
     everything = [(t.encode().lower(), y) for t, y in zip(texts.column("text").to_pylist(), texts.column("label").to_pylist(), strict=True) if t]
     by = {k: sorted((t for t, y in everything if y == k), key=lambda t: (xxhash.xxh64_intdigest(t, salt), t)) for k in (0, 1)}
     if min(map(len, by.values())) < parts:
-        return ToxicityModel([], counts.get(1, 0) / max(1, sum(counts.values())))
-    split = lambda k, there: {y: [t for i, t in enumerate(v) if (i % parts == k) == there] for y, v in by.items()}
-    return ToxicityModel([_classifier(split(k, False), split(k, True), counts) for k in range(parts)])
+        return None
+    learn, held = ({y: [t for i, t in enumerate(v) if (i % parts == part) == there] for y, v in by.items()} for there in (False, True))
+    return _classifier(learn, held, counts)
+
+
+def _model(classifiers: list[Classifier | None], counts: dict[int, int]) -> ToxicityModel:
+    return ToxicityModel([c for c in classifiers if c], counts.get(1, 0) / max(1, sum(counts.values())))
+
+
+def train(texts: pa.Table, counts: dict[int, int], parts: int = PARTS, salt: int = 0) -> ToxicityModel:
+    """All parts, one after the other."""
+    return _model([train_part(texts, counts, k, parts, salt) for k in range(parts)], counts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score: str = "score") -> DataFrame:
@@ -243,10 +253,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "te
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = 2500, ordinary_rows: int = 5000, skip_fold: int = 2, folds: int = 4) -> ToxicityModel:
-    """Trained, in one task, on at most toxic_rows and ordinary_rows labelled documents outside the skipped fold, see
+    """Trained, a classifier in each task, on at most toxic_rows and ordinary_rows labelled documents outside the skipped fold, see
     `labelled_sample`. With fewer texts of either kind than PARTS every text scores the share of toxic labels.
     """
-    return fitted(*labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, skip_fold, folds, id_column, text_column), train)
+    sample, counts = labelled_sample(docs, labels, "toxic", {1: toxic_rows, 0: ordinary_rows}, skip_fold, folds, id_column, text_column)
+    return _model(fitted_parts(sample, counts, train_part, PARTS), counts)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
