@@ -41,8 +41,8 @@ ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, PIECE = 100_000, 1_500, 24, 6
 PARTS = 3
 #: Rounds of choosing the windows that the toxic dictionary is trained on; distances that calibration looks at.
 ROUNDS, DISTANCES = 3, (2, 3, 4, 5, 6)
-#: Windows kept in a worker's memory with their savings, for each classifier.
-_CACHE = 200_000
+#: Words kept in a worker's memory with their distances.
+_CACHE = 400_000
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
 
@@ -120,36 +120,36 @@ class Classifier:
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         return [_compressor(self.ordinary), _compressor(self.ordinary + self.toxic)]
 
-    def savings(self, column: pa.Array, compressors: list, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Distance of each word of the rows, of a long one the largest of its windows, and the index of each row's first word, with the end."""
-        buf, at = column_bytes(column)
-        buf = LOWER[buf]
-        starts, ends, firsts = word_spans(buf, at, NON_SPACE)
-        offsets = np.zeros(len(starts) + 1, np.int32)
-        np.cumsum(ends - starts, out=offsets[1:])
-        data = np.ascontiguousarray(buf[NON_SPACE[buf]]) if len(buf) else buf
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ordinary, toxic = (c.compress for c in compressors)
-        saved = np.empty(len(coded.dictionary), np.int16)
-        if len(cache) > _CACHE:
-            cache.clear()
-        for k, w in enumerate(coded.dictionary.to_pylist()):
-            got = cache.get(w)
-            if got is None:
-                got = -99
-                for i in range(0, max(1, len(w) - WINDOW + STEP), STEP):
-                    x = b" " + w[i : i + WINDOW] + b" " + TAIL
-                    got = max(got, len(ordinary(x)) - len(toxic(x)))
-                if len(w) <= WINDOW:
-                    cache[w] = got
-            saved[k] = got
-        return saved[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int16), firsts
-
-    def scores(self, column: pa.Array, compressors: list, cache: dict[bytes, int]) -> np.ndarray:
-        x = (features(*self.savings(column, compressors, cache)) - self.centre) / self.scale
+    def scores(self, saved: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        x = (features(saved, firsts) - self.centre) / self.scale
         return _sigmoid(x @ self.weights[1:] + self.weights[0])
 
 
+def distances(column: pa.Array, compressors: list[list[zstandard.ZstdCompressor]], cache: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of each word of the rows, of a long one the largest of its windows, a row for each pair of compressors, and
+    the index of each row's first word, with the end."""
+    buf, at = column_bytes(column)
+    buf = LOWER[buf]
+    starts, ends, firsts = word_spans(buf, at, NON_SPACE)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    data = np.ascontiguousarray(buf[NON_SPACE[buf]]) if len(buf) else buf
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    pairs = [(ordinary.compress, toxic.compress) for ordinary, toxic in compressors]
+    saved = np.empty((len(coded.dictionary), len(pairs)), np.int16)
+    if len(cache) > _CACHE:
+        cache.clear()
+    for k, w in enumerate(coded.dictionary.to_pylist()):
+        got = cache.get(w)
+        if got is None:
+            windows = [b" " + w[i : i + WINDOW] + b" " + TAIL for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
+            got = [max(len(ordinary(x)) - len(toxic(x)) for x in windows) for ordinary, toxic in pairs]
+            if len(w) <= WINDOW:
+                cache[w] = got
+        saved[k] = got
+    return saved[coded.indices.to_numpy(zero_copy_only=False)].T if len(coded) else np.empty((len(pairs), 0), np.int16), firsts
+
+
 @dataclass
 class ToxicityModel:
     """The mean of some classifiers' scores, or the same score for all texts."""
@@ -158,8 +158,15 @@ class ToxicityModel:
     constant: float = 0.0
 
     def scorer(self) -> Callable[[pa.Array], np.ndarray]:
-        tools = [(c, c.compressors(), {}) for c in self.classifiers]
-        return lambda column: np.mean([c.scores(column, made, cache) for c, made, cache in tools], axis=0) if tools else np.full(len(column), self.constant)
+        compressors, cache = [c.compressors() for c in self.classifiers], {}
+
+        def scores(column: pa.Array) -> np.ndarray:
+            if not self.classifiers:
+                return np.full(len(column), self.constant)
+            saved, firsts = distances(column, compressors, cache)
+            return np.mean([c.scores(np.ascontiguousarray(s), firsts) for c, s in zip(self.classifiers, saved, strict=True)], axis=0)
+
+        return scores
 
 
 def features(saved: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -210,8 +217,11 @@ def _classifier(learn: dict[int, list[bytes]], held: dict[int, list[bytes]], cou
     y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
     w = np.where(y == 1, counts[1] / len(held[1]), counts[0] / len(held[0]))
     w *= len(y) / w.sum()
-    compressors, cache = found.compressors(), {}
-    x = np.vstack([features(*found.savings(pa.array([t.decode() for t in held[k]]), compressors, cache)) for k in (0, 1)])
+    compressors, cache, x = [found.compressors()], {}, []
+    for k in (0, 1):
+        (saved,), firsts = distances(pa.array([t.decode() for t in held[k]]), compressors, cache)
+        x.append(features(np.ascontiguousarray(saved), firsts))
+    x = np.vstack(x)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     return replace(found, weights=logistic((x - centre) / scale, y, w), centre=centre, scale=scale)
 
