@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -130,6 +130,11 @@ def encode_times(make: Callable[[], Embedder], texts: list[str], rounds: int = 1
     }
 
 
+def thread_sweep(make: Callable[[int], Embedder], texts: list[str], threads: Sequence[int] = (1, 2, 4, 8), rounds: int = 10) -> dict[int, dict[str, float]]:
+    """encode_times of the encoder that make gives for each number of threads."""
+    return {n: encode_times(lambda n=n: make(n), texts, rounds) for n in threads}
+
+
 #: Of `latency_summary`: one in so many ranks is how far an estimated percentile may be off.
 _ACCURACY = 10_000
 

@@ -20,6 +20,7 @@ from sedgewren.functions.text import terms
 from sedgewren.operators.chunking import chunk_documents, document_of
 from sedgewren.operators.index import Index, _point_to, delete, manifest, of_tables, write_tables
 from sedgewren.operators.ordering import in_order
+from sedgewren.streaming.progress import FileProgress
 
 _KEY = ["path", "length", "modificationTime"]
 
@@ -57,11 +58,12 @@ def live_files(spark: SparkSession, root: str) -> DataFrame | None:
     return _without(_read(spark, root, m["segments"], "files"), removed)
 
 
-def update(spark: SparkSession, root: str, listing: DataFrame, read: Callable[[DataFrame], DataFrame], embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT) -> Update:
+def update(spark: SparkSession, root: str, listing: DataFrame, read: Callable[[DataFrame], DataFrame], embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, on_file: Callable[[int, int], None] | None = None) -> Update:
     """Bring the index to the files of listing (path, length, modificationTime; each path once).
 
     read gives path, source, text of the files it is given (path, doc_id), which are only those that are new or have
-    another length or time than before. Chunks that embed gives no vector are left out. Files of an index made with another
+    another length or time than before; on_file(done, total) is told how many of them are done, those that cannot be read
+    included (see `silent_files`). Chunks that embed gives no vector are left out. Files of an index made with another
     embedder or other settings are all read again. An empty listing disables retrieval and changes nothing else. Two
     updates at a time are the caller's to avoid; a crash leaves the index as it was.
     """
@@ -100,11 +102,14 @@ def update(spark: SparkSession, root: str, listing: DataFrame, read: Callable[[D
         n, length = lost.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         state |= {"removed": [*base["removed"], gone], "chunks": state["chunks"] - n, "length": state["length"] - length}
     if n_read:
-        texts = read(files.select("path", "doc_id")).join(files.select("path", "doc_id"), "path")
-        chunks = chunk_documents(texts, config=config, more=("path",)).select("chunk_id", "path", "source", "text")
-        if embed is not None:
-            chunks = chunks.withColumn("vec", embed(F.col("text"))).where(F.col("vec").isNotNull())
-        _, n, length = write_tables(chunks, f"{root}/{segment}")
+        with FileProgress(spark, n_read, on_file or (lambda done, total: None)) as progress:
+            # Files without a text are counted too.
+            texts = files.select("path", "doc_id").join(read(files.select("path", "doc_id")), "path", "left")
+            texts = progress.counted(texts) if on_file else texts
+            chunks = chunk_documents(texts, config=config, more=("path",)).select("chunk_id", "path", "source", "text")
+            if embed is not None:
+                chunks = chunks.withColumn("vec", embed(F.col("text"))).where(F.col("vec").isNotNull())
+            _, n, length = write_tables(chunks, f"{root}/{segment}")
         if not n:
             # Files without a chunk are kept in mind, so that they are not read again.
             _no_blocks(spark, f"{root}/{segment}")
@@ -133,6 +138,15 @@ def load(spark: SparkSession, root: str, disabled: bool = False) -> Index | None
     return of_tables(chunks, blocks, dictionary, removed, (m["chunks"], m["length"] / max(1, m["chunks"])))
 
 
+def silent_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """path of the files of the index that gave no chunk: empty ones, and those that could not be read."""
+    files = live_files(spark, root)
+    if files is None:
+        return None
+    there = _read(spark, root, _state(spark, root)["segments"], "chunks").select(document_of(F.col("chunk_id")).alias("doc_id"))
+    return files.join(there, "doc_id", "left_anti").select("path")
+
+
 def compact(spark: SparkSession, root: str) -> int:
     """Make one segment of all that is left, without reading a file. Numbers of files stay. Returns the number of chunks."""
     m = _state(spark, root)

@@ -103,6 +103,14 @@ def cosine_topk(spark, d):
     return vector.cosine_topk(chunks, queries, SEARCH_K).withColumn("rank", F.col("rank").cast("long"))
 
 
+def pivoted_topk(spark, d):
+    """cosine_topk from a stored table."""
+    chunks, queries = _vectors(spark, d)
+    folder = f"{scratch_folder(spark)}/pivoted-{uuid.uuid4().hex}"
+    vector.write_pivoted(chunks, folder)
+    return vector.Pivoted(spark, folder).topk(queries, SEARCH_K).withColumn("rank", F.col("rank").cast("long"))
+
+
 def relevance_gate(spark, d):
     chunks, queries = _vectors(spark, d)
     others = RetrievalConfig(threshold=0.999)
@@ -299,6 +307,16 @@ def cache_roundtrip(spark, d):
     return e.mapInPandas(there_and_back, "vec_id long, embedding array<float>").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def cache_file(spark, d):
+    """All chunks that have a vector through one cache file: what it holds, in order, and how long its vectors are."""
+    path = f"{scratch_folder(spark)}/cache-{uuid.uuid4().hex}"
+    chunks = _chunks(spark, d).select("chunk_id", "source", "text", _hash_embed("text").alias("vec"))
+    cachefmt.write(chunks, f"{path}.bin", EMBED_WIDTH, "all", f"{path}-parts")
+    found = cachefmt.read(spark, f"{path}.bin", EMBED_WIDTH, "all")
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return found.select("chunk_id", "source", "text", F.size(F.filter("vec", lambda x: x != 0)).cast("long").alias("n_parts"), F.round(square, 3).alias("square"))
+
+
 def _hash_embed(column: str):
     return embed_column(lambda: HashingEmbedder(EMBED_WIDTH))(F.col(column))
 
@@ -374,11 +392,11 @@ QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         chunk_documents_, chunk_stats_by_source, tokenize_terms, tokenize_cjk_literals, term_frequency, document_frequency, corpus_stats,
-        bm25_scores, bm25_topk, cosine_topk, relevance_gate, candidate_pool, l2_normalize, pairwise_agreement, recall_at_k_by_label,
+        bm25_scores, bm25_topk, cosine_topk, pivoted_topk, relevance_gate, candidate_pool, l2_normalize, pairwise_agreement, recall_at_k_by_label,
         hybrid_retrieve, hybrid_context, grounded_prompts, retrieval_metrics, prefixed_queries, strip_xml_pages, normalize_ws, latin1_runs, utf16_runs,
         utf8_complete, ascii_lower, kb_signature, golden_eval, golden_verdict, keyword_coverage, keyword_chunks_preview, distinct_sources,
         history_eviction, chatml_prompt, debounced_rebuilds, greedy_batches, library_batches, latency_summary, docx_extract, wordpiece_encode,
-        cache_roundtrip, hash_embed, hash_embed_queries, valid_vectors, agreement_verdict, index_sources, index_totals,
+        cache_roundtrip, cache_file, hash_embed, hash_embed_queries, valid_vectors, agreement_verdict, index_sources, index_totals,
         first_chunks_preview, prefill_slices, published_search, incremental_search,
     )
 }

@@ -129,6 +129,8 @@ _PIECES = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDE
 ORACLES = {
     "wordpiece_encode": _PIECES,
     "hash_embed": f"WITH {_CHUNKS}, {_hash_embed('chunks', 'chunk_id')}",
+    "cache_file": f"""WITH {_CHUNKS}, v AS (SELECT chunk_id, count(*) AS n_parts, round(sum(x * x), 3) AS square FROM ({_hash_embed('chunks', 'chunk_id').replace(_CRC, 'WITH ' + _CRC, 1)}) GROUP BY chunk_id)
+      SELECT row_number() OVER (ORDER BY chunk_id) - 1 AS chunk_id, source, text, n_parts, square FROM chunks JOIN v USING (chunk_id)""",
     "hash_embed_queries": f"WITH {_hash_embed('benchmark', 'item_id')}",
     "valid_vectors": f"WITH {_CHUNKS}, v AS (SELECT chunk_id, x FROM ({_hash_embed('chunks', 'chunk_id').replace(_CRC, 'WITH ' + _CRC, 1)})) SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(DISTINCT chunk_id) FROM v) AS n_valid",
     "index_sources": f"WITH {_CHUNKS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY source",
@@ -149,6 +151,7 @@ ORACLES = {
     "bm25_scores": f"{_SEARCH} SELECT query_id, chunk_id, score FROM lexical",
     "bm25_topk": f"{_SEARCH} SELECT query_id, chunk_id, score, rank FROM topk",
     "cosine_topk": f"WITH {_VEC} SELECT query_id, chunk_id, score, rank FROM ranks WHERE rank <= {SEARCH_K}",
+    "pivoted_topk": f"WITH {_VEC} SELECT query_id, chunk_id, score, rank FROM ranks WHERE rank <= {SEARCH_K}",
     "relevance_gate": f"WITH {_VEC} SELECT query_id, max(score) AS best_vector_score, max(score) >= 0.999 AS used FROM sims GROUP BY query_id",
     "candidate_pool": f"WITH {_VEC} SELECT query_id, count(*) AS n, min(score) AS least, max(score) AS best FROM ranks WHERE rank <= {DEFAULT.pool} GROUP BY query_id",
     "l2_normalize": f"WITH {_VEC} SELECT chunk_id AS vec_id, i - 1 AS i, round(vec[i], 6) AS x FROM (SELECT chunk_id, vec, unnest(range(1, len(vec) + 1)) AS i FROM v)",

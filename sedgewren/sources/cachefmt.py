@@ -7,19 +7,26 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sedgewren.config import CACHE_MAGIC, CACHE_VERSION
+from sedgewren.operators.ordering import in_order
 
 # Fixed bounds of the format.
 MOST_CHUNKS = 5_000_000
 MOST_STRING = 64 << 20
+#: Records that one task reads, or places at once.
+RECORDS = 4096
 SCHEMA = "chunk_id long, source string, text string, vec array<float>"
 
 
@@ -35,13 +42,12 @@ def cache_path(directory: str) -> str:
 
 def encode(rows: Iterator[tuple[str, str, list[float]]], count: int, dimension: int, signature: str) -> Iterator[bytes]:
     """Pieces of the file, in order."""
-    text = lambda s: struct.pack("<i", len(b := s.encode())) + b
-    yield CACHE_MAGIC + struct.pack("<Ii", CACHE_VERSION, dimension) + text(signature) + struct.pack("<i", count)
+    yield _header(dimension, signature, count)
     for source, body, vec in rows:
         v = np.asarray(vec, "<f4")
         if len(v) != dimension:
             raise CacheError(f"a vector of {len(v)} components in a cache of {dimension}")
-        yield text(source) + text(body) + v.tobytes()
+        yield _text(source) + _text(body) + v.tobytes()
 
 
 def decode(data: bytes, dimension: int | None = None, signature: str | None = None, with_vectors: bool = True) -> Iterator[tuple[str, str, list[float] | None]]:
@@ -79,41 +85,176 @@ def decode(data: bytes, dimension: int | None = None, signature: str | None = No
         yield source, body, np.frombuffer(vector, "<f4").tolist() if with_vectors else None
 
 
-def read(spark: SparkSession, path: str, dimension: int | None = None, signature: str | None = None, with_vectors: bool = True) -> DataFrame:
-    """chunk_id, source, text, vec of cache files (one or a folder of them). Leaving vectors out skips decoding them."""
+def _text(s: str) -> bytes:
+    return struct.pack("<i", len(b := s.encode())) + b
+
+
+def _header(dimension: int, signature: str, count: int) -> bytes:
+    return CACHE_MAGIC + struct.pack("<Ii", CACHE_VERSION, dimension) + _text(signature) + struct.pack("<i", count)
+
+
+class _Scan:
+    """Goes through a cache file record by record and reads only what it is asked for; CacheError as in decode."""
+
+    def __init__(self, file, dimension: int | None, signature: str | None):
+        self.file, self.size = file, file.seek(0, os.SEEK_END)
+        file.seek(0)
+        if self.take(4) != CACHE_MAGIC:
+            raise CacheError("not a cache")
+        version, self.width = struct.unpack("<Ii", self.take(8))
+        if version != CACHE_VERSION:
+            raise CacheError(f"version {version}")
+        if self.width <= 0 or dimension not in (None, self.width):
+            raise CacheError(f"dimension {self.width}")
+        if signature not in (None, found := self.string()):
+            raise CacheError(f"made from other files: {found}")
+        (self.count,) = struct.unpack("<i", self.take(4))
+        if not 1 <= self.count <= MOST_CHUNKS:
+            raise CacheError("the number of chunks is out of bounds")
+
+    def take(self, n: int) -> bytes:
+        data = self.file.read(n)
+        if len(data) < n:
+            raise CacheError("the file ends early")
+        return data
+
+    def _length(self) -> int:
+        (n,) = struct.unpack("<i", self.take(4))
+        if not 0 <= n <= MOST_STRING:
+            raise CacheError("a string's length is out of bounds")
+        return n
+
+    def string(self) -> str:
+        return self.take(self._length()).decode("utf-8", "replace")
+
+    def skip(self) -> None:
+        """Over one record."""
+        for _ in range(2):
+            self.file.seek(self._length(), os.SEEK_CUR)
+        if self.file.seek(4 * self.width, os.SEEK_CUR) > self.size:
+            raise CacheError("the file ends early")
+
+    def record(self, with_vector: bool) -> tuple[str, str, list[float] | None]:
+        source, body, vector = self.string(), self.string(), self.take(4 * self.width)
+        return source, body, np.frombuffer(vector, "<f4").tolist() if with_vector else None
+
+
+@dataclass
+class _Records(InputPartition):
+    path: str
+    at: int
+    first: int
+    count: int
 
-    # Spark's readers leave out files whose names start with a dot, as a cache's does: such a file is opened by name.
-    hidden = os.path.basename(path).startswith((".", "_"))
 
-    def contents(b: pd.DataFrame) -> Iterator[bytes]:
-        if not hidden:
-            yield from b["content"]
-            return
-        for name in b["path"]:
-            with open(name, "rb") as f:
-                yield f.read()
+class _CacheReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.paths = options["paths"].split("\0")
+        self.dimension = int(options["dimension"]) if options.get("dimension") else None
+        self.signature, self.vectors = options.get("signature"), options.get("vectors", "true") == "true"
+        self.records = int(options.get("records", RECORDS))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in contents(b):
-                found = list(decode(data, dimension, signature, with_vectors))
-                yield pd.DataFrame({"chunk_id": range(len(found)), "source": [x[0] for x in found], "text": [x[1] for x in found], "vec": [x[2] for x in found]})
+    def partitions(self) -> list[InputPartition]:
+        """Runs of records: their beginnings are found by going from length to length, nothing else is read."""
+        out: list[InputPartition] = []
+        for path in self.paths:
+            with open(path, "rb", buffering=1 << 16) as f:
+                scan = _Scan(f, self.dimension, self.signature)
+                for i in range(scan.count):
+                    if i % self.records == 0:
+                        out.append(_Records(path, f.tell(), i, min(self.records, scan.count - i)))
+                    scan.skip()
+        return out
 
-    files = spark.createDataFrame([(path.removeprefix("file://"),)], "path string") if hidden else spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, SCHEMA)
+    def read(self, partition: _Records) -> Iterator[tuple]:
+        with open(partition.path, "rb", buffering=1 << 20) as f:
+            scan = _Scan(f, self.dimension, self.signature)
+            f.seek(partition.at)
+            for i in range(partition.count):
+                yield partition.first + i, *scan.record(self.vectors)
 
 
-def write(chunks: DataFrame, path: str, dimension: int, signature: str) -> int:
-    """Write chunks (source, text, vec, in order of chunk_id) as one local file, streamed partition by partition.
+class CacheFiles(DataSource):
+    """Options: paths (separated by a NUL), dimension, signature, vectors, records (of a task)."""
 
-    Chunks without a vector are left out, and their number is no part of the count. Returns the number written.
+    @classmethod
+    def name(cls) -> str:
+        return "index_cache"
+
+    def schema(self) -> str:
+        return SCHEMA.replace("long", "bigint")
+
+    def reader(self, schema) -> DataSourceReader:
+        return _CacheReader(self.options)
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+def read(spark: SparkSession, path: str, dimension: int | None = None, signature: str | None = None, with_vectors: bool = True) -> DataFrame:
+    """chunk_id, source, text, vec of a cache file, or of the files of a folder, that all machines see under that path.
+
+    A file is read by runs of records at a time, each in a task, which holds one record. Leaving vectors out skips
+    decoding them. CacheError, in Spark's own, if a file is not as it should be or as asked for.
     """
-    kept = chunks.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).orderBy("chunk_id").select("source", "text", "vec")
-    count = kept.count()
-    if not 1 <= count <= MOST_CHUNKS:
-        raise CacheError("the number of chunks is out of bounds")
-    with open(path + ".new", "wb") as f:
-        for piece in encode(((r.source, r.text, r.vec) for r in kept.toLocalIterator()), count, dimension, signature):
-            f.write(piece)
-    os.replace(path + ".new", path)
+    spark.dataSource.register(CacheFiles)
+    local = _local(path)
+    paths = sorted(e.path for e in os.scandir(local) if e.is_file()) if os.path.isdir(local) else [local]
+    options = {"paths": "\0".join(paths), "vectors": str(with_vectors).lower(), "records": str(RECORDS)}
+    options |= {k: str(v) for k, v in (("dimension", dimension), ("signature", signature)) if v is not None}
+    return spark.read.format("index_cache").options(**options).load()
+
+
+def write(chunks: DataFrame, path: str, dimension: int, signature: str, folder: str | None = None) -> int:
+    """Write chunks (source, text, vec, in order of chunk_id) as one file that all machines see under that path.
+
+    Where each record goes follows from the lengths of those before it, so tasks write their records into their places of
+    one file at a time, again if they are lost; it gets its name when all are there. Chunks without a vector are left out,
+    and their number is no part of the count. folder: a new one for what is written in between, beside the file where it
+    is not given. Returns the number written.
+    """
+    spark, local = chunks.sparkSession, _local(path)
+    between = folder or f"file://{os.path.dirname(os.path.abspath(local))}/cache-parts-{uuid.uuid4().hex}"
+    words = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "text")]
+    kept = chunks.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("chunk_id", *words, F.col("vec").cast("array<float>").alias("vec"))
+    placed = in_order(kept, ["chunk_id"], between).withColumn("run", F.floor(F.col("place") / RECORDS))
+    size = F.octet_length("source") + F.octet_length("text") + F.lit(8 + 4 * dimension)
+    try:
+        count, wrong = placed.agg(F.count("*"), F.count_if(F.size("vec") != dimension)).first()
+        if not 1 <= count <= MOST_CHUNKS:
+            raise CacheError("the number of chunks is out of bounds")
+        if wrong:
+            raise CacheError(f"{wrong} vectors in a cache of {dimension} do not have so many components")
+        header, starts = _header(dimension, signature, count), []
+        at = len(header)
+        for r in placed.groupBy("run").agg(F.sum(size).alias("size")).orderBy("run").collect():  # MOST_CHUNKS / RECORDS at most
+            starts.append((r["run"], at))
+            at += r["size"]
+        new = f"{local}.new-{uuid.uuid4().hex}"
+        with open(new, "wb") as f:
+            f.write(header)
+            f.truncate(at)
+        before = F.coalesce(F.sum(size).over(Window.partitionBy("run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each = placed.join(F.broadcast(spark.createDataFrame(starts, "run long, start long")), "run").select("source", "text", "vec", (F.col("start") + before).alias("at"))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            with open(new, "r+b") as f:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        f.seek(row["at"])
+                        f.write(_text(row["source"]) + _text(row["text"]) + np.asarray(row["vec"], "<f4").tobytes())
+                        n += 1
+                f.flush()
+                os.fsync(f.fileno())
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+        written = each.mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0]
+        if written != count or os.path.getsize(new) != at:
+            raise CacheError(f"{written} of {count} chunks were written")
+        os.replace(new, local)
+    finally:
+        if folder is None:
+            shutil.rmtree(_local(between), ignore_errors=True)
     return count

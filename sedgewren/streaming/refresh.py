@@ -56,10 +56,11 @@ def rebuild(spark: SparkSession, root: str, index_root: str, embed: Callable[[Co
     return n
 
 
-def update_directory(spark: SparkSession, root: str, index_root: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, recursive: bool = False) -> segments.Update:
-    """Bring an index of segments to the files of a directory; only new and changed ones are read."""
+def update_directory(spark: SparkSession, root: str, index_root: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, recursive: bool = False, on_file: Callable[[int, int], None] | None = None) -> segments.Update:
+    """Bring an index of segments to the files of a directory; only new and changed ones are read, and on_file(done,
+    total) is told of them."""
     listing = kb.scan(spark, root, recursive).select("path", "length", "modificationTime")
-    return segments.update(spark, index_root, listing, lambda fresh: kb.read_texts(kb.scan_of(spark, root, fresh, recursive)), embed, embedder, config)
+    return segments.update(spark, index_root, listing, lambda fresh: kb.read_texts(kb.scan_of(spark, root, fresh, recursive)), embed, embedder, config, on_file)
 
 
 def follow(spark: SparkSession, root: str, index_root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None, embedder: str = "", config: RetrievalConfig = DEFAULT, recursive: bool = False, on_update: Callable[[segments.Update], None] | None = None, interval: str = "0 seconds") -> StreamingQuery:

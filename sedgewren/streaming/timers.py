@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class Bursts(StatefulProcessor):
@@ -75,7 +75,7 @@ def bursts(spark: SparkSession, events: DataFrame, key: str, gap_ms: int, ts: st
     ts: a timestamp column; a burst is then over when the watermark, lateness behind the latest event, is the gap after it.
     Without it bursts go by the time at which rows come in. State is kept by RocksDB, which this sets for the session.
     """
-    spark.conf.set(*_STORE)
+    spark.conf.set(*STORE)
     rows = events.select(F.col(key).cast("string").alias("key"), *([F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms")] if ts else []))
     if ts:
         rows = rows.withWatermark("ts", lateness)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
 from sedgewren.functions.embedding import packed
-from sedgewren.operators import batching, chunking, index, lexical, segments
-from sedgewren.sources import changes
-from sedgewren.streaming import refresh, timers
+from sedgewren.operators import batching, chunking, dialogue, index, lexical, segments, vector
+from sedgewren.sources import cachefmt, changes
+from sedgewren.streaming import dialogues, refresh, timers
 
 # ---------------------------------------------------------------- chunks and batches
 
@@ -296,3 +296,128 @@ def test_bursts_by_event_time_are_those_of_a_batch(spark, tmp_path):
     got = {(x.key, x.first_ms / 1000, x.last_ms / 1000, x.n_events) for x in spark.table("over").collect()}
     exact = {k for k, _ in rows if any(b - a == 60 for a, b in zip(*(lambda t: (t, t[1:]))(sorted({s for x, s in rows if x == k})), strict=False))}
     assert {x for x in got if x[0] not in exact} == {x for x in expected if x[0] not in exact} and len(got) > 50
+
+
+def test_progress_by_file(spark, tmp_path):
+    root, kept, told = tmp_path / "kb", str(tmp_path / "index"), []
+    root.mkdir()
+    for i in range(6):
+        (root / f"f{i}.txt").write_text(f"text {i}")
+    (root / "broken.docx").write_bytes(b"no zip")
+    (root / "empty.md").write_text(" ")
+    done = refresh.update_directory(spark, str(root), kept, on_file=lambda n, total: told.append((n, total)))
+    assert told[0] == (0, 8) and told[-1] == (8, 8) and told == sorted(set(told)) and done.read == 8
+    assert {os.path.basename(r.path) for r in segments.silent_files(spark, kept).collect()} == {"broken.docx", "empty.md"}
+    assert refresh.update_directory(spark, str(root), kept).read == 0
+
+
+# ---------------------------------------------------------------- cache files
+
+
+def test_cache_file_in_many_runs(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    rows = [(i * 7 % 501, f"s{i % 3}é", "ü" * r.randint(0, 300), [r.random() for _ in range(5)] if i % 10 else None) for i in range(501)]
+    df = spark.createDataFrame(rows, "chunk_id long, source string, text string, vec array<double>").repartition(5)
+    monkeypatch.setattr(cachefmt, "RECORDS", 64)
+    path = str(tmp_path / "c.bin")
+    assert cachefmt.write(df, path, 5, "sig") == 450
+    # The same bytes as a record at a time in order.
+    kept = [(s, t, v) for _, s, t, v in sorted(rows, key=lambda x: x[0]) if v]
+    data = b"".join(cachefmt.encode(iter(kept), 450, 5, "sig"))
+    assert open(path, "rb").read() == data and os.listdir(tmp_path) == ["c.bin"]
+    back = cachefmt.read(spark, "file://" + path, 5, "sig")
+    assert back.rdd.getNumPartitions() == 8
+    got = sorted(back.collect(), key=lambda x: x.chunk_id)
+    assert [(x.chunk_id, x.source, x.text) for x in got] == [(i, s, t) for i, (s, t, _) in enumerate(kept)]
+    assert all(np.allclose(x.vec, v, atol=1e-6) for x, (_, _, v) in zip(got, kept, strict=True))
+    assert all(x.vec is None for x in cachefmt.read(spark, path, with_vectors=False).collect())
+    for bad in (b"XXXX" + data[4:], data[:-1], data[: len(data) // 2], data[:12] + b"\xff" * 4 + data[16:]):
+        (tmp_path / "bad.bin").write_bytes(bad)
+        with pytest.raises(Exception, match="not a cache|ends early|out of bounds"):
+            cachefmt.read(spark, str(tmp_path / "bad.bin")).collect()
+    for wrong in ({"dimension": 4}, {"signature": "other"}):
+        with pytest.raises(Exception, match="dimension|other files"):
+            cachefmt.read(spark, path, **wrong).collect()
+    with pytest.raises(cachefmt.CacheError):
+        cachefmt.write(df.where("chunk_id < 0"), str(tmp_path / "none.bin"), 5, "sig")
+    with pytest.raises(cachefmt.CacheError):
+        cachefmt.write(df, str(tmp_path / "none.bin"), 4, "sig")
+    assert sorted(os.listdir(tmp_path)) == ["bad.bin", "c.bin"]
+
+
+# ---------------------------------------------------------------- vectors with bounds
+
+
+def test_pivoted_search_is_exact_and_leaves_groups_out(spark, tmp_path):
+    r = np.random.Generator(np.random.PCG64(3))
+    centres = r.normal(size=(20, 12))
+    rows = [(i, (centres[i % 20] + r.normal(size=12) * 0.05).tolist()) for i in range(600)] + [(600 + i, centres[0].tolist()) for i in range(30)]
+    rows += [(700, None), (701, []), (702, [0.0] * 12)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vec array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, rows[i * 37][1]) for i in range(15)] + [(90, r.normal(size=12).tolist()), (91, None), (92, [0.0] * 12)], "query_id long, vec array<double>")
+    for k in (1, 4, 50, 700):
+        folder = str(tmp_path / f"v{k}")
+        vector.write_pivoted(chunks, folder, pivots=25, sample=300)
+        stored = vector.Pivoted(spark, folder)
+        assert sorted(map(tuple, stored.topk(asked, k).collect())) == sorted(map(tuple, vector.cosine_topk(chunks, asked, k).collect()))
+        assert k > 4 or stored.compared < 0.5 * stored.pairs
+    vector.write_pivoted(chunks, str(tmp_path / "one"))
+    stored = vector.Pivoted(spark, str(tmp_path / "one"))
+    plan = stored.topk(asked.where("query_id = 3"), 2)._jdf.queryExecution().executedPlan().toString()
+    # The first groups are enough: nothing else is scanned.
+    assert "FileScan" not in plan and stored.read == vector.FIRST_GROUPS < stored.groups
+    vector.write_pivoted(chunks.limit(0), str(tmp_path / "none"))
+    assert vector.Pivoted(spark, str(tmp_path / "none")).topk(asked, 2).collect() == []
+
+
+def test_live_prompts_are_those_of_all_turns(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(c, t, "system" if t == 0 and c % 3 == 0 else r.choice(["user", "assistant"]), " ".join(["word"] * r.choice([0, 3, 10, 60, 200]))) for c in range(12) for t in range(r.randint(1, 14))]
+    late = rows[:]
+    r.shuffle(late)
+    config, path, got = RetrievalConfig(n_ctx=150, max_tokens=20), str(tmp_path / "turns"), {}
+    schema = "conv_id long, turn long, role string, text string"
+
+    def keep(batch, _):
+        for x in batch.collect():
+            assert x.conv_id not in got or got[x.conv_id].n_seen < x.n_seen
+            got[x.conv_id] = x
+
+    for part in (late[: len(late) // 2], late[len(late) // 2 :]):
+        for i in range(0, len(part), 12):
+            spark.createDataFrame(part[i : i + 12], schema).coalesce(1).write.mode("append").parquet(path)
+        # A new query that goes on from the checkpoint of the one before.
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        q = dialogues.live_prompts(spark, stream, config).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    expected = dialogue.prompts(spark.createDataFrame(rows, schema), config).collect()
+    assert {k: (x.n_kept, x.prompt) for k, x in got.items()} == {x.conv_id: (x.n_kept, x.prompt) for x in expected}
+    assert any(x.n_kept < x.n_seen for x in got.values())
+
+
+# ---------------------------------------------------------------- command line
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from sedgewren.__main__ import main
+
+    root, kept = tmp_path / "kb", str(tmp_path / "index")
+    root.mkdir()
+    (root / "a.txt").write_text("alpha beta!gamma")
+    (root / "b.txt").write_text("delta")
+    assert main(["search", kept, "alpha"]) == 2 and main(["evaluate", kept, str(tmp_path / "q.json")]) == 2
+    capsys.readouterr()
+    assert main(["update", str(root), kept]) == 0
+    assert json.loads(capsys.readouterr().out) == {"read": 2, "removed": 0, "kept": 0, "chunks": 2}
+    assert main(["search", kept, "alpha", "--top-k", "1"]) == 0
+    assert [json.loads(x)["source"] for x in capsys.readouterr().out.splitlines()] == ["a.txt"]
+    assert main(["inspect", kept, "--keyword", "delta"]) == 0
+    assert "# totals" in (out := capsys.readouterr().out) and '{"source":"b.txt","n":1}' in out
+    for keyword, code in (("beta", 0), ("nowhere", 1)):
+        (tmp_path / "q.json").write_text(json.dumps({"questions": [{"q": "alpha", "expect_sources": ["a.txt"], "expect_keywords": [keyword], "must": True}]}))
+        assert main(["evaluate", kept, str(tmp_path / "q.json")]) == code
+    capsys.readouterr()
+    assert main(["threads", str(tmp_path / "s.ini"), "one", "two", "--threads", "1", "2"]) == 0
+    assert set(json.loads(capsys.readouterr().out)) == {"1", "2"}
