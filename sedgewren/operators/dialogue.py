@@ -50,8 +50,13 @@ def evict(turns: DataFrame, config: RetrievalConfig = DEFAULT, include_system: b
 
 def prefill_slices(ids: Column, most: int = 512) -> Column:
     """array<array>: the token ids in order, in slices of at most `most`, as an encoder takes them in."""
-    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids), F.lit(most))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.slice(ids, i, F.lit(most)))
+
+    def slices(x: Column) -> Column:
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), F.lit(most))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.slice(x, i, F.lit(most)))
+
+    # As an element of an array the ids have a name: an expression inside `slices` would be worked out for each slice.
+    return F.get(F.transform(F.array(ids), slices), F.lit(0))
 
 
 def session_text(turns: Column, need_close: Column, system: Column) -> Column:
