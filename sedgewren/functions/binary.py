@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,18 @@ DOC_TEXT = "\x20-\x7e\xa0-\xff\u2000-\u206f\u3000-\u303f\u4e00-\u9fff\uff00-\uff
 _DOC_RUN = re.compile(f"[{DOC_TEXT}]{{3,}}")
 
 
+#: Bytes and rows of a batch that a function makes Python values of at once.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 256
+
+
+def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of all batches in order, a few at a time: Spark's batches are of so many rows, whatever these hold."""
+    for batch in batches:
+        most = PIECE_ROWS if not len(batch) else max(1, min(PIECE_ROWS, PIECE_BYTES * len(batch) // max(1, batch.nbytes)))
+        for first in range(0, len(batch), most):
+            yield batch.slice(first, most)
+
+
 def utf16_runs_of(data: bytes | None) -> str | None:
     """Runs of three or more text characters of 2-byte little-endian units, each followed by a newline. An odd last byte
     is left out. Surrogates are no text characters, so each unit decodes by itself."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.config import DEFAULT, RetrievalConfig
+from sedgewren.functions.binary import pieces
 from sedgewren.functions.text import SPACE, TERMINATORS
 
 #: Chunk ids are the document's id times 2^PLACE_BITS plus the chunk's place in the document.
@@ -48,8 +49,9 @@ def split_chunks(text: Column, config: RetrievalConfig = DEFAULT) -> Column:
     text has no chunks."""
 
     @F.arrow_udf("array<string>")
-    def split(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [c for c in chunks_of_text(t, config) if c] for t in texts.to_pylist()], pa.list_(pa.string()))
+    def split(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in pieces(texts):
+            yield pa.array([None if t is None else [c for c in chunks_of_text(t, config) if c] for t in some.to_pylist()], pa.list_(pa.string()))
 
     return split(text)
 

@@ -8,14 +8,13 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgewren.config import DEFAULT, RetrievalConfig
-from sedgewren.functions.binary import utf16_runs
+from sedgewren.functions.binary import pieces, utf16_runs
 from sedgewren.functions.text import decode_text, latin1_runs, normalize_ws, strip_xml, trim
 from sedgewren.operators.chunking import chunk_documents
 
@@ -25,8 +24,8 @@ FEW = 20
 DOCX_PART = "word/document.xml"
 
 
-@F.pandas_udf(T.StringType())
-def docx_xml(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def docx_xml(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The main part of a word-processing package; null if the file is broken or has none."""
 
     def part(data: bytes | None) -> str | None:
@@ -36,8 +35,8 @@ def docx_xml(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except (zipfile.BadZipFile, KeyError, OSError, EOFError, ValueError, NotImplementedError, RuntimeError):
             return None
 
-    for s in content:
-        yield s.map(part)
+    for some in pieces(content):
+        yield pa.array([part(data) for data in some.to_pylist()], pa.string())
 
 
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
