@@ -22,8 +22,8 @@ from sedgewren.functions.vectors import l2_normalize
 from sedgewren.operators.lexical import ranked
 from sedgewren.operators.topk import Held
 
-#: Bytes of query vectors that are sent to the workers at once, and queries of one product.
-BLOCK_BYTES, QUERIES_AT_ONCE = 64 << 20, 512
+#: Bytes of query vectors that are sent to the workers at once; queries and vectors of one product.
+BLOCK_BYTES, QUERIES_AT_ONCE, VECTORS_AT_ONCE = 16 << 20, 512, 1024
 #: Pivots of a stored table, vectors that they are chosen from, and groups that a query looks into first.
 PIVOTS, PIVOT_SAMPLE, FIRST_GROUPS = 64, 4096, 2
 
@@ -59,9 +59,11 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                vectors, chunk_ids = _matrix(batch.column("vec")).T, batch.column("chunk_id").to_numpy()
-                for rows, h in zip(slices, held, strict=True):
-                    h.add(np.round(q[rows] @ vectors, 6), chunk_ids)
+                for a in range(0, batch.num_rows, VECTORS_AT_ONCE):
+                    some = batch.slice(a, VECTORS_AT_ONCE)
+                    vectors, chunk_ids = _matrix(some.column("vec")).T, some.column("chunk_id").to_numpy()
+                    for rows, h in zip(slices, held, strict=True):
+                        h.add(np.round(q[rows] @ vectors, 6), chunk_ids)
             for h in held:
                 yield from h.rows()
 
