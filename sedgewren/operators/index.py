@@ -31,8 +31,8 @@ class Index:
     """chunks (chunk_id, source, text, maybe vec), postings (chunk_id, term, tf), doc_len (chunk_id, dl).
 
     A stored index also has blocks (term, range, n, max_tf, min_dl, postings) and the dictionary (term, df). Where chunks
-    have been removed since, `removed` has their ids' documents (doc_id), blocks still hold them, and the other tables do
-    not; n_docs and avgdl are then known.
+    have been removed since, `removed` has them by range (range, gone: array<bigint>), blocks still hold them, and the other
+    tables do not; n_docs and avgdl are then known.
     """
 
     chunks: DataFrame
@@ -67,16 +67,19 @@ def build(chunks: DataFrame) -> Index:
     """Statistics of chunks (chunk_id, text, ...). Chunks without a term count, with length 0. A snapshot that is
     published and loaded has them ready."""
     with_terms = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
+    # Dealt out by chunk while it still is a text, a fraction of its terms' size: counting keeps that.
+    dealt = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", terms(F.col("text")).alias("terms"))
     # The outer form: for the other one Spark would take the terms out once more, to leave out rows without any.
-    each = with_terms.select("chunk_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    each = dealt.select("chunk_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
     postings = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     return Index(chunks, postings, with_terms.select("chunk_id", F.size("terms").cast("long").alias("dl")))
 
 
 def _write_blocks(stored: DataFrame, folder: str) -> None:
     """Write the posting blocks and the dictionary of written chunks (chunk_id, range, dl, text)."""
-    # One exchange, by term and range: both aggregations keep it, and a common term's blocks are spread.
-    each = stored.select("chunk_id", "range", "dl", F.explode(terms(F.col("text"))).alias("term")).repartition("term", "range")
+    # One exchange, of texts by range: both aggregations keep it, and a common term's blocks are spread.
+    dealt = stored.select("chunk_id", "range", "dl", "text").repartition("range")
+    each = dealt.select("chunk_id", "range", "dl", F.explode_outer(terms(F.col("text"))).alias("term")).where(F.col("term").isNotNull())
     postings = each.groupBy("term", "range", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     held = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))  # at most a range's chunks
     blocks = postings.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("postings"))
@@ -106,10 +109,14 @@ def write_tables(chunks: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
 def of_tables(chunks: DataFrame, blocks: DataFrame, dictionary: DataFrame, removed: DataFrame | None = None, totals: tuple[int, float] | None = None) -> Index:
     """The index of stored tables, without the chunks of removed documents."""
     postings = blocks.select("term", F.explode("postings").alias("p")).select(F.col("p.chunk_id").alias("chunk_id"), "term", F.col("p.tf").alias("tf"))
+    gone = None
     if removed is not None:
+        there = chunks.select("chunk_id", "range", document_of(F.col("chunk_id")).alias("doc_id"))
+        # At most a range's chunks.
+        gone = there.join(removed, "doc_id", "left_semi").groupBy("range").agg(F.collect_list("chunk_id").alias("gone"))
         chunks = chunks.withColumn("doc_id", document_of(F.col("chunk_id"))).join(removed, "doc_id", "left_anti").drop("doc_id")
         postings = postings.withColumn("doc_id", document_of(F.col("chunk_id"))).join(removed, "doc_id", "left_anti").drop("doc_id")
-    return Index(chunks.drop("dl", "range"), postings, chunks.select("chunk_id", "dl"), blocks, dictionary, removed, totals)
+    return Index(chunks.drop("dl", "range"), postings, chunks.select("chunk_id", "dl"), blocks, dictionary, gone, totals)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -133,8 +133,8 @@ def load(spark: SparkSession, root: str, disabled: bool = False) -> Index | None
     removed = _read(spark, root, m["removed"], "files") if m["removed"] else None
     dictionary = _read(spark, root, [*m["segments"], *m["removed"]], "dictionary").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     # Ranges are numbered in each segment anew: the segment is part of a range's name.
-    blocks = _read(spark, root, m["segments"], "blocks").withColumn("range", F.concat_ws("/", F.regexp_extract("_metadata.file_path", r"segment=(\w+)", 1), F.col("range").cast("string")))
-    chunks = _read(spark, root, m["segments"], "chunks")
+    named = F.concat_ws("/", F.regexp_extract("_metadata.file_path", r"segment=(\w+)", 1), F.col("range").cast("string"))
+    blocks, chunks = (_read(spark, root, m["segments"], table).withColumn("range", named) for table in ("blocks", "chunks"))
     return of_tables(chunks, blocks, dictionary, removed, (m["chunks"], m["length"] / max(1, m["chunks"])))
 
 

@@ -37,3 +37,11 @@ def test_held_hits_are_the_best_and_take_little_memory():
         best = np.lexsort((ids, -score[row]))[:3]
         assert sorted(zip(-held.found[0][row], held.found[1][row], strict=True)) == sorted(zip(-score[row][best], ids[best], strict=True))
     assert peak < 50 << 20
+
+
+def test_texts_and_not_their_terms_are_dealt_out(spark, sf):
+    from sedgewren.plans.catalog import bm25_scores, term_frequency
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [chunk_id" in plan(term_frequency(spark, sf))
+    assert "Aggregate [query_id" not in plan(bm25_scores(spark, sf))
