@@ -6,11 +6,13 @@ the passage to its right. Suffixes whose prefix no other text has are left out b
 by their prefix and sorted by it and by their words, so that suffixes that share a prefix are neighbours. There, matches
 are extended to the left and right: for each of the runs of LEAST words that cover the prefix, the suffixes are put in
 order of that run, and neighbours are compared word by word (by 64-bit hashes of words). The union of the runs that
-neighbours from different texts share is what is repeated. What is moved is one row with its context per kept suffix.
+neighbours from different texts share is what is repeated. What is moved is one row per text and context of its kept
+suffixes: a text that says the same words over and over has one row for all places with the same words around them.
 
-A prefix of more than HOT_SUFFIXES suffixes is not brought into one task. The runs of its suffixes are counted by two
-64-bit hashes with partial aggregates instead, so a passage that a third of all texts share still shuffles one row per
-run and batch.
+A prefix of more than HOT_SUFFIXES rows is not brought into one task. Its rows are sorted over all tasks by the words from
+the place on, then by those before it. What a row has in common with its neighbours is the most that it has in common with
+any other, so its context is cut off there, and rows of the same cut context are one class. The runs of the classes are
+counted by two 64-bit hashes, and what is found goes back to the rows class by class.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materia
 from sedgewren.llm.exact import bitmap_filter, may_contain
 
 LEAST, PREFIX, K = 50, 20, 8
-#: Most suffixes of one prefix that are compared in one task, and suffixes that are compared at once.
+#: Most rows of one prefix that are compared in one task, and rows that are compared at once.
 HOT_SUFFIXES, AT_ONCE = 20_000, 8_192
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
@@ -105,11 +108,12 @@ def _suffixes(least: int, prefix: int):
     return run
 
 
-_CONTEXT_DDL = "key bigint, node bigint, place int, hot boolean, before binary, after binary"
+_CONTEXT_DDL = "key bigint, node bigint, places array<int>, before binary, after binary"
 
 
 def _contexts(least: int, prefix: int):
-    """A row for each kept place of each text: the words before it that a run may reach, and those from it on."""
+    """A row for each text and context of its kept places, with all places that have it: the words before a place that a
+    run may reach, the nearest first, and those from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -124,47 +128,80 @@ def _contexts(least: int, prefix: int):
             joined = np.full(int(begin[-1]), 0x20, np.uint8)
             letters = buf[WORD_BYTE[buf]]
             joined[np.arange(len(letters)) + np.repeat(np.arange(len(starts)), ends - starts)] = letters
+            # The same with the last word first.
+            back = np.concatenate([[0], np.cumsum((ends - starts + 1)[::-1])])
+            backwards = joined[np.repeat(begin[:-1][::-1] - back[:-1], np.diff(back)) + np.arange(len(joined))].tobytes()
             data = joined.tobytes()
             found = block.column("found")
             lists = np.flatnonzero(right)
             many = np.array([len(found[int(i)]) for i in lists], np.int64)
             kept = pa.concat_arrays([found[int(i)].values for i in lists]) if len(lists) else found.values[:0]
             row = np.repeat(lists, many)
-            at = firsts[row] + kept.field("place").to_numpy().astype(np.int64)
+            place = kept.to_numpy().astype(np.int64)
+            at = firsts[row] + place
             low, high = np.maximum(at - (least - prefix), firsts[row]), np.minimum(at + least, firsts[row + 1])
-            before = [data[a:b] for a, b in zip(begin[low].tolist(), begin[at].tolist(), strict=True)]
-            after = [data[a:b] for a, b in zip(begin[at].tolist(), begin[high].tolist(), strict=True)]
+            same: dict[tuple[int, bytes, bytes], list[int]] = {}
+            for i, r, a, b, c, d in zip(range(len(at)), row.tolist(), back[len(starts) - at].tolist(), back[len(starts) - low].tolist(), begin[at].tolist(), begin[high].tolist(), strict=True):
+                same.setdefault((r, backwards[a:b], data[c:d]), []).append(i)
+            of = np.array([x[0] for x in same.values()], np.int64)
+            held = np.concatenate([np.empty(0, np.int64), *same.values()]).astype(np.int64)
+            upto = np.cumsum([0, *map(len, same.values())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_runs_at(h, at, prefix).view(np.int64)), block.column("node").take(pa.array(row)), kept.field("place"), kept.field("hot"), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                names=["key", "node", "place", "hot", "before", "after"],
-            )
+                [
+                    pa.array(_runs_at(h, at[of], prefix).view(np.int64)), block.column("node").take(pa.array(row[of])), pa.ListArray.from_arrays(pa.array(upto), pa.array(place[held].astype(np.int32))),
+                    pa.array([x for _, x, _ in same], pa.binary()), pa.array([x for _, _, x in same], pa.binary()),
+                ],
+                names=["key", "node", "places", "before", "after"],
+            )
 
     return run
 
 
+def _word_matrix(rows: pa.Table, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row of a column, in order and filled up with zeros, and how many there are."""
+    words, many, done = np.zeros((rows.num_rows, most), np.uint64), np.zeros(rows.num_rows, np.int64), 0
+    # Piece by piece: hashing words takes several times the size of their text.
+    for batch in rows.select([column]).to_batches():
+        for block in blocks(iter([batch]), column):
+            h, firsts = _words(block.column(0))
+            many[done : done + block.num_rows] = np.diff(firsts)
+            row = np.repeat(np.arange(block.num_rows), np.diff(firsts))
+            words[done + row, np.arange(len(h)) - firsts[:-1][row]] = h
+            done += block.num_rows
+    return words, many
+
+
+def _unions(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the unions of each row's intervals; those that touch are one."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order].astype(np.int64), start[order].astype(np.int64), end[order]
+    # Intervals of later rows lie behind those of earlier ones.
+    shift = row << 32
+    upto = np.maximum.accumulate(shift + end)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (shift + start)[1:] > upto[:-1]]))
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return row[first], start[first], upto[last] - shift[first]
+
+
+def _placed(rows: pa.Table, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """node, start, end: the unions of intervals that are given from a place on, for all places of their rows."""
+    places = rows.column("places")
+    length = pc.list_value_length(places).to_numpy().astype(np.int64)
+    first, flat = np.cumsum(length) - length, pc.list_flatten(places).to_numpy().astype(np.int64)
+    many = length[row]
+    place = flat[np.repeat(first[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    row, start, end = _unions(np.repeat(row, many), place + np.repeat(start, many), place + np.repeat(end, many))
+    return pa.RecordBatch.from_arrays([pa.array(rows.column("node").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["node", "start", "end"])
+
+
 class _Runs:
     """The words around some suffixes, and hashes of all runs of `least` words that cover their prefixes."""
 
     def __init__(self, rows: pa.Table, least: int, prefix: int):
         self.least, self.left = least, least - prefix
-        self.key, self.node, self.place = (rows.column(c).to_numpy() for c in ("key", "node", "place"))
-        n = len(self.key)
-        self.words = np.zeros((n, self.left + least), np.uint64)
-        self.many = []
-        for column, first_column in (("before", None), ("after", self.left)):
-            many = np.zeros(n, np.int64)
-            done = 0
-            # Piece by piece: hashing words takes several times the size of their text.
-            for batch in rows.select([column]).to_batches():
-                for block in blocks(iter([batch]), column):
-                    h, firsts = _words(block.column(0))
-                    here = slice(done, done + block.num_rows)
-                    many[here] = np.diff(firsts)
-                    row = np.repeat(np.arange(block.num_rows), many[here])
-                    within = np.arange(len(h)) - firsts[:-1][row]
-                    self.words[done + row, within + (first_column if first_column is not None else self.left - many[here][row])] = h
-                    done += block.num_rows
-            self.many.append(many)
+        self.key, n = rows.column("key").to_numpy(), rows.num_rows
+        (before, n_before), (after, n_after) = _word_matrix(rows, "before", self.left), _word_matrix(rows, "after", least)
+        self.words, self.many = np.concatenate([before[:, ::-1], after], axis=1), [n_before, n_after]
         self.sums = []
         for seed in (0x5EED, 0xFACE):
             x = mix(self.words ^ mix(np.arange(self.words.shape[1], dtype=np.uint64) + np.uint64(seed))[None, :])
@@ -181,7 +218,7 @@ class _Runs:
         whole = s[rows, self.left + self.least - back] - s[rows, self.left - back]
         return mix(whole ^ mix(self.key[rows].view(np.uint64) + np.uint64(back)))
 
-    def repeated(self) -> np.ndarray:
+    def repeated(self, nodes: np.ndarray) -> np.ndarray:
         """For each suffix and run, whether a suffix of the same prefix in another text has the same words there."""
         out = np.zeros((len(self.key), self.left + 1), bool)
         for back in range(self.left + 1):
@@ -197,7 +234,7 @@ class _Runs:
             new = np.ones(len(rows), bool)
             new[same + 1] = False
             first = np.flatnonzero(new)
-            node = self.node[rows]
+            node = nodes[rows]
             several = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
             out[rows, back] = np.repeat(several, np.diff(np.append(first, len(rows))))
         return out
@@ -209,12 +246,11 @@ def _compared(least: int, prefix: int):
     def found(rows: pa.Table) -> pa.RecordBatch:
         runs = _Runs(rows, least, prefix)
         marked = np.zeros((len(runs.key), runs.left + 3), np.int8)
-        marked[:, 1:-1] = runs.repeated()
+        marked[:, 1:-1] = runs.repeated(rows.column("node").to_numpy())
         change = np.diff(marked, axis=1)
         row, fewest = np.nonzero(change == 1)
         _, most = np.nonzero(change == -1)
-        place = runs.place[row].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(runs.node[row]), pa.array((place - most + 1).astype(np.int32)), pa.array((place - fewest + least).astype(np.int32))], names=["node", "start", "end"])
+        return _placed(rows, row, 1 - most, least - fewest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -235,18 +271,38 @@ def _compared(least: int, prefix: int):
     return run
 
 
-_RUN_DDL = "run bigint, more bigint, a bigint, b bigint, nodes array<bigint>, starts array<int>"
+def _cut(column: str, most: int):
+    """The rows of partitions in order of the key and the column, which keep as much of the column as they have in common
+    with one of their neighbours. The first and the last row of a batch keep all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            words, many = _word_matrix(rows, column, most)
+            key = rows.column("key").to_numpy()
+            common = np.where(key[1:] == key[:-1], np.logical_and.accumulate(words[1:] == words[:-1], axis=1).sum(axis=1), 0)
+            kept = np.minimum(many, np.maximum(np.append(most, common), np.append(common, most)))
+            cut = [x if n == m else b"".join(w + b" " for w in x.split(b" ")[:n]) for x, n, m in zip(batch.column(column).to_pylist(), kept.tolist(), many.tolist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(cut, pa.binary()))
+
+    return run
+
+
+_RUN_DDL = "run bigint, more bigint, a bigint, b bigint, classes array<bigint>, backs array<int>"
 
 
 def _runs(least: int, prefix: int):
-    """The runs of hot prefixes by two hashes: a row for each different one of a batch, with all places that have it and
-    the smallest and largest of their nodes."""
+    """The runs of classes of contexts by two hashes: a row for each different one of a batch, with all classes that have it,
+    how far before their places it begins, and the smallest and largest of their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             runs = _Runs(pa.Table.from_batches([batch]), least, prefix)
+            class_, a, b = (batch.column(c).to_numpy() for c in ("class", "a", "b"))
             for back in range(runs.left + 1):
                 rows = runs.at(back)
                 if not len(rows):
@@ -255,18 +311,49 @@ def _runs(least: int, prefix: int):
                 order = np.lexsort((two, one))
                 one, two, rows = one[order], two[order], rows[order]
                 first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-                node, ends = runs.node[rows], pa.array(np.append(first, len(rows)).astype(np.int32))
+                ends = pa.array(np.append(first, len(rows)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(one[first]), pa.array(two[first]), pa.array(np.minimum.reduceat(node, first)), pa.array(np.maximum.reduceat(node, first)),
-                        pa.ListArray.from_arrays(ends, pa.array(node)), pa.ListArray.from_arrays(ends, pa.array((runs.place[rows] - back).astype(np.int32))),
+                        pa.array(one[first]), pa.array(two[first]), pa.array(np.minimum.reduceat(a[rows], first)), pa.array(np.maximum.reduceat(b[rows], first)),
+                        pa.ListArray.from_arrays(ends, pa.array(class_[rows])), pa.ListArray.from_arrays(ends, pa.array(np.full(len(rows), back, np.int32))),
                     ],
-                    names=["run", "more", "a", "b", "nodes", "starts"],
+                    names=["run", "more", "a", "b", "classes", "backs"],
                 )
 
     return run
 
 
+def _spread(least: int):
+    """node, start, end of what is repeated around the places of rows, which have the beginnings of their repeated runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                backs = pc.list_flatten(rows.column("backs")).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("backs")).to_numpy())
+                yield _placed(rows, *_unions(row, -backs, least - backs))
+
+    return run
+
+
+def _counted(hot: DataFrame, least: int, prefix: int) -> DataFrame:
+    """node, start, end of what is repeated around the places of contexts of prefixes that very many rows have."""
+    for column, other, most in (("after", "before", least), ("before", "after", least - prefix)):
+        in_order = hot.repartitionByRange("key", column, other).sortWithinPartitions("key", column, other)
+        hot = materialise(in_order.mapInArrow(_cut(column, most), _CONTEXT_DDL), "suffix-cut")
+    context = ["key", "before", "after"]
+    classes = hot.groupBy(*context).agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "suffix-classes")
+    runs = materialise(classes.mapInArrow(_runs(least, prefix), _RUN_DDL), "suffix-runs")
+    common = runs.groupBy("run", "more").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("run", "more")
+    each = runs.join(common, ["run", "more"]).select(F.explode(F.arrays_zip("classes", "backs")).alias("x"))
+    found = each.groupBy(F.col("x.classes").alias("class")).agg(F.collect_set("x.backs").alias("backs"))
+    # Written first: both sides of the join are then dealt out for it, and a class of very many rows can be split.
+    found = materialise(classes.join(found, "class").select(*context, "backs"), "suffix-shared")
+    return hot.join(found, context).select("node", "places", "backs").mapInArrow(_spread(least), "node bigint, start int, end int")
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, spans: the union of each node's intervals, in order; those that touch are one."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -299,10 +386,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
     standing = found.join(nodes, ["d1", "d2"]).where(F.col("row_hash") == F.col("rep")).dropDuplicates(["node"])
     suffixes = materialise(standing.select("node", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("node", F.col("s.keys").alias("key"), F.col("s.places").alias("place")), "suffix-array")
-    both = [F.min("node").alias("a"), F.max("node").alias("b")]
-    shared = materialise(suffixes.groupBy("key").agg(F.count("*").alias("n"), *both).where("a <> b").select("key", (F.col("n") > HOT_SUFFIXES).alias("hot")), "suffix-keys")
+    shared = materialise(suffixes.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "suffix-keys")
     likely = may_contain(suffixes, "key", bitmap_filter(shared, "key", "suffix-filter"))
-    candidates = likely.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("place", "hot")).alias("found"))
+    candidates = likely.join(shared, "key").groupBy("node").agg(F.collect_list("place").alias("found"))
     candidates = materialise(candidates.join(nodes.select("node", "d1", "d2", "rep"), "node"), "suffix-candidates")
 
     by_rep = candidates.withColumnRenamed("rep", "row_hash")
@@ -310,14 +396,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # Rows that are equal all have the text: one of them goes on.
     texts = wanted.groupBy("row_hash").agg(F.first("text").alias("text")).join(by_rep, "row_hash")
     contexts = materialise(texts.select("node", "d1", "d2", "found", "text").mapInArrow(_contexts(least, prefix), _CONTEXT_DDL), "suffix-contexts")
-    in_order = contexts.where("not hot").repartition("key").sortWithinPartitions("key", "after", "before")
-    equal = in_order.mapInArrow(_compared(least, prefix), "node bigint, start int, end int")
-    if not shared.where("hot").isEmpty():
-        runs = materialise(contexts.where("hot").mapInArrow(_runs(least, prefix), _RUN_DDL), "suffix-runs")
-        # Written first: both sides of the join are then dealt out for it, and a run of very many texts can be split.
-        common = materialise(runs.groupBy("run", "more").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("run", "more"), "suffix-shared")
-        each = runs.join(common, ["run", "more"]).select(F.explode(F.arrays_zip("nodes", "starts")).alias("x"))
-        equal = equal.unionByName(each.select(F.col("x.nodes").alias("node"), F.col("x.starts").alias("start"), (F.col("x.starts") + least).alias("end")))
+    hot = materialise(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SUFFIXES).select("key"), "suffix-hot")
+    some = not hot.isEmpty()
+    few = contexts.join(hot, "key", "left_anti") if some else contexts
+    equal = few.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(least, prefix), "node bigint, start int, end int")
+    if some:
+        equal = equal.unionByName(_counted(contexts.join(hot, "key", "left_semi"), least, prefix))
     spans = equal.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("x")).mapInArrow(_merged, "node bigint, spans array<struct<start:int,end:int>>")
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))

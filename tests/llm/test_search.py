@@ -262,6 +262,21 @@ def test_passages(spark, odd, monkeypatch, least, prefix, hot, at_once):
     assert got == expected and len(expected) > 12
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_passages_said_over_and_over(spark, monkeypatch, hot):
+    """Places with the same words around them are one row, whose runs are not told place by place."""
+    monkeypatch.setattr(suffixes, "HOT_SUFFIXES", hot)
+    written = {}
+    monkeypatch.setattr(suffixes, "materialise", lambda df, name: written.setdefault(name, common.materialise(df, name)))
+    docs = spark.createDataFrame([(i, " ".join(words(700 + i, 7) + ["on", "he"] * (100 + i) + words(800 + i, 6))) for i in range(20)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, tuple((s.start, s.end) for s in r.spans)) for r in repeated_passages(docs).collect())
+    assert got == brute_passages(docs.collect(), 50)
+    assert written["suffix-contexts"].count() < 20 * 90
+    assert ("suffix-runs" in written) == (hot == 5)
+    if hot == 5:
+        assert written["suffix-classes"].count() < 20 * 20
+
+
 def brute_kneser_ney(train):
     """Probability of a token (None: the end) after another, by dictionaries."""
     c = Counter(x for w in train for x in [*w, None])
