@@ -18,7 +18,9 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; null where the squared length is under NORM_FLOOR."""
-    return F.when(dot(v, v) >= NORM_FLOOR, F.transform(v, lambda x: x.cast("double") / norm(v)))
+    # As an element of an array the length has a name: an expression inside the inner function would be worked out for each x.
+    scaled = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return F.when(dot(v, v) >= NORM_FLOOR, F.get(scaled, F.lit(0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

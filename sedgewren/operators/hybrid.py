@@ -20,11 +20,15 @@ def fuse(candidates: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     return candidates.withColumn("score", config.alpha * scaled("v") + (1 - config.alpha) * scaled("b"))
 
 
-def retrieve(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def retrieve(index: Index, queries: DataFrame, config: RetrievalConfig = DEFAULT, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """queries: query_id, query, vec. Returns the hits (query_id, chunk_id, v, b, score, rank) of the queries that pass
-    the gate, and the gate of all queries. Candidates are cut before the postings are joined, and texts are not touched.
+    the gate, and the gate of all queries. Candidates are cut before their texts are joined. With a folder that all
+    machines share they are written there first, so that the vectors are searched once and not for each use.
     """
     pool = cosine_topk(index.chunks, queries, config.pool)
+    if folder:
+        pool.write.parquet(folder)
+        pool = pool.sparkSession.read.schema(pool.schema).parquet(folder)
     passed = gate(pool, config)
     used = pool.join(passed.where("used").select("query_id"), "query_id", "left_semi").select("query_id", "chunk_id", F.col("score").alias("v"))
     lexical = bm25_scores(index, queries, config, within=used).withColumn("b", F.round("score", 6)).drop("score")

@@ -45,3 +45,30 @@ def test_texts_and_not_their_terms_are_dealt_out(spark, sf):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [chunk_id" in plan(term_frequency(spark, sf))
     assert "Aggregate [query_id" not in plan(bm25_scores(spark, sf))
+
+
+def test_the_length_of_a_vector_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from sedgewren.functions.vectors import l2_normalize
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "id long, v array<double>").select("id", l2_normalize(F.col("v")).alias("u"))
+    assert "/ sqrt(" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.id: r.u for r in rows.collect()} == {1: [0.6, 0.8], 2: None, 3: None, 4: None}
+
+
+def test_hybrid_search_runs_once_and_moves_pairs_but_not_their_terms(spark, sf):
+    from sedgewren.operators import index, lexical
+    from sedgewren.plans.catalog import grounded_prompts, hybrid_context
+
+    for query in (hybrid_context, grounded_prompts):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    texts = ["a b a c", "", "A zz b b", None, "d", "c 中文 c c"]
+    some = index.build(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "q", "a a b 中"])], "query_id long, query string")
+    scores = lambda df: {(r.query_id, r.chunk_id): round(r.score, 9) for r in df.collect()}
+    pairs = asked.select("query_id").crossJoin(some.chunks.select("chunk_id"))
+    found = lexical.bm25_scores(some, asked, within=pairs)
+    assert scores(found) == scores(lexical.bm25_scores(some, asked)) and len(scores(found)) > 10
+    assert "term" not in " ".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "chunk_id" in x)
