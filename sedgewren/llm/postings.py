@@ -24,6 +24,9 @@ from sedgewren.llm.common import LOWER, WORD_BYTE, blocks, column_bytes, materia
 #: Text bytes of a segment (one document, if longer), and of the benchmark that one pass over the index searches for:
 #: its windows are some ten times as large when they are sent. Places that a search tries at once.
 SEGMENT_BYTES, BLOCK_BYTES, PLACES = 8 << 20, 4 << 20, 1 << 20
+#: A page and a row group for each segment, so that a task that writes or reads segments holds one, however many it has.
+#: Parquet looks at their size after a hundred rows otherwise, which is a gigabyte of segments.
+_ONE_SEGMENT = {"parquet.block.row.count.limit": "1", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 _SEGMENT_DDL = "segment string, doc_ids array<{}>, doc_starts binary, term_ends binary, term_bytes binary, list_ends binary, positions binary"
 _FOUND_DDL = "segment string, ordinal int, doc_id {}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
@@ -63,8 +66,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The written index: one row per segment."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     ddl = _SEGMENT_DDL.format(rows.schema["doc_id"].dataType.simpleString())
-    # Small row groups, so that one batch of segments stays small.
-    return materialise(rows.mapInArrow(_segments, ddl), "postings", **{"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"})
+    return materialise(rows.mapInArrow(_segments, ddl), "postings", **_ONE_SEGMENT)
 
 
 @dataclass

@@ -72,3 +72,17 @@ def test_hybrid_search_runs_once_and_moves_pairs_but_not_their_terms(spark, sf):
     found = lexical.bm25_scores(some, asked, within=pairs)
     assert scores(found) == scores(lexical.bm25_scores(some, asked)) and len(scores(found)) > 10
     assert "term" not in " ".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "chunk_id" in x)
+
+
+def test_segments_are_written_and_read_one_at_a_time(spark):
+    from pyspark.sql import functions as F
+    from pyarrow import parquet
+
+    from sedgewren.llm.postings import build_index
+
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word"), "id", F.lit(" and others ")), 500_000).alias("text"))
+    (path,) = build_index(docs).inputFiles()
+    written = parquet.ParquetFile(path.removeprefix("file://")).metadata
+    assert written.num_rows == 6
+    # A row group is what a writer holds and what a reader decodes at once: before, all segments of a task were in one.
+    assert max(written.row_group(i).total_byte_size for i in range(written.num_row_groups)) < 16 << 20
