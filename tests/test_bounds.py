@@ -86,3 +86,12 @@ def test_segments_are_written_and_read_one_at_a_time(spark):
     assert written.num_rows == 6
     # A row group is what a writer holds and what a reader decodes at once: before, all segments of a task were in one.
     assert max(written.row_group(i).total_byte_size for i in range(written.num_row_groups)) < 16 << 20
+
+
+def test_words_and_their_keys_are_never_broadcast(spark):
+    from sedgewren.llm.variants import near_pairs, variant_forms
+
+    words = spark.createDataFrame([("hello" + "abc"[i % 3] * (i // 3 + 1), i + 1) for i in range(30)], "word string, n long")
+    for found in (near_pairs(words), variant_forms(words)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
