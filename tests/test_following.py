@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +346,37 @@ def test_cache_file_in_many_runs(spark, tmp_path, monkeypatch):
     assert sorted(os.listdir(tmp_path)) == ["bad.bin", "c.bin"]
 
 
+def test_vectors_of_a_cache_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def embed(ids: pd.Series) -> pd.Series:
+        seen.add(len(ids))
+        return pd.Series([[float(i), 1.0] for i in ids])
+
+    chunks = spark.range(40).select(F.col("id").alias("chunk_id"), F.lit("s").alias("source"), F.lit("t").alias("text"), embed("id").alias("vec"))
+    assert cachefmt.write(chunks, str(tmp_path / "c.bin"), 2, "sig") == 40 == seen.value
+
+
+def test_more_chunks_than_one_cache_file_may_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cachefmt, "RECORDS", 8)
+    monkeypatch.setattr(cachefmt, "MOST_CHUNKS", 21)
+    rows = [(i, f"s{i % 3}é", "ü" * (i % 7), [float(i), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "chunk_id long, source string, text string, vec array<double>").repartition(3)
+    with pytest.raises(cachefmt.CacheError):
+        cachefmt.write(df, str(tmp_path / "one.bin"), 2, "sig")
+    assert cachefmt.write(df.where("chunk_id < 21"), str(tmp_path / "full.bin"), 2, "sig") == 21
+    path = str(tmp_path / "all")
+    assert cachefmt.write_files(df, path, 2, "sig") == 50
+    # Each file is a cache that any reader of the format takes.
+    files = [list(cachefmt.decode((tmp_path / "all" / name).read_bytes(), 2, "sig")) for name in sorted(os.listdir(path))]
+    assert [len(f) for f in files] == [16, 16, 16, 2] and sum(files, []) == [tuple(r[1:]) for r in rows]
+    assert sorted(map(tuple, cachefmt.read(spark, path, 2, "sig").collect())) == rows
+    with pytest.raises(cachefmt.CacheError):
+        cachefmt.write_files(df.where("false"), str(tmp_path / "none"), 2, "sig")
+    assert sorted(os.listdir(tmp_path)) == ["all", "full.bin"]
+
+
 # ---------------------------------------------------------------- vectors with bounds
 
 
