@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +26,9 @@ from sedgewren.functions.text import terms
 from sedgewren.operators.chunking import document_of
 
 
-#: A posting block of a term covers 2^RANGE_BITS chunks.
-RANGE_BITS = 6
+#: A posting block of a term covers 2^RANGE_BITS chunks. Ranges whose blocks a task makes at once.
+RANGE_BITS, RANGES_WRITTEN = 6, 32
+_BLOCKS_DDL = "term string, range bigint, n bigint, max_tf bigint, min_dl bigint, postings array<struct<chunk_id:bigint,tf:bigint,dl:bigint>>"
 
 
 @dataclass
@@ -75,14 +80,50 @@ def build(chunks: DataFrame) -> Index:
     return Index(chunks, postings, with_terms.select("chunk_id", F.size("terms").cast("long").alias("dl")))
 
 
+def whole_ranges(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows, in order of their ranges, by n whole ranges at a time."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        code = held.column("range").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(1, np.int64)
+        cut = [*starts[::n]]
+        # The last range may go on in the next batch.
+        if cut[-1] != starts[-1]:
+            cut.append(starts[-1])
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(cut[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting blocks of chunks (chunk_id, range, dl, terms), which come in order of their ranges."""
+    for some in whole_ranges(batches, RANGES_WRITTEN):
+        some = some.combine_chunks().to_batches()[0]
+        lengths = pc.list_value_length(some.column("terms")).fill_null(0).to_numpy(zero_copy_only=False)
+        coded = some.column("terms").flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        if not len(code):
+            continue
+        # Chunks by range; rows of one chunk and length are one.
+        chunks, chunk = np.unique(np.stack([some.column(c).to_numpy() for c in ("range", "chunk_id", "dl")], 1), axis=0, return_inverse=True)
+        key, tf = np.unique(code * len(chunks) + np.repeat(chunk.ravel(), lengths), return_counts=True)
+        term, (range_, ids, dl) = key // len(chunks), chunks[key % len(chunks)].T.copy()
+        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (range_[1:] != range_[:-1])]))
+        ends = np.append(starts[1:], len(key))
+        postings = pa.StructArray.from_arrays([pa.array(ids), pa.array(tf), pa.array(dl)], names=["chunk_id", "tf", "dl"])
+        columns = [coded.dictionary.take(pa.array(term[starts])), pa.array(range_[starts]), pa.array(ends - starts), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), postings)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "max_tf", "min_dl", "postings"])
+
+
 def _write_blocks(stored: DataFrame, folder: str) -> None:
     """Write the posting blocks and the dictionary of written chunks (chunk_id, range, dl, text)."""
-    # One exchange, of texts by range: both aggregations keep it, and a common term's blocks are spread.
-    dealt = stored.select("chunk_id", "range", "dl", "text").repartition("range")
-    each = dealt.select("chunk_id", "range", "dl", F.explode_outer(terms(F.col("text"))).alias("term")).where(F.col("term").isNotNull())
-    postings = each.groupBy("term", "range", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    held = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))  # at most a range's chunks
-    blocks = postings.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("postings"))
+    # One exchange, of texts by range: a common term's blocks are spread.
+    dealt = stored.select("chunk_id", "range", "dl", "text").repartition("range").sortWithinPartitions("range")
+    blocks = dealt.select("chunk_id", "range", "dl", terms(F.col("text")).alias("terms")).mapInArrow(_blocks, _BLOCKS_DDL)
     # In order of the terms, so that a reader can leave out what no asked term is in.
     blocks.sortWithinPartitions("term", "range").write.parquet(f"{folder}/blocks")
     dictionary = stored.sparkSession.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("n").alias("df"))

@@ -95,3 +95,26 @@ def test_words_and_their_keys_are_never_broadcast(spark):
     for found in (near_pairs(words), variant_forms(words)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_posting_blocks_are_made_a_few_ranges_at_a_time(spark, monkeypatch):
+    from collections import Counter, defaultdict
+
+    from sedgewren.operators import index
+
+    monkeypatch.setattr(index, "RANGES_WRITTEN", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i - i % 5 // 4, i // 7, [f"t{x}" for x in rng.integers(0, 9, rng.integers(0, 12))]) for i in range(60)] + [(60, 8, None)]
+    batches = [pa.RecordBatch.from_pylist([{"chunk_id": c, "range": r, "dl": len(t or []), "terms": t} for c, r, t in rows[a : a + 11]], pa.schema([("chunk_id", pa.int64()), ("range", pa.int64()), ("dl", pa.int64()), ("terms", pa.list_(pa.string()))])) for a in range(0, len(rows), 11)]
+    want = defaultdict(Counter)
+    for c, r, t in rows:
+        for term in t or []:
+            want[term, r][c, len(t)] += 1
+    out = list(index._blocks(iter(batches)))
+    got = {(x["term"], x["range"]): x for b in out for x in b.to_pylist()}
+    assert max(len(set(b["range"].to_pylist())) for b in out) == 2 and sum(b.num_rows for b in out) == len(got) == len(want)
+    for key, held in want.items():
+        postings = [{"chunk_id": c, "tf": n, "dl": dl} for (c, dl), n in sorted(held.items())]
+        assert got[key]["postings"] == postings
+        assert (got[key]["n"], got[key]["max_tf"], got[key]["min_dl"]) == (len(held), max(held.values()), min(dl for _, dl in held))
+    assert list(index._blocks(iter([]))) == []
